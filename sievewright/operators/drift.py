@@ -265,5 +265,5 @@ def consistent_table(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     is_role = lambda k: F.coalesce(F.array_contains(F.array(*[f"_{r}" for r in ROLES]), k), F.lit(False))
     extras = F.map_from_entries(F.transform(F.filter(F.map_entries("_m"), lambda e: ~is_role(e["key"])), lambda e: F.struct(F.coalesce(F.element_at("canonical", e["key"]), e["key"]), e["value"])))
     out = rows.select("line_id", "path", "line_no", *[pick(r) for r in ROLES], extras.alias("extras"))
-    number = F.try_to_number if False else (lambda c: F.expr(f"try_cast(regexp_extract(replace({c}, ',', ''), '[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?', 0) as double)"))
-    return out.withColumn("label_number", number("label"))
+    number = F.expr("try_cast(regexp_extract(replace(label, ',', ''), '[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?', 0) as double)")
+    return out.withColumn("label_number", number)
