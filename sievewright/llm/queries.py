@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm.cross_split import cross_split_pairs
+from sievewright.llm.cross_split import cross_split_pairs, letters
 from sievewright.llm.formatting_duplicates import collapse_formatting, formatting_groups
+from sievewright.llm.keep_together import keep_together
 from sievewright.llm.top_in_group import top_in_group
 
 CHAINS = ["heavy", "light"]
@@ -37,6 +38,23 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy("split", "source_group").agg(F.count("*").alias("records"), F.sum("partners").alias("pairs"), F.sum((F.col("nearest") == 0).cast("long")).alias("exact_records"))
 
 
+def _together(spark: SparkSession, sf: str, shares: dict[str, float] | None) -> DataFrame:
+    keys = {"source_group": F.replace(F.trim("source_group"), F.lit("\\"), F.lit("/")), "heavy": letters(F.col("heavy"))}
+    split = F.nullif(F.lower(F.trim("split")), F.lit(""))
+    return keep_together(_read(spark, sf, "math_demo"), "record_id", keys, split, F.col("score"), shares)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of every joined set that now holds more than one split."""
+    return _together(spark, sf, None).where("mixed").select("record_id", "set_key")
+
+
+def p4_split(spark: SparkSession, sf: str) -> DataFrame:
+    """A new split for every record in which joined records stay together."""
+    shares = {r["split_name"]: r["share"] for r in _read(spark, sf, "split_share").orderBy("split_name").limit(64).collect()}
+    return _together(spark, sf, shares).select("record_id", "set_key", "new_split")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of records that differ only in how they are written."""
     groups = formatting_groups(_read(spark, sf, "raw_record"), "raw_id", CHAINS, ["antigen_id"])
@@ -59,7 +77,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_collapsed, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_split, p5_found, p5_collapsed, p7_found)}
 
 
 _P5_KEY = " || chr(31) || ".join(
