@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sievewright.llm.cross_split import cross_split_pairs, letters
 from sievewright.llm.formatting_duplicates import collapse_formatting, formatting_groups
 from sievewright.llm.keep_together import keep_together
+from sievewright.llm.leaked_passages import leaked_spans, without_leaks
+from sievewright.llm.personal_data import personal_spans, without_personal
 from sievewright.llm.top_in_group import top_in_group
 
 CHAINS = ["heavy", "light"]
@@ -76,8 +78,38 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_in_group(records.join(best, "record_id"), "antigen_id", "record_id", "value", 10, earlier).select("antigen_id", "record_id", F.col("place").cast("int").alias("place"))
 
 
+def _items(spark: SparkSession, sf: str) -> tuple:
+    return _read(spark, sf, "documents").select("doc_id", "text"), _read(spark, sf, "heldout_item").select("item_id", "item_text"), "doc_id", "text", "item_id", "item_text"
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold twelve consecutive words or more of an item."""
+    return leaked_spans(*_items(spark, sf)).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
+
+
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest run of words each such pair shares."""
+    return leaked_spans(*_items(spark, sf)).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "longest", "last_word")
+
+
+def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents without leaked passages."""
+    return without_leaks(*_items(spark, sf)).select(F.col("doc").alias("doc_id"), "text", "leaked_words", "dropped")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each name, address or number of a person in the documents."""
+    rows = personal_spans(_read(spark, sf, "documents"), "doc_id", "text")
+    return rows.select(F.col("doc").alias("doc_id"), "pii_type", "start_pos").distinct()
+
+
+def p10_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with typed placeholders."""
+    return without_personal(_read(spark, sf, "documents"), "doc_id", "text", b"public example key").select(F.col("doc").alias("doc_id"), "text", "replaced")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_split, p5_found, p5_collapsed, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_split, p5_found, p5_collapsed, p7_found, p8_found, p8_spans, p8_cleaned, p10_found, p10_replaced)}
 
 
 _P5_KEY = " || chr(31) || ".join(
