@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,13 @@ from sievewright.llm.cross_split import cross_split_pairs, letters
 from sievewright.llm.formatting_duplicates import collapse_formatting, formatting_groups
 from sievewright.llm.keep_together import keep_together
 from sievewright.llm.leaked_passages import leaked_spans, without_leaks
+from sievewright.llm.mixing import language, mix_sources
 from sievewright.llm.personal_data import personal_spans, without_personal
 from sievewright.llm.top_in_group import top_in_group
 
 CHAINS = ["heavy", "light"]
+#: Vocabulary file by which texts are measured; set TOKENIZER_FILE for another.
+TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -97,6 +101,21 @@ def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(*_items(spark, sf)).select(F.col("doc").alias("doc_id"), "text", "leaked_words", "dropped")
 
 
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    topic = F.coalesce(F.nullif(F.upper(F.regexp_extract(F.coalesce("antigen_id", F.lit("")), r"^[^A-Za-z]*([A-Za-z]+)", 1)), F.lit("")), F.lit("none"))
+    return mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "mix_target"), TOKENIZER, lang=language(F.col("lang")), topic=topic)
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen documents, each with how often it is used."""
+    return _mixed(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of tokens of every source."""
+    return _mixed(spark, sf)[1]
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Each name, address or number of a person in the documents."""
     rows = personal_spans(_read(spark, sf, "documents"), "doc_id", "text")
@@ -109,7 +128,7 @@ def p10_replaced(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_split, p5_found, p5_collapsed, p7_found, p8_found, p8_spans, p8_cleaned, p10_found, p10_replaced)}
+    return {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_split, p5_found, p5_collapsed, p7_found, p8_found, p8_spans, p8_cleaned, p9_mix, p9_shares, p10_found, p10_replaced)}
 
 
 _P5_KEY = " || chr(31) || ".join(
