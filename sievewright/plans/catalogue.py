@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.plans import problems
+from sievewright.plans import learned, problems, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.queries()
+    assert learned  # registers its queries
+    return reference.QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference.SQL)
