@@ -114,7 +114,9 @@ def content_similarity(a: dict, b: dict) -> float | None:
             moments.append((m, max(p["squares"] / p["n_value"] - m * m, (0.05 * m) ** 2, 1e-9)))
         (m, v), (k, w) = moments
         spread = np.sqrt(2 * np.sqrt(v * w) / (v + w)) * np.exp(-((m - k) ** 2) / (4 * (v + w)))  # overlap of two normal laws
-        return float(spread)
+        alike = max(0.0, (float(spread) - 0.4) / 0.6)  # an overlap of 0.7 is SAME_KIND
+        lettered = max(share(a, "n_number"), share(b, "n_number")) < 0.5 and max(share(a, "n_bool"), share(b, "n_bool")) < 0.5
+        return alike * (0.3 + 0.7 * overlap("shapes")) if lettered else alike
     if max(share(a, "n_value"), share(b, "n_value")) > 0.8:
         return 0.3 * overlap("vals")
     return max(overlap("vals"), 0.9 * overlap("shapes"))
@@ -193,7 +195,7 @@ def file_schemas(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     profiled = column_profiles(lines, inventory)
     profiled = profiled.select("*", column_type().alias("type"))
     joined = flat.select("path", "source_group", "delivered_at", "pos", "name", role.alias("role")).join(profiled, ["path", "name"], "left")
-    fields = ["pos", "name", "role", "type", "n", "n_date", "n_value", "total", "squares", "vals", "shapes"]
+    fields = ["pos", "name", "role", "type", "n", "n_number", "n_bool", "n_date", "n_value", "total", "squares", "vals", "shapes"]
     return joined.groupBy("path").agg(F.first("source_group").alias("source_group"), F.first("delivered_at").alias("delivered_at"), F.array_sort(F.collect_list(F.struct(*fields))).alias("columns"))
 
 
