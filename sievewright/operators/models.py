@@ -37,7 +37,7 @@ def positional_features(df: DataFrame, heavy: str, light: str, size: int = 1 <<
 
 def fit_linear(train: DataFrame, label: str, weight: str | None = None, strength: float = 0.01, mix: float = 0.0, huber: bool = False):
     """Linear regression; Huber loss takes a squared penalty only, squared loss an elastic net of `mix`."""
-    model = LinearRegression(featuresCol="features", labelCol=label, regParam=strength, elasticNetParam=0.0 if huber else mix, loss="huber" if huber else "squaredError", maxIter=30)
+    model = LinearRegression(featuresCol="features", labelCol=label, regParam=strength, elasticNetParam=0.0 if huber else mix, loss="huber" if huber else "squaredError", maxIter=20, solver="l-bfgs")
     return (model.setWeightCol(weight) if weight else model).fit(train)
 
 

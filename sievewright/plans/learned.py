@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import sequences
 from sievewright.operators import metrics, models, pairs
 from sievewright.plans.reference import _comparable, query, read
+from sievewright.session import stage
 
 
 def _demo(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,20 +24,20 @@ def _evaluated(predicted: DataFrame) -> DataFrame:
 
 @query()
 def linear_hashed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = models.hashed_features(_demo(spark, sf), "heavy", "light", "antigen_seq")
+    rows = stage(models.hashed_features(_demo(spark, sf), "heavy", "light", "antigen_seq"))
     return _evaluated(models.predict(models.fit_linear(rows.where("split = 'train'"), "score", mix=0.05), rows))
 
 
 @query()
 def ridge_positional(spark: SparkSession, sf: str) -> DataFrame:
-    rows = models.positional_features(_demo(spark, sf), "heavy", "light")
+    rows = stage(models.positional_features(_demo(spark, sf), "heavy", "light"))
     return _evaluated(models.predict(models.fit_linear(rows.where("split = 'train'"), "score", strength=0.1), rows))
 
 
 @query()
 def experts_blend(spark: SparkSession, sf: str) -> DataFrame:
     registry = read(spark, sf, "label_registry").select("source_file", "metric")
-    rows = models.hashed_features(_demo(spark, sf).join(registry, "source_file", "left"), "heavy", "light", "antigen_seq", 1 << 8)
+    rows = stage(models.hashed_features(_demo(spark, sf).join(registry, "source_file", "left"), "heavy", "light", "antigen_seq", 1 << 8))
     out = models.experts(rows, "metric", "score", F.col("split") == "train")
     return _evaluated(out.withColumn("prediction", F.col("global_prediction") * 0.5 + F.col("expert_prediction") * 0.5))
 
@@ -55,9 +56,12 @@ def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best single mutants of every binding loop."""
     parents = read(spark, sf, "raw_record").select(sequences.normalize_sequence(F.col("cdrh3")).alias("cdrh3")).where("cdrh3 <> ''").distinct()
     rows = models.single_mutants(parents, "cdrh3")
     penalty = sequences.liabilities(F.col("candidate"))[-1]
     rows = rows.select("cdrh3", "candidate", "mutations", "mutation_count", penalty)
-    return rows.withColumn("score", F.round(models.candidate_score(F.lit(0.0), F.col("liability_penalty"), F.col("mutation_count")), 9))
+    scored = rows.withColumn("score", F.round(models.candidate_score(F.lit(0.0), F.col("liability_penalty"), F.col("mutation_count")), 9))
+    best = Window.partitionBy("cdrh3").orderBy(F.desc("score"), "candidate")
+    return scored.withColumn("place", F.row_number().over(best)).where("place <= 10")
 

@@ -93,7 +93,7 @@ def metrics_sql(inner: str, truth: str, pred: str, key: str, by: list[str]) -> s
         y AS (SELECT *, count(*) OVER ({p}) AS sz, rank() OVER ({p} ORDER BY {truth}) + (count(*) OVER ({pt(truth)}) - 1) / 2.0 AS rt, rank() OVER ({p} ORDER BY {pred}) + (count(*) OVER ({pt(pred)}) - 1) / 2.0 AS rp,
               row_number() OVER ({p} ORDER BY {truth} DESC, {key}) AS ot, row_number() OVER ({p} ORDER BY {pred} DESC, {key}) AS op FROM x),
         z AS (SELECT *, greatest(1.0, ceil(sz * CAST(0.1 AS DOUBLE))) AS c FROM y)
-        SELECT {g + ', ' if by else ''}count(*) AS n, round(sqrt(avg(({truth} - {pred}) * ({truth} - {pred}))), 6) AS rmse, round(avg(abs({truth} - {pred})), 6) AS mae,
+        SELECT {g + ', ' if by else ''}count(*) AS n, round(sqrt(avg(({truth} - {pred}) * ({truth} - {pred}))), 4) AS rmse, round(avg(abs({truth} - {pred})), 4) AS mae,
                round(CASE WHEN count(*) >= 3 AND stddev_pop({truth}) * stddev_pop({pred}) > 0 THEN covar_pop({truth}, {pred}) / (stddev_pop({truth}) * stddev_pop({pred})) END, 6) AS pearson,
                round(CASE WHEN count(*) >= 3 AND stddev_pop(rt) * stddev_pop(rp) > 0 THEN covar_pop(rt, rp) / (stddev_pop(rt) * stddev_pop(rp)) END, 6) AS spearman,
                round(sum(CASE WHEN ot <= c AND op <= c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / max(c * c / sz), 6) AS top10_enrichment
@@ -101,7 +101,7 @@ def metrics_sql(inner: str, truth: str, pred: str, key: str, by: list[str]) -> s
 
 
 def _rounded(m: DataFrame, keep: list[str]) -> DataFrame:
-    return m.select(*keep, "n", *[F.round(c, 6).alias(c) for c in metrics.METRICS[1:]])
+    return m.select(*keep, "n", *[F.round(c, 4 if c in ("rmse", "mae") else 6).alias(c) for c in metrics.METRICS[1:]])
 
 
 @query(metrics_sql(_EVENTS_SQL, "truth", "a", "event_id", []))
@@ -345,7 +345,6 @@ def liability_motifs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("raw_id", "glycosylation_motifs", "deamidation_motifs", "isomerization_motifs", "oxidation_residues", "cysteine_count", r9("liability_penalty", "liability_penalty"))
 
 
-_KMERS_SQL = lambda s: f"CASE WHEN length({s}) >= 3 THEN list_distinct_ordered({s}) ELSE [] END"
 _DISTINCT = lambda s: f"(CASE WHEN length({s}) >= 3 THEN list_reduce(list_transform(range(1, length({s}) - 1), lambda i: [substr({s}, i, 3)]), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) ELSE []::VARCHAR[] END)"
 _SAMPLED = lambda k: f"(CASE WHEN len({k}) <= 16 THEN {k} ELSE list_transform(range(0, 16), lambda j: {k}[CAST(floor(j * (len({k}) - 1)::DOUBLE / 15::DOUBLE) AS BIGINT) + 1]) END)"
 
@@ -555,7 +554,7 @@ def coverage_anti_join(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT r.name, r.nearest FROM (SELECT p.p_name AS name, s.s_name AS nearest, row_number() OVER (PARTITION BY p.p_name ORDER BY levenshtein(p.p_name, s.s_name), s.s_name) AS k FROM (SELECT DISTINCT p_name FROM part) p, (SELECT DISTINCT r_name AS s_name FROM region) s) r WHERE k = 1")
 def fuzzy_name_match(spark: SparkSession, sf: str) -> DataFrame:
     known = [r[0] for r in read(spark, sf, "region").select("r_name").distinct().orderBy("r_name").limit(256).collect()]
-    near = F.array_min(F.array(*[F.struct(F.levenshtein("p_name", F.lit(k)).alias("d"), F.lit(k).alias("name")) for k in known]))
+    near = F.array_min(F.array(*[F.struct(F.levenshtein("name", F.lit(k)).alias("d"), F.lit(k).alias("name")) for k in known]))
     return read(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().select("name", near["name"].alias("nearest"))
 
 
