@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.session import new_path
+from sievewright.session import new_path, stage
 
 _FOOTER = "file string, row_group int, n long, g_min string, g_max string, v_min double, v_max double"
 
@@ -46,7 +46,7 @@ def cluster_by_group(items: DataFrame, group: str, item: str, value: str, row_gr
     """
     spark = items.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = items.select(F.col(group).cast("string").alias("grp"), F.col(item).alias("item"), F.col(value).cast("double").alias("val"))
+    rows = stage(items.select(F.col(group).cast("string").alias("grp"), F.col(item).alias("item"), F.col(value).cast("double").alias("val")))
     counts = rows.groupBy("grp").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
     share = max(hot_least, total // parts + 1)
