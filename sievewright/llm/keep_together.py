@@ -19,7 +19,7 @@ BLOCK = 4_096
 
 
 def joined_sets(records: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:
-    """records with `_set`, a 16-byte label that is equal for records joined directly or through others.
+    """records, without the key columns, with `_set`, a 16-byte label that is equal for records joined directly or through others.
 
     `keys` are text columns; equal non-blank values of one key join records, null and blank values join nothing.
     A record is anchored at its first key that has a value; every other key adds an edge from the anchor to the
@@ -28,7 +28,7 @@ def joined_sets(records: DataFrame, id_col: str, keys: dict[str, Column]) -> Dat
     digest = lambda n, c: F.when(c.rlike(r"\S"), F.unhex(F.md5(F.concat(F.lit(n + "\u001f"), c))))
     named = records.select("*", *[digest(n, c).alias(f"_key_{n}") for n, c in keys.items()])
     own = F.unhex(F.md5(F.concat(F.lit("\u001e"), F.col(id_col).cast("string"))))
-    anchored = named.withColumn("_anchor", F.coalesce(*[F.col(f"_key_{n}") for n in keys], own))
+    anchored = stage(named.withColumn("_anchor", F.coalesce(*[F.col(f"_key_{n}") for n in keys], own)).drop(*keys))
     edges = None
     for n in list(keys)[1:]:
         shared = anchored.where(F.col(f"_key_{n}").isNotNull()).select(F.col(f"_key_{n}").alias("key"), F.col("_anchor").alias("u")).distinct()
