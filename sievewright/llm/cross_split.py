@@ -73,7 +73,7 @@ def segment_join(indexed: DataFrame, probes: DataFrame, k: int = 3, hot: int = 4
         counts = ikeys.groupBy("key").agg(F.count("*").alias("n"))
         flagged = ikeys.join(counts, "key").select("key", "tid", (F.col("n") > (hot if level + 1 < levels else 2**62)).alias("hot"))
         side = flagged.where("not hot").select("key", F.col("tid").alias("tid_i")).union(flagged.where("hot").select("key", F.lit(None).cast("long").alias("tid_i")).distinct())
-        met = stage(pkeys.select("key", F.col("tid").alias("tid_p")).join(side, "key").distinct())
+        met = stage(pkeys.select("key", F.col("tid").alias("tid_p")).join(side.hint("shuffle_hash"), "key").distinct())
         found.append(met.where("tid_i is not null").select("tid_i", "tid_p"))
         warm = met.where("tid_i is null").select("key", F.col("tid_p").alias("tid")).distinct()
         if level + 1 == levels or warm.isEmpty():
