@@ -94,7 +94,12 @@ def inventory_of(lines: DataFrame, files: DataFrame) -> DataFrame:
     rows = head.withColumn("columns", cells).where(F.arrays_overlap(F.transform("columns", lambda c: F.lower(F.trim(c))), known))
     first = rows.groupBy("path").agg(F.min_by(F.struct("line_no", "columns", "format", "size_bytes"), "line_no").alias("h"))
     counts = lines.groupBy("path").agg(F.max("line_no").alias("last"))
-    role = lambda r: F.filter(F.array(*[F.filter("columns", lambda c, a=a: F.lower(F.trim(c)) == a.lower())[0] for a in ALIASES[r]]), lambda c: c.isNotNull()).alias(f"{r}_candidates")
+
+    def named(alias: str) -> F.Column:
+        """The header cell that spells an alias, in any case; null without one."""
+        return F.get(F.filter("columns", lambda c: F.lower(F.trim(c)) == alias.lower()), 0)
+
+    role = lambda r: F.array_distinct(F.array_compact(F.array(*[named(a) for a in ALIASES[r]]))).alias(f"{r}_candidates")
     out = first.join(counts, "path").select("path", "h.format", "h.size_bytes", F.col("h.line_no").alias("header_row"), (F.col("last") - F.col("h.line_no")).cast("bigint").alias("row_count"), F.col("h.columns").alias("columns"))
     return out.select("*", F.size("columns").alias("column_count"), *[role(r) for r in ROLES])
 
