@@ -63,8 +63,8 @@ def language(text: Column) -> Column:
 def rake(tokens: np.ndarray, limits: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], rounds: int = 500, eps: float = 1e-9) -> np.ndarray:
     """Weights of cells, from 0 to their limits, whose weighted tokens meet each margin (group of each cell, wanted tokens of each group).
 
-    Classical raking with truncation: every margin in turn scales its groups, cells at their limit stay there and the free
-    ones take the rest. The first margin is fitted last in each round and so is met wherever the limits allow it.
+    Classical raking with truncation: every margin in turn scales down the groups above it whole, and in those below it the
+    cells under their limit. The first margin is fitted last in each round and so is met wherever the limits allow it.
     """
     w = np.minimum(1.0, limits).astype(float)
     for _ in range(rounds):
@@ -74,11 +74,10 @@ def rake(tokens: np.ndarray, limits: np.ndarray, margins: list[tuple[np.ndarray,
                 have = np.bincount(group, w * tokens, len(wanted))
                 free = w < limits - 1e-12
                 loose = np.bincount(group, np.where(free, w * tokens, 0.0), len(wanted))
-                need = wanted - (have - loose)
-                factor = np.where(loose > 0, np.maximum(need, 0.0) / np.maximum(loose, 1e-12), 1.0)
-                new = np.where(free, np.minimum(w * factor[group], limits), w)
-                over = (have > wanted * (1 + 1e-12)) & (loose <= 0)
-                new = np.where(over[group], new * (wanted / np.maximum(have, 1e-12))[group], new)
+                down = (have > wanted)[group]
+                less = np.where(have > 0, wanted / np.maximum(have, 1e-300), 1.0)[group]
+                more = np.where(loose > 0, (wanted - (have - loose)) / np.where(loose > 0, loose, 1.0), 1.0)[group]
+                new = np.where(down, w * less, np.where(free, np.minimum(w * more, limits), w))
                 moved = np.abs(new - w).max(initial=0.0)
                 w = new
                 if moved < eps:
