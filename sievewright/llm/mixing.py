@@ -15,6 +15,8 @@ from sievewright.session import stage
 BUCKETS = 1_024
 #: Languages and topics kept apart, those with most tokens; the others of a kind are one value together.
 KEPT = 48
+#: Most target sources; more raise.
+TARGETS = 10_000
 REST = "(rest)"
 
 
@@ -102,11 +104,13 @@ def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str, doc_col: st
     tokens of the wanted sources, unless given), languages and topics to their own shares of those tokens, under the repeat
     limits. A source whose repeats cannot reach its share gives all it may; the others keep their proportions.
     A cell of weight w gives each document floor(w) uses, and one more to documents in the order of their hash until the
-    tokens of the fraction are met. Cells are at most targets * (KEPT + 1)^2, so raking on the driver is bounded; documents
+    tokens of the fraction are met. Cells are at most TARGETS * (KEPT + 1)^2, so raking on the driver is bounded; documents
     never leave the tasks. Documents of other or unreadable sources, without id, or with empty texts are not used.
     """
     spark = docs.sparkSession
-    wanted = targets.groupBy(F.col("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("limit")).orderBy("source").limit(10_000).collect()
+    wanted = targets.groupBy(F.col("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("limit")).orderBy("source").limit(TARGETS + 1).collect()
+    if len(wanted) > TARGETS:
+        raise ValueError(f"more than {TARGETS} target sources")
     names = [r["source"] for r in wanted]
     shares_schema = "source string, target_share double, actual_share double, tokens bigint, documents bigint, uses bigint, reached boolean"
     if not names:

@@ -57,7 +57,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_split(spark: SparkSession, sf: str) -> DataFrame:
     """A new split for every record in which joined records stay together."""
-    shares = {r["split_name"]: r["share"] for r in _read(spark, sf, "split_share").orderBy("split_name").limit(64).collect()}
+    shares = {r["split_name"]: r["share"] for r in _read(spark, sf, "split_share").orderBy("split_name").collect()}
     return _together(spark, sf, shares).select("record_id", "set_key", "new_split")
 
 
