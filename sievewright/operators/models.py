@@ -82,7 +82,7 @@ def experts(rows: DataFrame, metric: str, label: str, train: Column, least: int
     Metrics are a short registry list. A metric without an expert takes the global prediction.
     """
     base = predict(fit_linear(rows.where(train), label), rows, "global_prediction").drop("prediction")
-    sizes = rows.where(train).groupBy(metric).count().where(F.col("count") >= least).orderBy(metric).limit(256).collect()
+    sizes = rows.where(train).groupBy(metric).count().where(F.col("count") >= least).orderBy(metric).collect()
     known = [r[metric] for r in sizes if r[metric] is not None]
     parts = [predict(fit_linear(base.where(train & (F.col(metric) == m)), label), base.where(F.col(metric) == m), "expert_prediction").drop("prediction") for m in known]
     rest = base.where(F.col(metric).isNull() | ~F.col(metric).isin(known)) if known else base

@@ -553,7 +553,7 @@ def coverage_anti_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT r.name, r.nearest FROM (SELECT p.p_name AS name, s.s_name AS nearest, row_number() OVER (PARTITION BY p.p_name ORDER BY levenshtein(p.p_name, s.s_name), s.s_name) AS k FROM (SELECT DISTINCT p_name FROM part) p, (SELECT DISTINCT r_name AS s_name FROM region) s) r WHERE k = 1")
 def fuzzy_name_match(spark: SparkSession, sf: str) -> DataFrame:
-    known = [r[0] for r in read(spark, sf, "region").select("r_name").distinct().orderBy("r_name").limit(256).collect()]
+    known = [r[0] for r in read(spark, sf, "region").select("r_name").distinct().orderBy("r_name").collect()]
     near = F.array_min(F.array(*[F.struct(F.levenshtein("name", F.lit(k)).alias("d"), F.lit(k).alias("name")) for k in known]))
     return read(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().select("name", near["name"].alias("nearest"))
 
