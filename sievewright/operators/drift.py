@@ -67,17 +67,21 @@ def column_profiles(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     Each Arrow batch is reduced to one row a file and column before anything is shuffled. Sequence columns are left out:
     a valid one holds residues only and is text.
     """
-    valid = classify_lines(lines, inventory, with_cells=True).where("reason is null").select("path", "names", "cells")
+    chains = list(ROLES[:3])
+    valid = classify_lines(lines, inventory, with_cells=True, with_roles=True).where("reason is null").select("path", "names", "cells", *chains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            by: dict[str, tuple[list, list]] = {}
-            for path, names, cells in zip(batch["path"], batch["names"], batch["cells"], strict=True):
-                by.setdefault(path, (list(names), []))[1].append(cells)
+            by: dict[str, tuple[list, set, list]] = {}
+            for path, names, cells, *at in zip(batch["path"], batch["names"], batch["cells"], *(batch[c] for c in chains), strict=True):
+                if path not in by:
+                    by[path] = (list(names), set(at), [])
+                by[path][2].append(cells)
             rows = []
-            for path, (names, cells) in by.items():
-                for name, column in zip(names, zip(*cells, strict=True), strict=False):
-                    rows.append((path, name, *_profile(column)))
+            for path, (names, skip, cells) in by.items():
+                for k, (name, column) in enumerate(zip(names, zip(*cells, strict=True), strict=False)):
+                    if k not in skip:
+                        rows.append((path, name, *_profile(column)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PROFILE.split(", ")])
 
     partial = valid.mapInPandas(run, _PROFILE)

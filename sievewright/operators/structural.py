@@ -128,12 +128,12 @@ def file_layout(inventory: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.min(F.struct(*[c for c in rows.columns if c != "path"])).alias("x")).select("path", "x.*")
 
 
-def classify_lines(lines: DataFrame, inventory: DataFrame, with_cells: bool = False) -> DataFrame:
-    """(line_id, path, line_no, reason[, names, cells]) of every line after its file's header line.
+def classify_lines(lines: DataFrame, inventory: DataFrame, with_cells: bool = False, with_roles: bool = False) -> DataFrame:
+    """(line_id, path, line_no[, names][, roles], reason[, cells]) of every line after its file's header line.
 
     reason is null for a valid row, else the first that holds of 'quoting' (not RFC 4180), 'width' (cells differ from
     column_count; an empty or null line has too few) and 'value' (heavy blank, a chain or antigen with anything but the
-    20 residues, a label without a finite number). cells are the unquoted cells of valid rows. Lines of paths that the
+    20 residues, a label without a finite number). cells are the unquoted cells of valid rows, the roles the places of their columns. Lines of paths that the
     inventory does not list, or without a path or number, are left out; repeated lines stay. An empty table gives no rows.
 
     The layout of the files is broadcast while small, else joined by path with hot paths salted; the lines themselves go
@@ -142,8 +142,8 @@ def classify_lines(lines: DataFrame, inventory: DataFrame, with_cells: bool = Fa
     layout = file_layout(inventory)
     plan = lines.select("line_id", "path", "line_no", F.coalesce("line_text", F.lit("")).alias("line_text"))
     rows = lookup_join(plan, layout if with_cells else layout.drop("names"), ["path"], "inner", row_size=400).where("line_no > header_row")
-    kept = ["line_id", "path", "line_no", *["names"] * with_cells]
-    rows = rows.select(*kept, "line_text", F.ascii("sep").cast("int").alias("sep"), F.coalesce("width", F.lit(-1)).cast("int").alias("width"), *ROLES)
+    kept = ["line_id", "path", "line_no", *["names"] * with_cells, *ROLES * with_roles]
+    rows = rows.select(*kept, "line_text", F.ascii("sep").cast("int").alias("sep"), F.coalesce("width", F.lit(-1)).cast("int").alias("width"), *[r for r in ROLES if not with_roles])
     fields = [rows.schema[c] for c in kept] + [T.StructField("reason", T.StringType())] + [T.StructField("cells", T.ArrayType(T.StringType()))] * with_cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
