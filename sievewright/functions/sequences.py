@@ -11,6 +11,11 @@ HYDROPHOBIC, POSITIVE, NEGATIVE = "AVILMFWY", "KRH", "DE"
 UNIT_SEPARATOR = "\u001f"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, also where a lambda uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
@@ -68,16 +73,15 @@ def kmers(seq: Column, k: int = 3) -> Column:
 
 def sampled_kmers(seq: Column, k: int = 3, limit: int = 16) -> Column:
     """All distinct k-mers if at most `limit`, else `limit` of them at evenly spaced, truncated positions."""
-    found = kmers(seq, k)
-    picked = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.element_at(found, (i * (F.size(found) - 1) / F.lit(limit - 1)).cast("int") + 1))
-    return F.when(F.size(found) <= limit, found).otherwise(picked)
+    pick = lambda found: F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.element_at(found, (i * (F.size(found) - 1) / F.lit(limit - 1)).cast("int") + 1))
+    return let(kmers(seq, k), lambda found: F.when(F.size(found) <= limit, found).otherwise(pick(found)))
 
 
 def interaction_tokens(heavy: Column, light: Column, cdr: Column, antigen: Column, limit: int = 16) -> Column:
     """X_a_b for sampled k-mers a of the antibody's binding region and b of the antigen; none without an antigen."""
     region = F.concat(F.coalesce(F.nullif(filled(cdr), F.lit("")), F.right(filled(heavy), F.lit(36))), F.right(filled(light), F.lit(24)))
     ours, theirs = sampled_kmers(region, limit=limit), sampled_kmers(antigen, limit=limit)
-    tokens = F.flatten(F.transform(ours, lambda a: F.transform(theirs, lambda b: F.concat(F.lit("X_"), a, F.lit("_"), b))))
+    tokens = let(F.struct(ours.alias("ours"), theirs.alias("theirs")), lambda s: F.flatten(F.transform(s["ours"], lambda a: F.transform(s["theirs"], lambda b: F.concat(F.lit("X_"), a, F.lit("_"), b)))))
     return F.when(filled(antigen) == "", F.array().cast("array<string>")).otherwise(tokens)
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.sequences import RESIDUES, filled, mutation_notation, numeric_features, sequence_text
+from sievewright.functions.sequences import RESIDUES, filled, interaction_tokens, mutation_notation, numeric_features, sequence_text
 
 
 def ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
@@ -28,6 +29,12 @@ def hashed_features(df: DataFrame, heavy: str, light: str, antigen: str, size: i
     return VectorAssembler(inputCols=["_unit", *names], outputCol=name).transform(rows).drop("_grams", "_tf", "_unit", *names)
 
 
+def interaction_features(df: DataFrame, heavy: str, light: str, cdr: str, antigen: str, size: int = 1 << 12, name: str = "features") -> DataFrame:
+    """df with hashed tokens that join the antibody's k-mers to the antigen's; tokens add up, signs do not alternate."""
+    rows = df.withColumn("_tokens", interaction_tokens(F.col(heavy), F.col(light), F.col(cdr), F.col(antigen)))
+    return Normalizer(inputCol="_tf", outputCol=name, p=2.0).transform(HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=size).transform(rows)).drop("_tokens", "_tf")
+
+
 def positional_features(df: DataFrame, heavy: str, light: str, size: int = 1 << 13, name: str = "features") -> DataFrame:
     """df with one hashed indicator for each residue at each place of both chains."""
     at = lambda c, tag: F.transform(F.split(filled(F.col(c)), ""), lambda x, i: F.concat(F.lit(tag), i.cast("string"), x))
@@ -46,6 +53,24 @@ def predict(model, rows: DataFrame, name: str = "prediction") -> DataFrame:
     return model.transform(rows).withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))))
 
 
+def fit_pairwise(pairs: DataFrame, features: DataFrame, id_col: str, strength: float = 0.01):
+    """Logistic regression without intercept on feature differences, each pair in both directions."""
+    side = lambda s: features.select(F.col(id_col).alias(f"{s}_record_id"), vector_to_array("features").alias(f"_{s}"))
+    met = pairs.join(side("left"), "left_record_id").join(side("right"), "right_record_id")
+    diff = F.zip_with("_left", "_right", lambda a, b: a - b)
+    rows = met.select(diff.alias("d"), "pair_weight", (F.col("preference") == 1).cast("double").alias("label"))
+    both = rows.union(rows.select(F.transform("d", lambda x: -x), "pair_weight", F.lit(1.0) - F.col("label")))
+    rows = both.select(array_to_vector("d").alias("features"), "pair_weight", "label")
+    return LogisticRegression(fitIntercept=False, regParam=strength, elasticNetParam=0.05, weightCol="pair_weight", maxIter=20).fit(rows)
+
+
+def pairwise_scores(model, features: DataFrame, name: str = "score") -> DataFrame:
+    """features with the linear score of a pairwise model; only its order means anything."""
+    weights = [float(x) for x in model.coefficients.toArray()]
+    wide = F.array(*[F.lit(x) for x in weights])
+    return features.withColumn(name, F.aggregate(F.zip_with(vector_to_array("features"), wide, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+
+
 def bradley_terry(pairs: DataFrame, rounds: int = 25) -> DataFrame:
     """(item, strength): log strengths with mean 0 of a preference graph, by the fixed point of weighted wins.
 

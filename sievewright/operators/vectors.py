@@ -111,3 +111,19 @@ def consensus(rows: DataFrame, by: str, seq: str) -> DataFrame:
 
 def bins(value: Column) -> Column:
     return F.when(value <= 0.5, "near").when(value <= 0.9, "middle").when(value.isNotNull(), "far")
+
+
+def chain_embeddings(rows: DataFrame, store: DataFrame, heavy: str, light: str, size: int) -> DataFrame:
+    """rows with `heavy_vector` and `light_vector` from a store of (sequence, embedding); a missing light chain is the zero vector.
+
+    Rows whose heavy chain the store lacks are left out.
+    """
+    zero = F.array_repeat(F.lit(0.0), size)
+    one = store.groupBy("sequence").agg(F.first("embedding").alias("_e"))
+    side = lambda c, name: one.select(F.col("sequence").alias(c), F.transform("_e", lambda x: x.cast("double")).alias(name))
+    return rows.join(side(heavy, "heavy_vector"), heavy).join(side(light, "_l"), light, "left").withColumn("light_vector", F.coalesce("_l", zero)).drop("_l")
+
+
+def interaction_features(a: Column, b: Column) -> Column:
+    """Both vectors, their absolute difference and their product, one after the other."""
+    return F.concat(a, b, F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.zip_with(a, b, lambda x, y: x * y))

@@ -41,3 +41,21 @@ def group_means(df: DataFrame, keys: list[str], score: str, source: str | None =
     """Mean score of each key, and how many sources it has if one is named."""
     extra = [F.count_distinct(source).alias("source_count")] if source else []
     return df.groupBy(*keys).agg(F.avg(score).alias("score"), *extra)
+
+
+def weighted_draws(df: DataFrame, id_col: str, weight: Column, size: int, seed: int, most: int = 24) -> DataFrame:
+    """df with `times`, rows drawn with replacement in proportion to their weight, `size` draws expected in all.
+
+    Each row's count is Poisson by the inverse of its distribution at a hash of seed and id, so rows are drawn on their own
+    and no order or running sum is needed. Rows drawn 0 times are left out; no positive weight gives no rows.
+    """
+    rows = df.withColumn("_w", F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)))
+    total = rows.agg(F.sum("_w")).first()[0] or 0.0
+    rate = F.col("_w") * F.lit(size / total if total else 0.0)
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("double") / F.lit(2.0**48)
+    steps = F.sequence(F.lit(1), F.lit(most))
+    start = F.struct(F.exp(-F.col("_m")).alias("p"), F.exp(-F.col("_m")).alias("c"), F.lit(0).alias("n"))
+    walk = lambda acc, k: F.when(acc["c"] > F.col("_u"), acc).otherwise(F.struct((acc["p"] * F.col("_m") / k).alias("p"), (acc["c"] + acc["p"] * F.col("_m") / k).alias("c"), (acc["n"] + 1).alias("n")))
+    rows = rows.withColumn("_m", rate).withColumn("_u", u).withColumn("_base", F.floor(F.col("_m") / 8) * 8)
+    rows = rows.withColumn("_m", F.col("_m") - F.col("_base"))  # a large rate is a fixed part and a small random one
+    return rows.withColumn("times", (F.col("_base") + F.aggregate(steps, start, walk)["n"]).cast("int")).where("times > 0").drop("_w", "_m", "_u", "_base")

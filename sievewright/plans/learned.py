@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import sequences
-from sievewright.operators import metrics, models, pairs
+from sievewright.operators import metrics, models, pairs, vectors
 from sievewright.plans.reference import _comparable, query, read
 from sievewright.session import stage
 
@@ -65,3 +66,28 @@ def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
     best = Window.partitionBy("cdrh3").orderBy(F.desc("score"), "candidate")
     return scored.withColumn("place", F.row_number().over(best)).where("place <= 10")
 
+
+
+@query()
+def interaction_linear(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _demo(spark, sf).withColumn("cdrh3", F.lit(""))
+    rows = stage(models.interaction_features(rows, "heavy", "light", "cdrh3", "antigen_seq", 1 << 10))
+    return _evaluated(models.predict(models.fit_linear(rows.where("split = 'train'"), "score"), rows))
+
+
+@query()
+def pairwise_linear(spark: SparkSession, sf: str) -> DataFrame:
+    made = pairs.preference_pairs(_comparable(spark, sf).where("split = 'train'"), total=5_000)
+    rows = stage(models.hashed_features(_demo(spark, sf), "heavy", "light", "antigen_seq", 1 << 8))
+    scored = models.pairwise_scores(models.fit_pairwise(made, rows, "record_id"), rows, "prediction")
+    return _evaluated(scored)
+
+
+@query()
+def embedding_head(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "embeddings").withColumn("sequence", F.col("vec_id").cast("string"))
+    rows = e.select("vec_id", "label", "sequence", F.when(F.col("vec_id") % 2 == 0, (F.col("vec_id") - 1).cast("string")).otherwise("").alias("other"))
+    both = vectors.chain_embeddings(rows, e.select("sequence", "embedding"), "sequence", "other", 64)
+    rows = both.select(F.col("vec_id").alias("record_id"), (F.col("label") / F.lit(10.0)).alias("score"), F.when(F.col("vec_id") % 5 == 0, "validation").otherwise("train").alias("split"), array_to_vector(vectors.interaction_features(F.col("heavy_vector"), F.col("light_vector"))).alias("features"))
+    rows = stage(rows)
+    return _evaluated(models.predict(models.fit_linear(rows.where("split = 'train'"), "score"), rows))

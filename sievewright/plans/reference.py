@@ -178,6 +178,19 @@ def regime_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(metrics.regression_metrics(rows, "truth", "a", "event_id", ["regime"]), ["regime"])
 
 
+_REPORT = [("all", "''"), ("event_type", "event_type"), ("user", "CAST(user_id AS VARCHAR)"), ("antibody", "CASE WHEN event_id % 3 = 0 THEN 'single' ELSE 'pair' END")]
+_REPORT_SQL = " UNION ALL ".join(f"SELECT '{n}' AS view, {e} AS part, * FROM ({_EVENTS_SQL})" for n, e in _REPORT)
+
+
+@query(metrics_sql(_REPORT_SQL, "truth", "a", "event_id", ["view", "part"]))
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf)
+    parts = {"all": F.lit(""), "event_type": F.col("event_type"), "user": F.col("user_id").cast("string"), "antibody": F.when(F.col("event_id") % 3 == 0, "single").otherwise("pair")}
+    views = F.array(*[F.struct(F.lit(v).alias("view"), p.alias("part")) for v, p in parts.items()])
+    long = e.withColumn("_v", F.explode(views)).select("event_id", "truth", "a", "_v.view", "_v.part")
+    return _rounded(metrics.regression_metrics(long, "truth", "a", "event_id", ["view", "part"]), ["view", "part"])
+
+
 # --- alignment and ensembles ----------------------------------------------------------------------------------------
 
 
@@ -290,6 +303,12 @@ def replicate_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return weights.collapse_replicates(rows, ["heavy", "light"], "score", 0.5).select("heavy", "light", r9("score", "score"), "replicates", "copy")
 
 
+@query()
+def weighted_sample(spark: SparkSession, sf: str) -> DataFrame:
+    rows = weights.source_balance(read(spark, sf, "documents").where("source is not null").select("doc_id", "source"), "source", 1.0)
+    return weights.weighted_draws(rows, "doc_id", F.col("weight"), 500, 9).select("doc_id", "source", "times")
+
+
 # --- sequences and numbers ------------------------------------------------------------------------------------------
 
 _SEQ = lambda c: f"upper(regexp_replace(coalesce({c}, ''), '[^A-Za-z]', '', 'g'))"
@@ -558,6 +577,25 @@ def fuzzy_name_match(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().select("name", near["name"].alias("nearest"))
 
 
+_CURATED_SQL = f"""WITH r AS (SELECT r.raw_id, r.source_file, g.source_group, {_NORM('heavy')} AS h, {_NORM('light')} AS l, {_NORM('antigen_seq')} AS s, r.raw_label * r.direction AS v, coalesce(r.comparison_group, r.source_file) AS grp FROM raw_record r JOIN label_registry g USING (source_file)
+        WHERE g.supervised_use = 'yes' AND r.raw_label IS NOT NULL AND NOT isnan(r.raw_label) AND (g.censor_policy NOT IN ('require_positive_finite', 'require_positive_and_below_max') OR r.raw_label > 0)),
+    k AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY v) + (count(*) OVER (PARTITION BY grp, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY grp) AS sz FROM r WHERE h <> ''),
+    d AS (SELECT *, row_number() OVER (PARTITION BY source_group, h, l, s ORDER BY raw_id) AS o FROM k)
+    SELECT raw_id, source_group, round(CASE WHEN sz = 1 THEN 0.5 ELSE (rk - 1) / (sz - 1) END, 9) AS score FROM d WHERE o = 1"""
+
+
+@query(_CURATED_SQL)
+def curated_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Registry gate, label policy, percentile within the comparison group, then the first record of each chain triple in its source group."""
+    n = sequences.normalize_sequence
+    registry = read(spark, sf, "label_registry").where("supervised_use = 'yes'").select("source_file", "source_group", "censor_policy")
+    rows = lookup_join(read(spark, sf, "raw_record"), registry, ["source_file"], "inner", 160).where(F.col("raw_label").isNotNull() & ~F.isnan("raw_label"))
+    positive = F.col("censor_policy").isin("require_positive_finite", "require_positive_and_below_max")
+    rows = rows.where(~positive | (F.col("raw_label") > 0)).select("raw_id", "source_group", n(F.col("heavy")).alias("h"), n(F.col("light")).alias("l"), n(F.col("antigen_seq")).alias("s"), (F.col("raw_label") * F.col("direction")).alias("v"), F.coalesce("comparison_group", "source_file").alias("grp")).where("h <> ''")
+    scored = ranks.with_percentile(rows, F.col("v"), ["grp"], "score")
+    return splits.first_occurrence(scored, ["source_group", "h", "l", "s"], [F.col("raw_id")]).select("raw_id", "source_group", r9("score", "score"))
+
+
 # --- pairs ----------------------------------------------------------------------------------------------------------
 
 _LIMIT_TOTAL, _PAIR_SEED = 20_000, 42
