@@ -12,9 +12,10 @@ from sievewright.operators.metrics import safe_correlation
 
 def file_profile(df: DataFrame, by: str, sequences: list[str], label: str) -> DataFrame:
     """Rows, states and lengths of each sequence column and the label's range, one row a file."""
+    df = df.select(by, label, *[sequence_state(F.col(c)).alias(f"_s_{c}") for c in sequences])  # each state is computed once
     aggs = [F.count("*").alias("rows")]
     for c in sequences:
-        s = sequence_state(F.col(c))
+        s = F.col(f"_s_{c}")
         for state in ("missing", "valid", "invalid"):
             aggs.append(F.count_if(s["state"] == state).alias(f"{c}_{state}"))
         n = F.when(s["sequence"] != "", F.length(s["sequence"]))

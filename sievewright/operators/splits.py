@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievewright.functions.ranks import with_row_number
 from sievewright.functions.values import hashed_split, stable_bucket
 from sievewright.operators.graph import connected_components
+from sievewright.session import stage
 
 #: Splits in the order in which a key's records are kept when it occurs in several.
 PRIORITY = {"test": 0, "validation": 1, "train": 2}
@@ -59,7 +60,7 @@ def greedy_balance(df: DataFrame, key: str, shares: dict[str, float], first: str
     The largest goes to `first`. Every step depends on the ones before, so the sizes are folded in one array; more
     than GREEDY_GROUPS groups raise, since such a number needs no greedy balance: hash splits then are even.
     """
-    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("size"))
+    sizes = stage(df.groupBy(key).agg(F.count("*").alias("size"))).where(F.col(key).isNotNull())
     n, total = sizes.agg(F.count("*"), F.sum("size")).first()
     if n > GREEDY_GROUPS:
         raise ValueError(f"{n} groups are too many for a greedy balance; use group_hash_split")

@@ -667,13 +667,13 @@ def _profile_sql() -> str:
         n = f"nullif(length({_NORM(c)}), 0)"
         parts += [f"min({n})::INTEGER AS {c}_min", f"round(avg({n}), 6) AS {c}_mean", f"max({n})::INTEGER AS {c}_max"]
     v = "CASE WHEN NOT isnan(raw_label) AND abs(raw_label) < 'infinity'::DOUBLE THEN raw_label END"
-    return f"SELECT {', '.join(parts)}, count({v}) AS labels, min({v}) AS label_min, round(avg({v}), 6) AS label_mean, max({v}) AS label_max FROM raw_record GROUP BY source_file"
+    return f"SELECT {', '.join(parts)}, count({v}) AS labels, min({v}) AS label_min, round(avg({v}), 3) AS label_mean, max({v}) AS label_max FROM raw_record GROUP BY source_file"
 
 
 @query(_profile_sql())
 def file_audit_profile(spark: SparkSession, sf: str) -> DataFrame:
     p = quality.file_profile(read(spark, sf, "raw_record"), "source_file", ["heavy", "light"], "raw_label")
-    return p.select(*[F.round(c, 6).alias(c) if c.endswith("_mean") else F.col(c) for c in p.columns])
+    return p.select(*[F.round(c, 3 if c == "label_mean" else 6).alias(c) if c.endswith("_mean") else F.col(c) for c in p.columns])
 
 
 @query(f"SELECT count(*) AS files, sum(heavy_invalid)::BIGINT AS heavy_invalid, sum(light_missing)::BIGINT AS light_missing, count(*) FILTER (heavy_invalid > 0) AS files_with_heavy_invalid, count(*) FILTER (light_missing > 0) AS files_with_light_missing FROM ({_profile_sql()})")
