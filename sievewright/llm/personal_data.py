@@ -31,6 +31,7 @@ ORDINARY = set(
     "Curves Dear Decisions Der Des Die Documento Donor El Endotoxin Enviar Envoyer Expression Falta Fab File Fitting Fold For From Fragen Für Gemessen Gruß Half He Held Hello Hi However Il Im In Kinetic Known La Lane Las Le Les "
     "Library Light Loading Mail Materials Measured Medido Merci Mesures Missing Mr Mrs Ms Nach Name National No Nous Of On Off Operator Order Overall Passport Pieza Pièce Please Pooling Procedure Purity Raw Reader Readout "
     "Reagent Regards Replicates Return Row Rows Sample Samples Saludos See Sent Setup She Ship Sincerely Social Software Someone Spearman Splits Summary Tel Temperature Thanks The They This Those Titration To Two Values Versand "
+    "Answer Compare Consider Credit Decide Define Describe Discuss Explain Find Give Given How If Is It Let List Only Reject State Suppose True What When Where Which Who Why "
     "Wavelengths We Well Wells With Within You Your Wir Un Una Los Se".split()
 )
 
