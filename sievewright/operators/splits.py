@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievewright.functions.ranks import with_row_number
 from sievewright.functions.values import hashed_split, stable_bucket
@@ -57,28 +59,28 @@ def source_held_out(df: DataFrame, group: str, percent: int) -> DataFrame:
 def greedy_balance(df: DataFrame, key: str, shares: dict[str, float], first: str = "train") -> DataFrame:
     """(key, size, split): whole groups by falling size, each to the split with the least load against its target, ties by name.
 
-    The largest goes to `first`. Every step depends on the ones before, so the sizes are folded in one array; more
-    than GREEDY_GROUPS groups raise, since such a number needs no greedy balance: hash splits then are even.
+    The largest goes to `first`. Every step depends on the ones before, so one task walks the sorted sizes and keeps
+    nothing but the loads; more than GREEDY_GROUPS groups raise, since such a number needs no greedy balance: hash splits then are even.
     """
     sizes = stage(df.groupBy(key).agg(F.count("*").alias("size"))).where(F.col(key).isNotNull())
     n, total = sizes.agg(F.count("*"), F.sum("size")).first()
     if n > GREEDY_GROUPS:
         raise ValueError(f"{n} groups are too many for a greedy balance; use group_hash_split")
     names = sorted(shares)
-    state = F.struct(*[F.lit(0.0).alias(s) for s in names], F.array().cast("array<string>").alias("out"))
-    target = {s: float(total or 0) * shares[s] for s in names}
-
-    def choose(acc: Column) -> Column:
-        best = F.array_min(F.array(*[F.struct((acc[s] / F.lit(max(target[s], 1e-300))).alias("load"), F.lit(s).alias("name")) for s in names]))["name"]
-        return F.when(F.size(acc["out"]) == 0, F.lit(first)).otherwise(best)
-
-    def step(acc: Column, x: Column) -> Column:
-        to = choose(acc)
-        return F.struct(*[(acc[s] + F.when(to == s, x["size"].cast("double")).otherwise(0.0)).alias(s) for s in names], F.concat(acc["out"], F.array(to)).alias("out"))
-
-    ordered = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.col(key).alias("key"), F.col("size").alias("size")))).alias("xs"))
-    folded = ordered.select("xs", F.aggregate("xs", state, step)["out"].alias("out"))
-    return folded.select(F.explode(F.arrays_zip("xs", "out")).alias("z")).select(F.col("z.xs.key").alias(key), F.col("z.xs.size").alias("size"), F.col("z.out").alias("split"))
+    target = {s: max(float(total or 0) * shares[s], 1e-300) for s in names}
+
+    def place(batches):
+        load, to = dict.fromkeys(names, 0.0), first
+        for batch in batches:
+            out = []
+            for size in batch.column("size").to_pylist():
+                out.append(to)
+                load[to] += size
+                to = min(names, key=lambda s: load[s] / target[s])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "split"])
+
+    schema = T.StructType([*sizes.schema.fields, T.StructField("split", T.StringType())])
+    return sizes.repartition(1).sortWithinPartitions(F.desc("size"), key).mapInArrow(place, schema)
 
 
 def component_split(df: DataFrame, group: str, keys: list[str]) -> DataFrame:

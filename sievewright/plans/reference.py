@@ -469,7 +469,7 @@ def time_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def family_split_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _chains(spark, sf).where("h <> ''").select(F.substring(sequences.family_key(F.col("h"), F.col("l")), 1, 2).alias("family"))
+    rows = _chains(spark, sf).where("h <> ''").select(sequences.family_key(F.col("h"), F.col("l")).alias("family"))
     return splits.greedy_balance(rows, "family", {"train": 0.7, "validation": 0.15, "test": 0.15})
 
 
