@@ -77,7 +77,7 @@ def interaction_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pairwise_linear(spark: SparkSession, sf: str) -> DataFrame:
-    made = pairs.preference_pairs(_comparable(spark, sf).where("split = 'train'"), total=5_000)
+    made = pairs.preference_pairs(_comparable(spark, sf).where("split = 'train'"))
     rows = stage(models.hashed_features(_demo(spark, sf), "heavy", "light", "antigen_seq", 1 << 8))
     scored = models.pairwise_scores(models.fit_pairwise(made, rows, "record_id"), rows, "prediction")
     return _evaluated(scored)

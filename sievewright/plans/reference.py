@@ -598,6 +598,7 @@ def curated_records(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- pairs ----------------------------------------------------------------------------------------------------------
 
+#: Total of the SQL alone; the queries take the operator's default.
 _LIMIT_TOTAL, _PAIR_SEED = 20_000, 42
 _COMPARABLE_SQL = """SELECT DISTINCT record_id, score AS label, antigen_id AS comparison_group, lower(trim(split)) AS split, CASE WHEN length(coalesce(light, '')) = 0 THEN 0.65::DOUBLE ELSE 1.0::DOUBLE END AS quality, score < 0.05 AS is_censored, CASE WHEN score > 0.9 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS conflict
     FROM math_demo WHERE score IS NOT NULL AND antigen_id IS NOT NULL AND antigen_id <> '' AND record_id IS NOT NULL"""
@@ -626,7 +627,7 @@ _PAIRS_SQL = f"""
 
 @query(_PAIRS_SQL + " SELECT left_record_id, right_record_id, preference, round(pair_weight, 9) AS pair_weight, comparison_group, reason FROM pairs")
 def preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    out = pairs.preference_pairs(_comparable(spark, sf), total=_LIMIT_TOTAL, seed=_PAIR_SEED)
+    out = pairs.preference_pairs(_comparable(spark, sf), seed=_PAIR_SEED)
     return out.withColumn("pair_weight", F.round("pair_weight", 9))
 
 
@@ -634,14 +635,14 @@ def preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def pair_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     rows = _comparable(spark, sf)
     scores = rows.select("record_id", ((F.length("comparison_group") + F.length("record_id") % 3).cast("double") * F.lit(0.1) + F.col("label") * F.col("label")).alias("score"))
-    out = metrics.pair_accuracy(pairs.preference_pairs(rows, total=_LIMIT_TOTAL, seed=_PAIR_SEED), scores, "record_id", "score")
+    out = metrics.pair_accuracy(pairs.preference_pairs(rows, seed=_PAIR_SEED), scores, "record_id", "score")
     return out.select("pairs", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query()
 def pair_validation(spark: SparkSession, sf: str) -> DataFrame:
     rows = _comparable(spark, sf)
-    return pairs.validate_pairs(pairs.preference_pairs(rows, total=_LIMIT_TOTAL, seed=_PAIR_SEED), rows)
+    return pairs.validate_pairs(pairs.preference_pairs(rows, seed=_PAIR_SEED), rows)
 
 
 @query("""WITH x AS (SELECT DISTINCT record_id, score, antigen_id FROM math_demo WHERE score IS NOT NULL AND antigen_id IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY antigen_id ORDER BY score, record_id) AS i, count(*) OVER (PARTITION BY antigen_id) AS n FROM x)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import sequences
+from sievewright.operators import models
 from sievewright.plans import catalogue
 from sievewright.plans.reference import _chains
 
@@ -30,3 +31,20 @@ def test_greedy_split_places_whole_families(spark, sf):
         want[k] = "train" if i == 0 else min(shares, key=lambda s: (load[s] / (total * shares[s]), s))
         load[want[k]] += sizes[k]
     assert {r["family"]: r["split"] for r in got} == want
+
+
+def demo(spark, folder, groups, size):
+    """math_demo with unlike scores and one split: every pair of a group is a comparison."""
+    rows = [(f"r{g}_{i}", "ACDEFGHIKL"[i % 10] * 12 + "MNPQ"[g % 4], "", "AAAA", f"g{g}", "f", 0.1 + 0.7 * i / size, "train") for g in range(groups) for i in range(size)]
+    spark.createDataFrame(rows, "record_id string, heavy string, light string, antigen_seq string, antigen_id string, source_file string, score double, split string").write.parquet(f"{folder}/math_demo.parquet")
+    return str(folder)
+
+
+def test_pairs_take_the_default_limit(spark, tmp_path, monkeypatch):
+    sf, every = demo(spark, tmp_path, 60, 32), 60 * 32 * 31 // 2
+    assert catalogue.queries()["preference_pairs"](spark, sf).count() == every > 20_000
+    assert catalogue.queries()["pair_accuracy"](spark, sf).first()["pairs"] == every
+    seen, fit = [], models.fit_pairwise
+    monkeypatch.setattr(models, "fit_pairwise", lambda made, *a, **k: seen.append(made.count()) or fit(made.limit(100), *a, **k))
+    catalogue.queries()["pairwise_linear"](spark, sf)
+    assert seen == [every]
