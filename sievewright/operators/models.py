@@ -35,11 +35,11 @@ def interaction_features(df: DataFrame, heavy: str, light: str, cdr: str, antige
     return Normalizer(inputCol="_tf", outputCol=name, p=2.0).transform(HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=size).transform(rows)).drop("_tokens", "_tf")
 
 
-def positional_features(df: DataFrame, heavy: str, light: str, size: int = 1 << 13, name: str = "features") -> DataFrame:
-    """df with one hashed indicator for each residue at each place of both chains."""
+def positional_features(df: DataFrame, heavy: str, light: str, size: int = 1 << 13, name: str = "features", binary: bool = True) -> DataFrame:
+    """df with one hashed indicator for each residue at each place of both chains; without `binary` those that share a bucket add up."""
     at = lambda c, tag: F.transform(F.split(filled(F.col(c)), ""), lambda x, i: F.concat(F.lit(tag), i.cast("string"), x))
     rows = df.withColumn("_at", F.concat(at(heavy, "H"), at(light, "L")))
-    return HashingTF(inputCol="_at", outputCol=name, numFeatures=size, binary=True).transform(rows).drop("_at")
+    return HashingTF(inputCol="_at", outputCol=name, numFeatures=size, binary=binary).transform(rows).drop("_at")
 
 
 def fit_linear(train: DataFrame, label: str, weight: str | None = None, strength: float = 0.01, mix: float = 0.0, huber: bool = False):

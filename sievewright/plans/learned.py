@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import sequences
-from sievewright.operators import metrics, models, pairs, vectors
+from sievewright.operators import design, metrics, models, pairs, vectors
 from sievewright.plans.reference import _comparable, query, read
 from sievewright.session import stage
 
@@ -57,15 +57,12 @@ def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten best single mutants of every binding loop."""
-    parents = read(spark, sf, "raw_record").select(sequences.normalize_sequence(F.col("cdrh3")).alias("cdrh3")).where("cdrh3 <> ''").distinct()
-    rows = models.single_mutants(parents, "cdrh3")
-    penalty = sequences.liabilities(F.col("candidate"))[-1]
-    rows = rows.select("cdrh3", "candidate", "mutations", "mutation_count", penalty)
-    scored = rows.withColumn("score", F.round(models.candidate_score(F.lit(0.0), F.col("liability_penalty"), F.col("mutation_count")), 9))
-    best = Window.partitionBy("cdrh3").orderBy(F.desc("score"), "candidate")
-    return scored.withColumn("place", F.row_number().over(best)).where("place <= 10")
-
+    """The ten best of the single and multi-point mutants of every binding loop, each in its own chains."""
+    size, n = 1 << 13, sequences.normalize_sequence
+    train = _demo(spark, sf).where("split = 'train'")
+    model = models.fit_linear(models.positional_features(train, "heavy", "light", size, binary=False), "score", strength=0.1)
+    targets = read(spark, sf, "raw_record").select(*[n(F.col(c)).alias(c) for c in ("heavy", "light", "antigen_seq", "cdrh3")]).distinct()
+    return design.ranked_candidates(targets, model, size)
 
 
 @query()

@@ -48,3 +48,28 @@ def test_pairs_take_the_default_limit(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "fit_pairwise", lambda made, *a, **k: seen.append(made.count()) or fit(made.limit(100), *a, **k))
     catalogue.queries()["pairwise_linear"](spark, sf)
     assert seen == [every]
+
+
+def test_candidates_are_scored_in_their_chains(spark, sf):
+    rows = catalogue.queries()["candidate_ranking"](spark, sf)
+    whole = F.expr("concat(substr(heavy, 1, instr(heavy, cdrh3) - 1), candidate, substr(heavy, instr(heavy, cdrh3) + length(cdrh3)))")
+    full = rows.withColumn("_h", whole).withColumn("penalty", sequences.liabilities(F.concat("_h", "light"))[-1]).toPandas()
+    assert (abs(full["penalty"] - full["liability_penalty"]) < 1e-9).all()
+    assert (abs(full["predicted_score"] - full["liability_penalty"] - 0.01 * full["mutation_count"] - full["score"]) < 1e-8).all()
+    assert full["predicted_score"].nunique() > 100 and set(full["mutation_count"]) >= {1, 2, 3} and full["place"].max() == 10
+    assert not full.duplicated(["heavy", "light", "antigen_seq", "cdrh3", "candidate"]).any()
+
+
+def test_candidate_predictions_are_the_models(spark):
+    from sievewright.operators import design
+
+    made = [("ACDEFNGHIK", "QV", "AAAA", "DEFN"), ("ACDEFSGHIK", "", "AAAA", "FSG"), ("CCCC", "", "A", "CC")]
+    rows = spark.createDataFrame(made, "heavy string, light string, antigen_seq string, cdrh3 string")
+    train = rows.withColumn("score", F.length("heavy") / 20.0 + F.length("light") / 10.0)
+    model = models.fit_linear(models.positional_features(train, "heavy", "light", 16, binary=False), "score", strength=0.001)
+    out = design.ranked_candidates(rows, model, 16, 60).toPandas()
+    out["parent"], out["heavy"] = out["heavy"], [h.replace(c, x, 1) for h, c, x in zip(out["heavy"], out["cdrh3"], out["candidate"])]
+    again = models.predict(model, models.positional_features(spark.createDataFrame(out[["heavy", "light", "parent", "cdrh3", "candidate"]]), "heavy", "light", 16, binary=False))
+    want = {(r["parent"], r["cdrh3"], r["candidate"]): r["prediction"] for r in again.collect()}
+    assert set(out["parent"]) == {"ACDEFNGHIK", "ACDEFSGHIK"}
+    assert all(want[r.parent, r.cdrh3, r.candidate] == pytest.approx(r.predicted_score, abs=1e-9) for r in out.itertuples())
