@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.functions.ranks import with_ranks, with_row_number
+from sievewright.functions.ranks import WINDOW_ROWS, with_ranks, with_row_number
 
 METRICS = ["n", "rmse", "mae", "pearson", "spearman", "top10_enrichment"]
 
@@ -78,14 +82,40 @@ def _weighted_correlation(x: str, y: str, w: str) -> Column:
     return F.when(n >= 3, F.try_divide(cov, F.when(spread > 0, spread)))
 
 
-def bootstrap_correlations(df: DataFrame, truth: str, scores: list[str], cluster: str, rounds: int, seed: int) -> DataFrame:
+def _block_correlations(rows: pd.DataFrame, truth: str, scores: list[str], rounds: range, seed: int) -> pd.DataFrame:
+    """The rounds of bootstrap_correlations over the whole table in one task, all in numpy; clusters are never null."""
+    names, cluster = np.unique(rows["cluster"].to_numpy(), return_inverse=True)
+    size, codes = len(names), {c: np.unique(rows[c].to_numpy(), return_inverse=True)[1] for c in [truth, *scores]}
+    out = []
+    for r in rounds:
+        drawn = [int(md5(f"{seed}|{r}|{k}".encode()).hexdigest()[:12], 16) % size for k in range(size)]
+        w = np.bincount(drawn, minlength=size).astype(float)[cluster]
+        n, centred = w.sum(), {}
+        for c, code in codes.items():
+            per = np.bincount(code, w)
+            rank = (np.cumsum(per) - per + (per + 1) / 2.0)[code]
+            centred[c] = rank - (w * rank).sum() / n
+        var = {c: (w * x * x).sum() for c, x in centred.items()}
+        spread = [np.sqrt(var[truth] * var[s]) for s in scores]
+        out.append((r, *[(w * centred[truth] * centred[s]).sum() / d if n >= 3 and d > 0 else None for s, d in zip(scores, spread)]))
+    return pd.DataFrame(out, columns=["round", *[f"rho_{s}" for s in scores]])
+
+
+def bootstrap_correlations(df: DataFrame, truth: str, scores: list[str], cluster: str, rounds: int, seed: int, task_rows: int = WINDOW_ROWS) -> DataFrame:
     """(round, one correlation a score): Spearman of cluster-resampled rows.
 
     Ranks within a round weigh rows by their cluster's draws: a value's rank is the weight before it plus half its own.
-    Rows meet rounds through their cluster only.
+    While the table fits one task, blocks of rounds are dealt to tasks that each take it whole; beyond that rows meet
+    rounds through their cluster only. Rows without a cluster are left out.
     """
-    times = bootstrap_multiplicities(df.select(F.col(cluster).alias("cluster")), rounds, seed)
-    rows = df.select(F.col(cluster).alias("cluster"), truth, *scores).join(times, "cluster")
+    df = df.select(F.col(cluster).alias("cluster"), truth, *scores).where("cluster is not null")
+    if df.count() <= task_rows:
+        blocks = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        many = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "_block")
+        run = lambda key, rows: _block_correlations(rows, truth, scores, range(key[0], rounds, blocks), seed)
+        return many.groupBy("_block").applyInPandas(run, ", ".join(["round int", *[f"rho_{s} double" for s in scores]]))
+    times = bootstrap_multiplicities(df.select("cluster"), rounds, seed)
+    rows = df.join(times, "cluster")
     for c in [truth, *scores]:
         per = rows.groupBy("round", c).agg(F.sum("times").alias("_w"))
         before = Window.partitionBy("round").orderBy(c)

@@ -122,7 +122,9 @@ def macro_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*[F.round(c, 5).alias(c) if c.endswith("spearman") else c for c in out.columns])
 
 
+#: Rounds of the SQL alone, which also folds users by a modulo; the queries take the reference's rounds over users.
 _ROUNDS, _SEED = 20, 11
+_CI_ROUNDS, _PAIRED_ROUNDS = 1_000, 2_000
 _DRAWS_SQL = f"""
     c AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM e)),
     d AS (SELECT r.round, (CAST('0x' || substr(md5('{_SEED}|' || r.round || '|' || c.k), 1, 12) AS BIGINT) % (SELECT count(*) FROM c)) AS k FROM c, (SELECT unnest(range({_ROUNDS})) AS round) r),
@@ -138,21 +140,20 @@ def _boot_sql(scores: list[str]) -> str:
         b AS (SELECT round, {', '.join(map(rho, scores))} FROM y GROUP BY round)"""
 
 
-def _boot(spark: SparkSession, sf: str, scores: list[str]) -> DataFrame:
-    rows = _events(spark, sf).withColumn("cluster", F.col("user_id") % 40)
-    return metrics.bootstrap_correlations(rows, "truth", scores, "cluster", _ROUNDS, _SEED)
+def _boot(spark: SparkSession, sf: str, scores: list[str], rounds: int) -> DataFrame:
+    return metrics.bootstrap_correlations(_events(spark, sf), "truth", scores, "user_id", rounds, _SEED)
 
 
 @query(_boot_sql(["b"]) + "SELECT count(rho_b) AS rounds_valid, round(quantile_cont(rho_b, 0.025), 6) AS low, round(quantile_cont(rho_b, 0.5), 6) AS median, round(quantile_cont(rho_b, 0.975), 6) AS high FROM b")
 def cluster_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    out = metrics.bootstrap_interval(_boot(spark, sf, ["b"]), "rho_b")
+    out = metrics.bootstrap_interval(_boot(spark, sf, ["b"], _CI_ROUNDS), "rho_b")
     return out.select("rounds_valid", *[F.round(c, 6).alias(c) for c in ("low", "median", "high")])
 
 
 @query(_boot_sql(["a", "b"]) + """SELECT round(avg(rho_b - rho_a), 6) AS mean_delta, round(stddev_samp(rho_b - rho_a), 6) AS sd_delta, round(quantile_cont(rho_b - rho_a, 0.025), 6) AS low, round(quantile_cont(rho_b - rho_a, 0.975), 6) AS high,
        avg(CASE WHEN rho_b > rho_a THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_better FROM b""")
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    out = metrics.paired_delta(_boot(spark, sf, ["a", "b"]), "rho_a", "rho_b")
+    out = metrics.paired_delta(_boot(spark, sf, ["a", "b"], _PAIRED_ROUNDS), "rho_a", "rho_b")
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean_delta", "sd_delta", "low", "high")], "p_better")
 
 

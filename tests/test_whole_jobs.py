@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.functions import sequences
-from sievewright.operators import models
+from sievewright.operators import metrics, models
 from sievewright.plans import catalogue
 from sievewright.plans.reference import _chains
 
@@ -73,3 +73,18 @@ def test_candidate_predictions_are_the_models(spark):
     want = {(r["parent"], r["cdrh3"], r["candidate"]): r["prediction"] for r in again.collect()}
     assert set(out["parent"]) == {"ACDEFNGHIK", "ACDEFSGHIK"}
     assert all(want[r.parent, r.cdrh3, r.candidate] == pytest.approx(r.predicted_score, abs=1e-9) for r in out.itertuples())
+
+
+def test_bootstrap_resamples_users_in_all_rounds(spark, sf, monkeypatch):
+    seen, run = [], metrics.bootstrap_correlations
+    monkeypatch.setattr(metrics, "bootstrap_correlations", lambda df, truth, scores, cluster, rounds, seed: seen.append((cluster, rounds)) or run(df, truth, scores, cluster, rounds, seed))
+    assert catalogue.queries()["cluster_bootstrap_ci"](spark, sf).first()["rounds_valid"] == 1000
+    p = catalogue.queries()["paired_bootstrap"](spark, sf).first()["p_better"]
+    assert p * 2000 == pytest.approx(round(p * 2000)) and seen == [("user_id", 1000), ("user_id", 2000)]
+
+
+def test_bootstrap_routes_agree(spark):
+    df = spark.createDataFrame([(f"u{i % 13}" if i % 7 else None, float(i * i % 31), float(i * 7 % 29), float(i % 5)) for i in range(200)], "u string, t double, a double, b double")
+    key = lambda n: {r["round"]: (r["rho_a"], r["rho_b"]) for r in metrics.bootstrap_correlations(df, "t", ["a", "b"], "u", 30, 3, n).collect()}
+    one, many = key(1_000), key(0)
+    assert set(one) == set(many) == set(range(30)) and all(one[r] == pytest.approx(many[r], abs=1e-9) for r in one)
