@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
@@ -11,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.sequences import RESIDUES, filled, interaction_tokens, mutation_notation, numeric_features, sequence_text
+from sievewright.operators.graph import connected_components
 
 
 def ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
@@ -71,25 +76,61 @@ def pairwise_scores(model, features: DataFrame, name: str = "score") -> DataFram
     return features.withColumn(name, F.aggregate(F.zip_with(vector_to_array("features"), wide, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
 
 
-def bradley_terry(pairs: DataFrame, rounds: int = 25) -> DataFrame:
-    """(item, strength): log strengths with mean 0 of a preference graph, by the fixed point of weighted wins.
+def _settled(rows: pd.DataFrame, rounds: int | None, tolerance: float) -> pd.DataFrame:
+    """The fixed point of bradley_terry for whole components in one task."""
+    names, codes = np.unique(rows[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+    a, b = codes.reshape(-1, 2).T
+    w, size = rows["w"].to_numpy(), len(names)
+    won, p = np.bincount(a, w, size), np.ones(size)
+    for _ in itertools.count() if rounds is None else range(rounds):
+        share = w / (p[a] + p[b])
+        new = (won + 0.5) / (np.bincount(a, share, size) + np.bincount(b, share, size) + 1.0 / (p + 1.0))
+        change, p = np.abs(np.log(new / p)).max(), new
+        if change < tolerance:
+            break
+    return pd.DataFrame({"item": names, "p": p})
 
-    A virtual draw against an average item keeps items without wins or losses finite. One round is two joins and two
-    aggregations over the pair table; items and pairs stay distributed.
-    """
+
+def _settled_apart(both: DataFrame, rounds: int | None, tolerance: float) -> DataFrame:
+    """The same with items and pairs distributed: one round is two joins and two aggregations over the pair table."""
     from sievewright.session import drop_staged, stage
 
-    both = pairs.groupBy(F.col("left_record_id").alias("a"), F.col("right_record_id").alias("b")).agg(F.sum("pair_weight").alias("w"))
     wins = both.groupBy("a").agg(F.sum("w").alias("won"))
     met = stage(both.select("a", "b", "w").union(both.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("n")))
     now = stage(met.select("a").distinct().join(wins, "a", "left").select(F.col("a").alias("item"), F.coalesce("won", F.lit(0.0)).alias("won"), F.lit(1.0).alias("p")))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         other = now.select(F.col("item").alias("b"), F.col("p").alias("q"))
         own = met.join(now.select(F.col("item").alias("a"), "p"), "a").join(other, "b")
         load = own.groupBy("a").agg(F.sum(F.col("n") / (F.col("p") + F.col("q"))).alias("load")).withColumnRenamed("a", "item")
-        new = stage(now.join(load, "item").select("item", "won", ((F.col("won") + 0.5) / (F.col("load") + 1.0 / (F.col("p") + 1.0))).alias("p")))
+        p = (F.col("won") + 0.5) / (F.col("load") + 1.0 / (F.col("p") + 1.0))
+        new = stage(now.join(load, "item").select("item", "won", p.alias("p"), F.abs(F.log(p / F.col("p"))).alias("change")))
         drop_staged(now)
         now = new
+        if now.agg(F.max("change")).first()[0] < tolerance:
+            break
+    return now.select("item", "p")
+
+
+def bradley_terry(pairs: DataFrame, rounds: int | None = None, tolerance: float = 1e-6, task_pairs: int = 1_000_000) -> DataFrame:
+    """(item, strength): log strengths with mean 0 of a preference graph, by the fixed point of weighted wins.
+
+    A virtual draw against an average item keeps items without wins or losses finite. It ends when no log strength changes
+    by `tolerance`, or after `rounds` if they are given. Components do not touch each other: those of up to `task_pairs`
+    pairs are dealt to tasks whole, larger ones iterate over distributed tables.
+    """
+    from sievewright.session import stage
+
+    both = stage(pairs.groupBy(F.col("left_record_id").alias("a"), F.col("right_record_id").alias("b")).agg(F.sum("pair_weight").alias("w")))
+    roots = stage(connected_components(both, "a", "b").select(F.col("node").alias("a"), "root"))
+    rooted = stage(both.join(roots, "a"))
+    large = rooted.groupBy("root").count().where(F.col("count") > task_pairs).select("root")
+    small = rooted.join(large, "root", "left_anti")
+    buckets = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), rooted.count() // 100_000 + 1)
+    kind = both.schema["a"].dataType.simpleString()
+    found = small.groupBy(F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("_bucket")).applyInPandas(lambda rows: _settled(rows, rounds, tolerance), f"item {kind}, p double")
+    if large.limit(1).count():
+        found = found.unionByName(_settled_apart(rooted.join(large, "root", "left_semi"), rounds, tolerance))
+    now = stage(found)
     mean = now.agg(F.avg(F.log("p"))).first()[0] or 0.0
     return now.select("item", (F.log("p") - mean).alias("strength"))
 

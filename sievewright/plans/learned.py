@@ -45,8 +45,7 @@ def experts_blend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bradley_terry(spark: SparkSession, sf: str) -> DataFrame:
-    made = pairs.preference_pairs(_comparable(spark, sf), total=20_000)
-    return models.bradley_terry(made, 8)
+    return models.bradley_terry(pairs.preference_pairs(_comparable(spark, sf)))
 
 
 @query()

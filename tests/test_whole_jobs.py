@@ -88,3 +88,21 @@ def test_bootstrap_routes_agree(spark):
     key = lambda n: {r["round"]: (r["rho_a"], r["rho_b"]) for r in metrics.bootstrap_correlations(df, "t", ["a", "b"], "u", 30, 3, n).collect()}
     one, many = key(1_000), key(0)
     assert set(one) == set(many) == set(range(30)) and all(one[r] == pytest.approx(many[r], abs=1e-9) for r in one)
+
+
+def test_bradley_terry_settles(spark, sf):
+    chain = [(f"n{i:02}", f"n{i + 1:02}", 5.0) for i in range(30)] + [("x", "y", 2.0)]
+    made = spark.createDataFrame(chain, "left_record_id string, right_record_id string, pair_weight double")
+    got = {r["item"]: r["strength"] for r in models.bradley_terry(made).collect()}
+    few = {r["item"]: r["strength"] for r in models.bradley_terry(made, 8).collect()}
+    apart = {r["item"]: r["strength"] for r in models.bradley_terry(made, 3, task_pairs=0).collect()}
+    assert apart == pytest.approx({r["item"]: r["strength"] for r in models.bradley_terry(made, 3).collect()}, abs=1e-9)
+    more = {r["item"]: r["strength"] for r in models.bradley_terry(made, 5_000, 0.0).collect()}
+    assert got == pytest.approx(more, abs=1e-3) and few != pytest.approx(more, abs=0.1)
+
+
+def test_bradley_terry_takes_all_pairs(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "bradley_terry", lambda made, *a: seen.append((made.count(), a)) or made)
+    catalogue.queries()["bradley_terry"](spark, demo(spark, tmp_path, 60, 32))
+    assert seen == [(60 * 32 * 31 // 2, ())]
