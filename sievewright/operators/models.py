@@ -10,6 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,22 +59,35 @@ def predict(model, rows: DataFrame, name: str = "prediction") -> DataFrame:
     return model.transform(rows).withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))))
 
 
+def _entries(v) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(v, SparseVector):
+        return v.indices, v.values
+    at = np.flatnonzero(v.array)
+    return at, v.array[at]
+
+
+@F.udf(VectorUDT())
+def _difference(a, b, sign):
+    """sign * (a - b), sparse."""
+    (i, x), (j, y) = _entries(a), _entries(b)
+    at, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+    return SparseVector(len(a), at, sign * np.bincount(where, np.concatenate([x, -y]), len(at)))
+
+
 def fit_pairwise(pairs: DataFrame, features: DataFrame, id_col: str, strength: float = 0.01):
-    """Logistic regression without intercept on feature differences, each pair in both directions."""
-    side = lambda s: features.select(F.col(id_col).alias(f"{s}_record_id"), vector_to_array("features").alias(f"_{s}"))
+    """Logistic regression without intercept on sparse feature differences, each pair in both directions."""
+    side = lambda s: features.select(F.col(id_col).alias(f"{s}_record_id"), F.col("features").alias(f"_{s}"))
     met = pairs.join(side("left"), "left_record_id").join(side("right"), "right_record_id")
-    diff = F.zip_with("_left", "_right", lambda a, b: a - b)
-    rows = met.select(diff.alias("d"), "pair_weight", (F.col("preference") == 1).cast("double").alias("label"))
-    both = rows.union(rows.select(F.transform("d", lambda x: -x), "pair_weight", F.lit(1.0) - F.col("label")))
-    rows = both.select(array_to_vector("d").alias("features"), "pair_weight", "label")
+    both = met.withColumn("_sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    label = ((F.col("preference") == 1) == (F.col("_sign") > 0)).cast("double")
+    rows = both.select(_difference("_left", "_right", "_sign").alias("features"), "pair_weight", label.alias("label"))
     return LogisticRegression(fitIntercept=False, regParam=strength, elasticNetParam=0.05, weightCol="pair_weight", maxIter=20).fit(rows)
 
 
 def pairwise_scores(model, features: DataFrame, name: str = "score") -> DataFrame:
     """features with the linear score of a pairwise model; only its order means anything."""
-    weights = [float(x) for x in model.coefficients.toArray()]
-    wide = F.array(*[F.lit(x) for x in weights])
-    return features.withColumn(name, F.aggregate(F.zip_with(vector_to_array("features"), wide, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    scored = model.transform(features)
+    return scored.withColumn(name, vector_to_array("rawPrediction")[1]).select(*[c for c in features.columns if c != name], name)
 
 
 def _settled(rows: pd.DataFrame, rounds: int | None, tolerance: float) -> pd.DataFrame:

@@ -38,7 +38,7 @@ def ridge_positional(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def experts_blend(spark: SparkSession, sf: str) -> DataFrame:
     registry = read(spark, sf, "label_registry").select("source_file", "metric")
-    rows = stage(models.hashed_features(_demo(spark, sf).join(registry, "source_file", "left"), "heavy", "light", "antigen_seq", 1 << 8))
+    rows = stage(models.hashed_features(_demo(spark, sf).join(registry, "source_file", "left"), "heavy", "light", "antigen_seq", 1 << 16))
     out = models.experts(rows, "metric", "score", F.col("split") == "train")
     return _evaluated(out.withColumn("prediction", F.col("global_prediction") * 0.5 + F.col("expert_prediction") * 0.5))
 
@@ -67,14 +67,14 @@ def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def interaction_linear(spark: SparkSession, sf: str) -> DataFrame:
     rows = _demo(spark, sf).withColumn("cdrh3", F.lit(""))
-    rows = stage(models.interaction_features(rows, "heavy", "light", "cdrh3", "antigen_seq", 1 << 10))
+    rows = stage(models.interaction_features(rows, "heavy", "light", "cdrh3", "antigen_seq", 1 << 17))
     return _evaluated(models.predict(models.fit_linear(rows.where("split = 'train'"), "score"), rows))
 
 
 @query()
 def pairwise_linear(spark: SparkSession, sf: str) -> DataFrame:
     made = pairs.preference_pairs(_comparable(spark, sf).where("split = 'train'"))
-    rows = stage(models.hashed_features(_demo(spark, sf), "heavy", "light", "antigen_seq", 1 << 8))
+    rows = stage(models.hashed_features(_demo(spark, sf), "heavy", "light", "antigen_seq", 1 << 16))
     scored = models.pairwise_scores(models.fit_pairwise(made, rows, "record_id"), rows, "prediction")
     return _evaluated(scored)
 

@@ -106,3 +106,18 @@ def test_bradley_terry_takes_all_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "bradley_terry", lambda made, *a: seen.append((made.count(), a)) or made)
     catalogue.queries()["bradley_terry"](spark, demo(spark, tmp_path, 60, 32))
     assert seen == [(60 * 32 * 31 // 2, ())]
+
+
+def test_hashed_models_take_the_references_buckets(spark, sf, monkeypatch):
+    seen, fit = [], models.fit_linear
+    monkeypatch.setattr(models, "fit_linear", lambda train, *a, **k: seen.append(train.first()["features"].size) or fit(train, *a, **k))
+    for name in ("experts_blend", "interaction_linear"):
+        assert catalogue.queries()[name](spark, sf).first()["n"] > 0
+    assert seen[0] == (1 << 16) + 15 and seen[-1] == 1 << 17
+
+
+def test_pairwise_model_is_sparse_and_wide(spark, sf, monkeypatch):
+    seen, fit = [], models.fit_pairwise
+    monkeypatch.setattr(models, "fit_pairwise", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    assert catalogue.queries()["pairwise_linear"](spark, sf).first()["n"] > 0
+    assert len(seen[0].coefficients) == (1 << 16) + 15
