@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm.cross_split import cross_split_pairs, letters
+from sievewright.llm.cross_split import cross_split_pairs, cross_split_report, letters
 from sievewright.llm.formatting_duplicates import collapse_formatting, formatting_groups
 from sievewright.llm.keep_together import keep_together
 from sievewright.llm.leaked_passages import leaked_spans, without_leaks
@@ -39,9 +39,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping records and pairs by held-out split and source_group."""
     demo = _read(spark, sf, "math_demo").withColumn("source_group", F.replace(F.trim("source_group"), F.lit("\\"), F.lit("/")))
-    pairs = cross_split_pairs(demo, "record_id", "heavy", "light", "split", keep=("source_group",)).distinct()
-    per = pairs.groupBy("split", "source_group", "id_held").agg(F.count_distinct("id_train").alias("partners"), F.min("distance").alias("nearest"))
-    return per.groupBy("split", "source_group").agg(F.count("*").alias("records"), F.sum("partners").alias("pairs"), F.sum((F.col("nearest") == 0).cast("long")).alias("exact_records"))
+    return cross_split_report(demo, "record_id", "heavy", "light", "split", ("source_group",))
 
 
 def _together(spark: SparkSession, sf: str, shares: dict[str, float] | None) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.llm import cross_split
-from sievewright.llm.cross_split import cross_split_pairs, segment_join
+from sievewright.llm.cross_split import cross_split_pairs, cross_split_report, segment_join
 
 SCHEMA = "record_id string, heavy string, light string, split string, tid string, h string, key string"
 
@@ -64,6 +64,28 @@ def test_against_brute_force(spark, hot, length):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+@pytest.mark.parametrize("hot,length", [(48, 24), (1, 24), (0, 40), (2, 6)])
+def test_both_routes_agree(spark, hot, length):
+    """Postings held by tasks and postings joined by a shuffle give the same pairs."""
+    rng = random.Random(length)
+    frame = "".join(rng.choice("ACDEFGHIKLäÄ𝒳") for _ in range(length))
+    rows = [(f"r{n}", edited(rng, frame, rng.randrange(6)), edited(rng, frame[:9], 2), ["train", "test"][n % 2]) for n in range(90)]
+    assert set(found(spark, rows, hot=hot)) == set(found(spark, rows, hot=hot, held=0)) == brute(rows)
+
+
+def test_report_counts_the_pairs(spark):
+    rng = random.Random(9)
+    frame = "".join(rng.choice("ACDEFGHIKL") for _ in range(30))
+    rows = [(f"r{n}", edited(rng, frame, rng.randrange(4)), None, ["train", "test", "validation"][n % 3], rng.choice(["s", "t", None])) for n in range(80)]
+    df = spark.createDataFrame([*rows, *rows[:9]], "record_id string, heavy string, light string, split string, source_group string")
+    pairs = cross_split_pairs(df, "record_id", "heavy", "light", "split", keep=("source_group",)).distinct().collect()
+    want = {}
+    for r in pairs:
+        want.setdefault((r["split"], r["source_group"]), []).append(r)
+    got = {(r["split"], r["source_group"]): (r["records"], r["pairs"], r["exact_records"]) for r in cross_split_report(df, "record_id", "heavy", "light", "split", ("source_group",)).collect()}
+    assert got == {g: (len({r["id_held"] for r in x}), len(x), len({r["id_held"] for r in x if r["distance"] == 0})) for g, x in want.items()}
+
+
 def test_edges(spark):
     long = "ACDEFGHIKLMNPQRSTVWY" * 500
     rows = [
