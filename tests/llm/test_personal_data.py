@@ -48,3 +48,41 @@ def test_tables(spark):
     assert out[4][0].split("[EMAIL")[1] == out[1][0].split("[EMAIL")[1]
     empty = df.limit(0)
     assert personal_spans(empty, "doc_id", "text").count() == 0 and without_personal(empty, "doc_id", "text", b"k").count() == 0
+
+
+def test_names_of_no_list_are_found_by_what_stands_around_them():
+    for text, name in (
+        ("The curves were checked by Oluwaseun Adeyemi before the release.", "Oluwaseun Adeyemi"),
+        ("Yesterday Siobhan Gallagher reviewed the second plate.", "Siobhan Gallagher"),
+        ("Thanks to Dmitri Volkov for the rerun.", "Dmitri Volkov"),
+        ("Ngozi Okafor-Bell's notes cover the rest.", "Ngozi Okafor-Bell"),
+        ("Write to Aiko Tanaka, who keeps the freezer list.", "Aiko Tanaka"),
+    ):
+        assert [(k, text[a:b]) for k, a, b in find_personal(text)] == [("person_name", name)]
+    for text in ("Samples from the Martin Luther institute were lost.", "Loading Fab on the sensor gave Spearman values.", "Compared with Running Buffer and Kestrow Hall it was weak."):
+        assert find_personal(text) == []
+
+
+def test_numbers_are_validated():
+    phones = ("020 7946 0958", "01 99 00 36 21")
+    for p in phones:
+        assert [(k, a) for k, a, _ in find_personal(f"Call {p} after noon.")] == [("phone", 5)]
+    body = "00000019500615251"
+    proof = "10X98765432"[sum(int(c) * w for c, w in zip(body, (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2), strict=True)) % 11]
+    wrong = "0" if proof != "0" else "1"
+    assert find_personal(f"Entry {body}{proof} was copied.") != []  # its check digit proves it
+    assert find_personal(f"Entry {body}{wrong} was copied.") == []  # neither proof nor caption
+    assert find_personal(f"National ID: {body}{wrong} was copied.") != []
+    assert find_personal("Passport 000-00-0000 was copied.") == []
+    made = pseudonym("id_number", body + proof, b"k")[11:-1]
+    assert find_personal(f"Entry {made} was copied.") != [] and made != body + proof
+
+
+def test_birth_dates_stay_dates(spark):
+    df = spark.createDataFrame([(1, "Born on 1961-02-09. Measured 2023-05-01."), (2, "date of birth: 1961-02-09")], "doc_id long, text string")
+    rows = {r["doc"]: r["text"] for r in without_personal(df, "doc_id", "text", b"k").collect()}
+    date = rows[1].split("[DATE ")[1][:10]
+    assert rows[1] == f"Born on [DATE {date}]. Measured 2023-05-01." and rows[2] == f"date of birth: [DATE {date}]" and date != "1961-02-09"
+    import datetime
+
+    datetime.date.fromisoformat(date)
