@@ -16,6 +16,8 @@ from sievewright.llm.mixing import language, mix_sources
 from sievewright.llm.personal_data import personal_spans, without_personal
 from sievewright.llm.top_in_group import top_in_group
 
+#: Key of the pseudonyms; set PSEUDONYM_KEY for one of your own, which links the same values across runs.
+KEY = os.environ.get("PSEUDONYM_KEY", "public example key").encode()
 CHAINS = ["heavy", "light"]
 #: Vocabulary file by which texts are measured; set TOKENIZER_FILE for another.
 TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -122,7 +124,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_replaced(spark: SparkSession, sf: str) -> DataFrame:
     """The documents with typed placeholders."""
-    return without_personal(_read(spark, sf, "documents"), "doc_id", "text", b"public example key").select(F.col("doc").alias("doc_id"), "text", "replaced")
+    return without_personal(_read(spark, sf, "documents"), "doc_id", "text", KEY).select(F.col("doc").alias("doc_id"), "text", "replaced")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
