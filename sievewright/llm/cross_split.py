@@ -257,7 +257,7 @@ def segment_join(indexed: DataFrame, probes: DataFrame, k: int = 3, hot: int = 4
     Keys that more than `hot` indexed texts share do not emit their pairs: the matched
     segment is cut out and the remainders, which must also be within k edits, are joined the same way under the key, so
     a segment common to a third of all rows costs a more selective key and not all its pairs. At the last of `levels`
-    rounds the pairs under the remaining hot keys are dealt out in shares; nothing is dropped.
+    rounds the pairs under the remaining hot keys are formed, dealt out in shares where they are shuffled; nothing is dropped.
 
     While the index has at most `held` postings every task holds them and probes are not shuffled; beyond that keys are joined.
     """
@@ -266,15 +266,15 @@ def segment_join(indexed: DataFrame, probes: DataFrame, k: int = 3, hot: int = 4
     for level in range(levels):
         postings = stage(_keyed(index, index_keys, k))
         counts = postings.groupBy("key").agg(F.count("*").alias("n"))
-        if level + 1 == levels:
+        fits, last = postings.count() <= held, level + 1 == levels
+        if last and not fits:
             found.append(stage(_last(postings, counts, probe, k, hot)))
             break
-        warm = stage(counts.where(F.col("n") > hot).select("key"))
-        meet = _held_in_tasks if postings.count() <= held else _shuffled
-        met = stage(meet(postings, warm, probe, k))
+        warm = stage(counts.where(F.col("n") > (F.lit(2**62) if last else hot)).select("key"))
+        met = stage((_held_in_tasks if fits else _shuffled)(postings, warm, probe, k))
         found.append(met.where("tid_i is not null").select("tid_i", "tid_p"))
         again = met.where("tid_i is null").select("base", F.col("tid_p").alias("tid"), "sig", "s")
-        if again.isEmpty():
+        if last or again.isEmpty():
             break
         index, probe = stage(_rests(postings, index, warm)), again.distinct()
         drop_staged(postings)
