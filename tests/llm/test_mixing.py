@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.llm.mixing import language, mix_sources, nearest_source, rake
+from sievewright.llm import mixing
+from sievewright.llm.mixing import language, matched_sources, mix_sources, rake
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DOC, TARGET = "doc_id long, text string, source string, lang string, topic string, tokens string, bucket string", "source string, target_share double, max_repeats int"
@@ -47,7 +48,19 @@ def test_capacity_and_empty(spark):
 
 
 def test_names(spark):
-    names = ["qc_memos", "assay_reports", "assay_report2"]
-    got = [spark.range(1).select(nearest_source(F.lit(t).cast("string"), names)).first()[0] for t in ("QC Memos ", "qc_memo", "assay_report", None, "", "memos")]
-    assert got == ["qc_memos", "qc_memos", None, None, None, None]
+    names = spark.createDataFrame([("qc_memos",), ("assay_reports",), ("assay_report2",)], "source string")
+    said = ["QC Memos ", "qc_memo", "assay_report", None, "", "memos"]
+    got = {r["spelling"]: r["source"] for r in matched_sources(spark.createDataFrame([(t,) for t in said], "spelling string"), names).collect()}
+    assert [got.get(t) for t in said] == ["qc_memos", "qc_memos", None, None, None, None]
     assert [spark.range(1).select(language(F.lit(t).cast("string"))).first()[0] for t in ("en-GB", " DE", None, "", "und")] == ["en", "de", "und", "und", "und"]
+
+
+def test_every_document_has_its_probability(spark, monkeypatch):
+    """One more use goes to a share of the documents that the weight gives, in whatever buckets they are ordered."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
+    docs = [(n, "word " * (1 + n % 9), "a", "en" if n % 3 else "de") for n in range(900)] + [(2000 + n, "word " * 5, "b", "en") for n in range(900)]
+    chosen, shares = run(spark, docs, [("a", 0.75, 2), ("b", 0.25, 2)])
+    for source, share in (("a", 0.75), ("b", 0.25)):
+        assert abs(shares[source]["actual_share"] - share) < 0.005
+    uses = [r["repeats"] for r in chosen if r["source"] == "a"]
+    assert set(uses) == {1, 2} and len(uses) == 900
