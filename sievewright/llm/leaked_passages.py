@@ -7,6 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievewright.session import drop_staged, stage
 
 #: Most words of items in one automaton; more items make more automata, each run over all texts.
 AUTOMATON_WORDS = 400_000
@@ -156,22 +159,39 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_col: str, text_col: str
     """(doc, text, leaked_words, share, dropped): texts without the runs of `least` words that items share with them.
 
     A text of which more than `coverage` of the words lie in such runs is dropped whole (null text, dropped true). The
-    rest keeps everything outside the runs unchanged. Null texts stay null. Documents are returned one row each.
+    rest keeps everything outside the runs unchanged. Null texts stay null. Documents are returned one row each. Items of
+    more than `most` words make several automata, which go over the texts one after the other.
     """
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(a) for a in _automata(items, item_col, item_text, least, most)]
-    texts = docs.select(docs[doc_col].alias("doc"), docs[text_col].alias("text"))
+    kind = docs.schema[doc_col].dataType.simpleString()
+    rows = docs.select(docs[doc_col].alias("doc"), docs[text_col].alias("text"), F.array().cast("array<int>").alias("runs"))
+    earlier = None
+    for automaton in _automata(items, item_col, item_text, least, most):  # a task holds one at a time
+        shared = spark.sparkContext.broadcast(automaton)
+
+        def mark(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            find = shared.value.matches
+            for batch in batches:
+                batch["runs"] = [[*runs, *(x for k, n, _ in find(words(text)) for x in (k - n + 1, k + 1))] for text, runs in zip(batch["text"], batch["runs"], strict=True)]
+                yield batch
+
+        if earlier is not None:  # the marks of the block before are written, so that its automaton is let go
+            staged = stage(rows)
+            if hasattr(earlier, "_staged_path"):
+                drop_staged(earlier)
+            rows = staged
+        earlier = rows
+        rows = rows.mapInPandas(mark, f"doc {kind}, text string, runs array<int>")
     place = re.compile(r"[A-Za-z0-9]+")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
+            for doc, text, runs in zip(batch["doc"], batch["text"], batch["runs"], strict=True):
                 tokens = words(text)
                 hit = [False] * len(tokens)
-                for a in shared:
-                    for k, n, _ in a.value.matches(tokens):
-                        hit[k - n + 1 : k + 1] = [True] * n
+                for a, b in zip(runs[::2], runs[1::2], strict=True):
+                    hit[a:b] = [True] * (b - a)
                 leaked = sum(hit)
                 share = leaked / len(tokens) if tokens else 0.0
                 if leaked and share > coverage:
@@ -187,4 +207,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_col: str, text_col: str
                 rows.append((doc, text, leaked, share, text is None and leaked > 0))
             yield pd.DataFrame(rows, columns=["doc", "text", "leaked_words", "share", "dropped"])
 
-    return texts.mapInPandas(run, f"doc {texts.schema['doc'].dataType.simpleString()}, text string, leaked_words int, share double, dropped boolean")
+    return rows.mapInPandas(run, f"doc {kind}, text string, leaked_words int, share double, dropped boolean")

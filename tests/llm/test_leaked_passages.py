@@ -63,6 +63,15 @@ def test_removal(spark):
     assert got == {1: ("Keep this, please: ! And this.", 15, False), 2: (None, 15, True), 3: ("nothing here", 0, False), 4: (None, 0, False)}
 
 
+def test_removal_by_several_automata(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("abcdefg") + str(rng.randrange(9)) for _ in range(14))) for i in range(4)]
+    docs = [(k, f"Start {items[k % 4][1]} middle {' '.join(items[(k + 1) % 4][1].split()[:12])} " + "end " * 40) for k in range(6)]
+    d, i = frames(spark, docs, items)
+    out = [sorted(map(tuple, without_leaks(d, i, "doc_id", "text", "item_id", "item_text", most=m).collect())) for m in (400_000, 20, 1)]
+    assert out[0] == out[1] == out[2] and {r[2] for r in out[0]} == {26}
+
+
 def test_automaton_knows_every_item_of_a_run():
     a = WordAutomaton([(1, [b"a", b"b", b"c", b"d"]), (2, [b"x", b"b", b"c", b"d"])], 3)
     assert set(a.longest([b"b", b"c", b"d"])) == {1, 2} and a.longest([b"a", b"b", b"c", b"d"]) == {1: (4, 3), 2: (3, 3)}
