@@ -103,10 +103,10 @@ def _frame(rows: list) -> pd.DataFrame:
 def assign_sets(summary: DataFrame, shares: dict[str, float], steps: int = 4_000, chains: int = 4) -> DataFrame:
     """(set_key, new_split): every set placed whole, sizes near the shares and label means near the overall mean.
 
-    The HEAD largest sets are placed on the driver, the largest first where most is missing, then annealed; their number
-    is bounded, so nothing that grows is collected. What remains of the targets goes to the other sets in
-    hashed blocks of about BLOCK sets, which tasks anneal at once by `chains` chains each, keeping the best. A set larger
-    than its share stays whole and the shares shift. Ties and repeated runs give the same result.
+    All sets start where the hash of their key puts them. The HEAD largest are annealed together by `chains` chains, each a
+    task of its own, and the best end is kept; their number is bounded, so nothing that grows is collected. What remains of
+    the targets goes to the other sets in hashed blocks of about BLOCK sets, which tasks anneal at once, again by `chains`
+    chains each. A set larger than its share stays whole and the shares shift. Ties and repeated runs give the same result.
     """
     spark = summary.sparkSession
     names, share = list(shares), np.array(list(shares.values()), float)
@@ -119,15 +119,20 @@ def assign_sets(summary: DataFrame, shares: dict[str, float], steps: int = 4_000
     spread = max(abs(mean), 1e-9)
     order = [F.desc("records"), "set_key"]
     head = _frame([tuple(r) for r in cells.orderBy(*order).limit(HEAD).collect()])
-    sizes = head["records"].to_numpy()
-    at, load, want = np.zeros(len(head), int), np.zeros(len(share)), share * total
+    sizes, want = head["records"].to_numpy(), share * total
     rest = total - sizes.sum()
-    for i, size in enumerate(sizes):
-        at[i] = int(np.argmax((want - load) / np.maximum(want, 1e-9)))
-        load[at[i]] += size
     base = tuple(rest * share * w for w in (1.0, labelled and label_sum / total, labelled / total))
-    runs = [anneal(sizes, head["label_sum"].to_numpy(), head["labelled"].to_numpy(), at, want, mean, spread, seed, steps * 4, base) for seed in range(chains)]
-    at = min(runs, key=lambda r: r[0])[1]
+    start = _hashed(head["set_key"], share)
+    given = (sizes, head["label_sum"].to_numpy(), head["labelled"].to_numpy(), start, want, mean, spread)
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ends = [(seed, *anneal(*given, seed, steps * 4, base)) for seed in batch["seed"].tolist()]
+            yield pd.DataFrame([(seed, cost, at.tolist()) for seed, cost, at in ends], columns=["seed", "cost", "at"])
+
+    seeds = spark.createDataFrame([(n,) for n in range(chains)], "seed int").repartitionByRange(chains, "seed")
+    best = seeds.mapInPandas(chain, "seed int, cost double, at array<int>").orderBy("cost", "seed").first()
+    at = np.array(best["at"], dtype=int)
     placed = spark.createDataFrame(pd.DataFrame({"set_key": head["set_key"], "new_split": [names[i] for i in at]}), "set_key string, new_split string")
     if sets <= HEAD:
         return placed

@@ -44,7 +44,9 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return cross_split_report(demo, "record_id", "heavy", "light", "split", ("source_group",))
 
 
-def _together(spark: SparkSession, sf: str, shares: dict[str, float] | None) -> DataFrame:
+def _together(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job of problem 4: joined sets and the new split of each."""
+    shares = {r["split_name"]: r["share"] for r in _read(spark, sf, "split_share").orderBy("split_name").collect()}  # a few rows
     keys = {"source_group": F.replace(F.trim("source_group"), F.lit("\\"), F.lit("/")), "heavy": letters(F.col("heavy"))}
     split = F.nullif(F.lower(F.trim("split")), F.lit(""))
     return keep_together(_read(spark, sf, "math_demo"), "record_id", keys, split, F.col("score"), shares)
@@ -52,13 +54,12 @@ def _together(spark: SparkSession, sf: str, shares: dict[str, float] | None) ->
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """The records of every joined set that now holds more than one split."""
-    return _together(spark, sf, None).where("mixed").select("record_id", "set_key")
+    return _together(spark, sf).where("mixed").select("record_id", "set_key")
 
 
 def p4_split(spark: SparkSession, sf: str) -> DataFrame:
     """A new split for every record in which joined records stay together."""
-    shares = {r["split_name"]: r["share"] for r in _read(spark, sf, "split_share").orderBy("split_name").collect()}
-    return _together(spark, sf, shares).select("record_id", "set_key", "new_split")
+    return _together(spark, sf).select("record_id", "set_key", "new_split")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
