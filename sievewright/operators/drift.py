@@ -19,8 +19,8 @@ from sievewright.session import stage
 
 #: Distinct values and shapes kept per column: those with the smallest hashes over all cells (a bottom-k sketch).
 SKETCH = 48
-#: Least similarity of content for two columns to hold the same kind of it.
-SAME_KIND = 0.5
+#: Settled score from which two columns correspond, and what their surroundings weigh in it against their own likeness.
+ACCEPT, AROUND = 0.5, 0.2
 
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 _FIRST = re.compile(r"[^\d+\-.]{0,2}([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*[^\d\s]{0,8}")
@@ -61,11 +61,16 @@ def _profile(cells: list[str]) -> tuple:
     return len(kept), number, flag, iso, date, value, total, squares, sketch(x.lower() for x in distinct), sketch(_shape(x) for x in distinct)
 
 
+def _chain_profile(cells: list[str]) -> tuple:
+    """The profile of a column that holds residues or nothing: text, or no cells."""
+    return int(any(c.strip().lower() not in MISSING for c in cells)), 0, 0, 0, 0, 0, 0.0, 0.0, [], []
+
+
 def column_profiles(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """(path, name, counts, moments, sketches) of every column over the cells of its valid lines that are not missing.
 
-    Each Arrow batch is reduced to one row a file and column before anything is shuffled. Sequence columns are left out:
-    a valid one holds residues only and is text.
+    Each Arrow batch is reduced to one row a file and column before anything is shuffled. Of the columns that the line
+    check itself reads as chains, whose filled cells are residues and so text, only whether any cell is filled is noted.
     """
     chains = list(ROLES[:3])
     valid = classify_lines(lines, inventory, with_cells=True, with_roles=True).where("reason is null").select("path", "names", "cells", *chains)
@@ -78,10 +83,9 @@ def column_profiles(lines: DataFrame, inventory: DataFrame) -> DataFrame:
                     by[path] = (list(names), set(at), [])
                 by[path][2].append(cells)
             rows = []
-            for path, (names, skip, cells) in by.items():
+            for path, (names, checked, cells) in by.items():
                 for k, (name, column) in enumerate(zip(names, zip(*cells, strict=True), strict=False)):
-                    if k not in skip:
-                        rows.append((path, name, *_profile(column)))
+                    rows.append((path, name, *(_chain_profile if k in checked else _profile)(column)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PROFILE.split(", ")])
 
     partial = valid.mapInPandas(run, _PROFILE)
@@ -103,6 +107,16 @@ def name_similarity(a: str, b: str) -> float:
     return 2 * len(x & y) / max(1, len(x) + len(y))
 
 
+def sketch_overlap(a: list[int], b: list[int]) -> float:
+    """The share of the smaller of two sets that the other holds too, from their bottom-k sketches.
+
+    Only hashes that both sketches reach are compared, so sets of any two sizes are.
+    """
+    upto = min([x[-1] for x in (a, b) if len(x) >= SKETCH], default=None)
+    x, y = ({v for v in s if upto is None or v <= upto} for s in (a, b))
+    return len(x & y) / max(1, min(len(x), len(y)))
+
+
 def content_similarity(a: dict, b: dict) -> float | None:
     """How alike two columns' cells are, 0 to 1; None where either has no cells."""
     if not a.get("n") or not b.get("n"):
@@ -110,7 +124,7 @@ def content_similarity(a: dict, b: dict) -> float | None:
     share = lambda p, k: p[k] / p["n"]
     if share(a, "n_date") > 0.8 or share(b, "n_date") > 0.8:
         return 1.0 if min(share(a, "n_date"), share(b, "n_date")) > 0.8 else 0.0
-    overlap = lambda k: len(set(a[k]) & set(b[k])) / max(1, min(len(a[k]), len(b[k])))
+    overlap = lambda k: sketch_overlap(a[k], b[k])
     if min(share(a, "n_value"), share(b, "n_value")) > 0.8:
         moments = []
         for p in (a, b):
@@ -118,7 +132,7 @@ def content_similarity(a: dict, b: dict) -> float | None:
             moments.append((m, max(p["squares"] / p["n_value"] - m * m, (0.05 * m) ** 2, 1e-9)))
         (m, v), (k, w) = moments
         spread = np.sqrt(2 * np.sqrt(v * w) / (v + w)) * np.exp(-((m - k) ** 2) / (4 * (v + w)))  # overlap of two normal laws
-        alike = max(0.0, (float(spread) - 0.4) / 0.6)  # an overlap of 0.7 is SAME_KIND
+        alike = max(0.0, (float(spread) - 0.4) / 0.6)  # an overlap of 0.7 counts half
         lettered = max(share(a, "n_number"), share(b, "n_number")) < 0.5 and max(share(a, "n_bool"), share(b, "n_bool")) < 0.5
         return alike * (0.3 + 0.7 * overlap("shapes")) if lettered else alike
     if max(share(a, "n_value"), share(b, "n_value")) > 0.8:
@@ -126,66 +140,67 @@ def content_similarity(a: dict, b: dict) -> float | None:
     return max(overlap("vals"), 0.9 * overlap("shapes"))
 
 
-def match_columns(old: list[dict], new: list[dict], rounds: int = 30, eps: float = 1e-4) -> list[tuple[str, str]]:
-    """Correspondences of columns that are gone and columns that are new, by similarity flooding.
+def _parent(name: str) -> str | None:
+    """The path above a nested column's own name ('a.b' or 'a/b')."""
+    cut = max(name.rfind("."), name.rfind("/"))
+    return name[:cut] if cut > 0 else None
+
 
-    A pair node joins a gone and a new column; it starts at the similarity of their content, with a quarter of it
-    the names'. Scores flow along shared roles, types and neighbouring columns until they settle. Pairs are then taken
-    from the highest score down, each column once, where roles agree and the content is of one kind. Columns without
-    cells on either side match by role or by nearly equal names only.
+def _own_likeness(a: dict, b: dict) -> float | None:
+    """How alike two columns are by themselves: roles must agree, then content tells; without cells on a side the names, for less."""
+    if a["role"] != b["role"]:
+        return None
+    if a["role"]:
+        return 1.0
+    content = content_similarity(a, b)
+    return 0.6 * name_similarity(a["name"], b["name"]) if content is None else content
+
+
+def flooded(old: list[dict], new: list[dict], rounds: int = 100, eps: float = 1e-6) -> dict[tuple[str, str], float]:
+    """The settled score of each pair of columns that may correspond, 0 to 1, by similarity flooding.
+
+    Nodes of the graph are pairs of columns: those that kept their name, which are certain, and those of a gone and a new
+    column. A pair's score is 1 - AROUND of its own likeness and AROUND of the mean score of what stands around it:
+    the pairs of its left and right neighbours, its types, its names and, for nested columns, its parents, whose
+    score is the best of the other pairs below them. Scores flow until none moves by eps.
     """
     before, after = {c["name"] for c in old}, {c["name"] for c in new}
-    gone, came = [c for c in old if c["name"] not in after], [c for c in new if c["name"] not in before]
-    if not gone or not came:
-        return []
-    start, fits = np.zeros((len(gone), len(came))), np.zeros((len(gone), len(came)), bool)
-    for i, a in enumerate(gone):
-        for j, b in enumerate(came):
-            if a["role"] != b["role"]:
+    own = {(c["name"], c["name"]): 1.0 for c in old if c["name"] in after}
+    kind = lambda c: c.get("type")
+    around: dict[tuple[str, str], list] = {}
+    for i, a in enumerate(old):
+        for j, b in enumerate(new):
+            if a["name"] in after or b["name"] in before or (likeness := _own_likeness(a, b)) is None:
                 continue
-            name, content = name_similarity(a["name"], b["name"]), content_similarity(a, b)
-            if a["role"]:
-                start[i, j], fits[i, j] = 1.0, True
-            elif content is None:
-                start[i, j], fits[i, j] = name, name >= 0.8
-            else:
-                start[i, j], fits[i, j] = 0.75 * content + 0.25 * name, content >= SAME_KIND
-    place = lambda cs: {c["name"]: k for k, c in enumerate(cs)}
-    po, pn = place(old), place(new)
-
-    def beside(i: int, j: int, step: int) -> tuple[int, int] | float:
-        a, b = po[gone[i]["name"]] + step, pn[came[j]["name"]] + step
-        if not (0 <= a < len(old) and 0 <= b < len(new)):
-            return 0.0
-        x, y = old[a]["name"], new[b]["name"]
-        if x == y:
-            return 1.0
-        gi, cj = next((k for k, c in enumerate(gone) if c["name"] == x), None), next((k for k, c in enumerate(came) if c["name"] == y), None)
-        return (gi, cj) if gi is not None and cj is not None else 0.0
-
-    around = {(i, j): [beside(i, j, -1), beside(i, j, 1)] for i in range(len(gone)) for j in range(len(came))}
-    kinds = {(i, j): (a.get("type"), b.get("type")) for i, a in enumerate(gone) for j, b in enumerate(came)}
-    score = start.copy()
+            pair = (a["name"], b["name"])
+            own[pair] = likeness
+            near = [float(bool(kind(a)) and kind(a) == kind(b)), name_similarity(*pair)]
+            near += [(old[i + d]["name"], new[j + d]["name"]) for d in (-1, 1) if 0 <= i + d < len(old) and 0 <= j + d < len(new)]
+            if (above := (_parent(pair[0]), _parent(pair[1]))) != (None, None):
+                near.append([p for p in ((x["name"], y["name"]) for x in old for y in new if (_parent(x["name"]), _parent(y["name"])) == above) if p != pair])
+            around[pair] = near
+    score = dict(own)
+
+    def from_node(x: object) -> float:
+        if isinstance(x, list):
+            return max((score.get(p, 0.0) for p in x), default=0.0)
+        return x if isinstance(x, float) else score.get(x, 0.0)
+
     for _ in range(rounds):
-        by_kind: dict[tuple, list[float]] = {}
-        for k, kind in kinds.items():
-            by_kind.setdefault(kind, []).append(score[k])
-        flow = np.zeros_like(score)
-        for k, near in around.items():
-            kind = kinds[k]
-            flow[k] = 0.1 * sum(x if isinstance(x, float) else score[x] for x in near) + (0.1 * float(np.mean(by_kind[kind])) if kind[0] and kind[0] == kind[1] else 0.0)
-        nxt = np.where(start > 0, start + score + flow, 0.0)
-        nxt = nxt / max(nxt.max(), 1e-12)
-        if np.abs(nxt - score).max() < eps:
-            score = nxt
+        moved = {p: (1 - AROUND) * own[p] + AROUND * sum(map(from_node, near)) / len(near) for p, near in around.items()}
+        change = max((abs(moved[p] - score[p]) for p in moved), default=0.0)
+        score |= moved
+        if change < eps:
             break
-        score = nxt
-    out, used = [], (set(), set())
-    for i, j in sorted(np.ndindex(score.shape), key=lambda k: (-score[k], gone[k[0]]["name"], came[k[1]]["name"])):
-        if fits[i, j] and i not in used[0] and j not in used[1]:
-            used[0].add(i)
-            used[1].add(j)
-            out.append((gone[i]["name"], came[j]["name"]))
+    return {p: score[p] for p in around}
+
+
+def match_columns(old: list[dict], new: list[dict]) -> list[tuple[str, str]]:
+    """Correspondences of columns that are gone and columns that are new: settled pairs of ACCEPT or more, best first, each column once."""
+    out: list[tuple[str, str]] = []
+    for (a, b), score in sorted(flooded(old, new).items(), key=lambda x: (-round(x[1], 9), x[0])):
+        if score >= ACCEPT and all(a != x and b != y for x, y in out):
+            out.append((a, b))
     return out
 
 
@@ -232,8 +247,6 @@ def schema_steps(lines: DataFrame, inventory: DataFrame) -> DataFrame:
                 rows += [(path, previous, "added", None, x) for x in now if x not in was and x not in {b for _, b in renamed}]
                 for x in was.keys() & now.keys():
                     s, t = was[x].get("type"), now[x].get("type")
-                    if was[x]["role"] in ROLES[:3]:
-                        s = t = "text"
                     rows.append((path, previous, "type_changed" if s and t and s != t else "kept", x, x))
             yield pd.DataFrame(rows, columns=["path", "previous", "change_kind", "old_name", "column_name"])
 

@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from sievewright.operators.drift import consistent_table, match_columns, schema_changes
+from sievewright.operators.drift import SKETCH, consistent_table, match_columns, schema_changes, sketch_overlap
 
 from test_structural import INV, LINE, SEQ
 
@@ -50,3 +50,22 @@ def test_matching_prefers_content_to_names():
     assert sorted(match_columns(old, new)) == [("buffer", "plate2"), ("plate", "zz")]
     assert match_columns(old, old) == [] and match_columns([], new) == []
     assert match_columns([col("a", vals=[1], shapes=[1])], [col("b", vals=[2], shapes=[2])]) == []
+
+
+def test_a_column_that_becomes_a_chain_changes_its_type(spark):
+    """Numbers that become residues, and residues that become numbers, under one name; a chain without any cell has no type."""
+    lines, inv = build(spark, [("1", "g", 1, ["h", "kd", "x", "y"], "kd", [[SEQ, "1", "1", ""], [SEQ, "2", "2", "NA"]]), ("2", "g", 2, ["h", "kd", "x", "y"], "kd", [[SEQ, "1", SEQ, "7"], [SEQ, "2", SEQ, "8"]]), ("3", "g", 3, ["h", "kd", "x", "y"], "kd", [[SEQ, "1", "5", ""]])])
+    light = F.when(F.col("path") == "2", F.array(F.lit("x"))).otherwise(F.array(F.lit("y")))
+    inv = inv.withColumn("light_candidates", light)
+    got = {tuple(r) for r in schema_changes(lines, inv).collect()}
+    assert got == {("2", "type_changed", "x"), ("3", "type_changed", "x")}
+
+
+def test_surroundings_decide_in_doubt():
+    col = lambda name, vals, type="text": {"name": name, "role": None, "type": type, "n": 4, "n_number": 0, "n_bool": 0, "n_date": 0, "n_value": 0, "total": 0.0, "squares": 0.0, "vals": vals, "shapes": [vals[0] + 100]}
+    left, right = col("left", [70]), col("right", [80])
+    half, other = [1, 2, 3, 4], [1, 2, 7, 8]  # half of the values agree
+    a, b = col("assay.well", half), col("assay.well_pos", other) | {"shapes": [5]}
+    assert match_columns([left, a, right], [left, b, right]) == [("assay.well", "assay.well_pos")]
+    assert match_columns([a, left, right], [left, right, b | {"name": "zz", "type": "number"}]) == []
+    assert sketch_overlap(list(range(20)), list(range(400))[:SKETCH]) == 1.0 and sketch_overlap([1, 2], [3, 4]) == 0.0 and sketch_overlap([], []) == 0.0
