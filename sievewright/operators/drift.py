@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from sievewright.operators.graph import connected_components
 from sievewright.operators.structural import MISSING, ROLES, classify_lines
-from sievewright.session import stage
+from sievewright.session import lookup_join, stage
 
 #: Distinct values and shapes kept per column: those with the smallest hashes over all cells (a bottom-k sketch).
 SKETCH = 48
@@ -279,7 +279,7 @@ def consistent_table(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     valid = classify_lines(lines, inventory, with_cells=True).where("reason is null").drop("reason")
     cell = F.map_from_arrays("names", "cells")
     known = F.transform_values(cell, lambda _, v: F.when(~F.lower(F.trim(v)).isin(*MISSING), v))
-    rows = valid.join(layout, "path").withColumn("_m", known)
+    rows = lookup_join(valid, layout, ["path"], "inner", row_size=2_000).withColumn("_m", known)
     pick = lambda r: F.when(F.col(f"_{r}").isNotNull(), F.element_at("_m", F.col(f"_{r}"))).alias(r)
     is_role = lambda k: F.coalesce(F.array_contains(F.array(*[f"_{r}" for r in ROLES]), k), F.lit(False))
     extras = F.map_from_entries(F.transform(F.filter(F.map_entries("_m"), lambda e: ~is_role(e["key"])), lambda e: F.struct(F.coalesce(F.element_at("canonical", e["key"]), e["key"]), e["value"])))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +82,17 @@ def drop_staged(df: DataFrame) -> None:
         _delete(*_STAGED.pop(path))
 
 
+@contextmanager
+def staging() -> Iterator[None]:
+    """Removes at its end the tables staged inside; results are to be written or collected before that."""
+    before = set(_STAGED)
+    try:
+        yield
+    finally:
+        for path in [p for p in _STAGED if p not in before]:
+            _delete(*_STAGED.pop(path))
+
+
 @atexit.register
 def _drop_all() -> None:
     for spark, path in list(_STAGED.values()):
@@ -96,7 +110,8 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "lef
 
     dim is counted; it is broadcast when its rows times row_size stay under `limit`. Beyond that both sides
     are shuffled, and the keys that hold more than a quarter of one partition's even share of facts are
-    salted, their dim rows repeated, so that no task gets an unbounded key.
+    salted, their dim rows repeated, so that no task gets an unbounded key. Null keys, which meet nothing, are dealt out too.
+    The salt is a hash of the row and its map partition: a task that is run again gives every row the salt it had.
     """
     spark = facts.sparkSession
     size = row_size or row_bytes(dim.schema)
@@ -105,6 +120,9 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "lef
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = facts.count()
     hot = facts.groupBy(*on).count().where(F.col("count") > max(10_000, total // (4 * parts))).select(*on, F.lit(parts).alias("_n"))  # at most 4 * parts keys
-    salted = facts.join(F.broadcast(hot), on, "left").withColumn("_s", F.when(F.col("_n").isNotNull(), F.floor(F.rand(7) * F.col("_n"))).otherwise(F.lit(0)).cast("int")).drop("_n")
+    plain = [f.name for f in facts.schema if "map<" not in f.dataType.simpleString()]
+    void = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    copies = F.when(void, parts).otherwise(F.coalesce("_n", F.lit(1)))
+    salted = facts.join(F.broadcast(hot), on, "left").withColumn("_s", F.pmod(F.xxhash64(*plain, F.spark_partition_id()), copies).cast("int")).drop("_n")
     spread = dim.join(F.broadcast(hot), on, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n") - 1, F.lit(0))))).drop("_n")
     return salted.join(spread, [*on, "_s"], how).drop("_s")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.sequences import normalize_sequence
 from sievewright.functions.values import parse_number
 from sievewright.operators.structural import ROLES, SEPARATORS, classify_lines
+from sievewright.session import lookup_join, stage
 
 #: Header names of each role, first match wins.
 ALIASES = {
@@ -22,33 +22,85 @@ ALIASES = {
 }
 HEADER_ROWS = 80
 CHUNK = 1 << 23
+#: Bytes of a file that one task reads, and of a record that stays open before its first line counts as broken.
+RANGE_BYTES, OPEN_BYTES = 1 << 27, 1 << 26
 
 
-def record_ends(data: np.ndarray) -> np.ndarray:
-    """Positions after the line feeds that end a record: those with an even number of quotes before them."""
-    parity = np.cumsum(data == 34, dtype=np.int64) & 1
-    return np.flatnonzero((data == 10) & (parity == 0)) + 1
-
-
-def _records(path: str) -> Iterator[bytes]:
-    """The records of a file, read in chunks; one with an open quote is carried into the next chunk."""
+def _open(path: str):
     from pyarrow import fs
 
     system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-    with system.open_input_stream(at) as file:
-        left = b""
-        while True:
-            chunk = file.read(CHUNK)
-            body = left + chunk
-            start = 0
-            for end in record_ends(np.frombuffer(body, np.uint8)).tolist():
-                yield body[start:end]
-                start = end
-            left = body[start:]
-            if not chunk:
-                if left:
-                    yield left
-                return
+    return system.open_input_file(at)
+
+
+def _lines(file, start: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, line with its line feed) of the physical lines that begin at `start` or later."""
+    at, skip = max(start - 1, 0), start > 0  # what comes up to the first line feed belongs to the line before
+    file.seek(at)
+    left = b""
+    while True:
+        chunk = file.read(CHUNK)
+        *lines, left = (left + chunk).split(b"\n")
+        for line in [*(x + b"\n" for x in lines), *([left] if left and not chunk else [])]:
+            if not skip:
+                yield at, line
+            skip = False
+            at += len(line)
+        if not chunk:
+            return
+
+
+def file_width(file, separator: bytes) -> int | None:
+    """Cells of the header: the first of HEADER_ROWS lines that holds a name of the heavy chain; None without one."""
+    known = {a.lower() for a in ALIASES["heavy"]}
+    for k, (_, line) in enumerate(_lines(file, 0)):
+        if k == HEADER_ROWS:
+            return None
+        cells = line.decode("utf-8-sig", "replace").rstrip("\r\n").split(separator.decode())
+        if known & {c.strip().strip('"').strip().lower() for c in cells}:
+            return len(cells)
+    return None
+
+
+def _fits(line: bytes, separator: bytes, width: int | None) -> bool:
+    """Whether a line is a whole record by itself: even quotes and the width of the header, separators in quotes aside."""
+    if width is None or width < 2:
+        return False
+    parts = line.split(b'"')
+    return len(parts) % 2 == 1 and sum(p.count(separator) for p in parts[::2]) + 1 == width
+
+
+def records(path: str, separator: bytes, start: int = 0, end: int | None = None) -> Iterator[bytes]:
+    """The records of a file whose lines begin from byte `start` on, up to the first whole record at `end` or later.
+
+    A line with an open quote takes in the lines after it until the quote closes. If a line that is a whole record by itself
+    comes first, the quote was a stray one: the lines before it are records of their own, broken ones, and reading goes on
+    there. Such a line always begins a record, so ranges of a file meet at them and together give what one reader gives.
+    """
+    with _open(path) as file:
+        width = file_width(file, separator)
+        held: list[bytes] = []
+        odd, size, begun = False, 0, start == 0
+        for at, line in _lines(file, start):
+            whole = (held or not begun or (end is not None and at >= end)) and _fits(line, separator, width)
+            if not begun:
+                if not whole:
+                    continue
+                begun = True
+            if whole:
+                yield from held
+                held, odd, size = [], False, 0
+                if end is not None and at >= end:
+                    return
+            held.append(line)
+            odd, size = odd ^ (line.count(b'"') % 2 == 1), size + len(line)
+            if not odd:
+                yield b"".join(held)
+                held, size = [], 0
+            elif size > OPEN_BYTES:
+                yield from held
+                held, odd, size = [], False, 0
+        yield from held
 
 
 def delivered_files(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("*.csv", "*.tsv")) -> DataFrame:
@@ -61,28 +113,39 @@ def delivered_files(spark: SparkSession, root: str, patterns: tuple[str, ...] =
     return found.select("file", F.substring_index("file", base, -1).alias("path"), F.lower(F.substring_index("file", ".", -1)).alias("format"), "size_bytes")
 
 
-def delivered_lines(files: DataFrame) -> DataFrame:
+def delivered_lines(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(line_id, path, line_no, line_text): one row a record, quoted line breaks kept inside it.
 
-    Files are spread over tasks; bytes that are not UTF-8 are replaced, a byte order mark is dropped.
+    Files are read in ranges of `range_bytes`, spread over tasks; records are numbered by the counts of the ranges before.
+    Bytes that are not UTF-8 are replaced, a byte order mark is dropped. A stray quote breaks the line that holds it, see `records`.
     """
     parts = max(8, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sep = F.create_map(*[F.lit(x) for p in SEPARATORS.items() for x in p])
+    last = F.greatest(F.lit(0), F.ceil(F.col("size_bytes") / range_bytes) - 1).cast("int")
+    ranges = files.select("file", "path", F.coalesce(sep[F.col("format")], F.lit(",")).alias("sep"), last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, path in zip(batch["file"], batch["path"], strict=True):
+            for file, path, sep, last, part in batch[["file", "path", "sep", "last", "part"]].itertuples(index=False):
                 rows, n = [], 0
-                for record in _records(file):
+                for record in records(file, sep.encode(), part * range_bytes, None if part == last else (part + 1) * range_bytes):
                     n += 1
-                    text = record.rstrip(b"\r\n").decode("utf-8-sig" if n == 1 else "utf-8", "replace")
-                    rows.append((path, n, text))
+                    rows.append((path, part, n, record.rstrip(b"\r\n").decode("utf-8-sig" if n == 1 and part == 0 else "utf-8", "replace")))
                     if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["path", "line_no", "line_text"])
+                        yield pd.DataFrame(rows, columns=["path", "part", "n", "line_text"])
                         rows = []
-                yield pd.DataFrame(rows, columns=["path", "line_no", "line_text"])
+                yield pd.DataFrame(rows, columns=["path", "part", "n", "line_text"])
 
-    lines = files.select("file", "path").repartition(parts, "path").mapInPandas(run, "path string, line_no int, line_text string")
-    return lines.select(F.xxhash64("path", "line_no").alias("line_id"), "path", "line_no", "line_text")
+    lines = ranges.repartition(parts, "path", "part").mapInPandas(run, "path string, part int, n int, line_text string")
+    if files.where(F.col("size_bytes") > range_bytes).isEmpty():
+        numbered = lines.withColumn("line_no", F.col("n"))
+    else:
+        lines = stage(lines)
+        order = Window.partitionBy("path").orderBy("part")
+        counts = lines.groupBy("path", "part").agg(F.max("n").alias("_n"))
+        before = counts.select("path", "part", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+        numbered = lookup_join(lines, before, ["path", "part"], "inner").withColumn("line_no", (F.col("_before") + F.col("n")).cast("int"))
+    return numbered.select(F.xxhash64("path", "line_no").alias("line_id"), "path", "line_no", "line_text")
 
 
 def inventory_of(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -108,7 +171,7 @@ def raw_records(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """(source_file, line_no, heavy, light, antigen, raw_label): valid lines with a residue heavy chain and a number for label."""
     valid = classify_lines(lines, inventory, with_cells=True).where("reason is null")
     roles = inventory.groupBy("path").agg(F.min(F.struct(*[F.element_at(F.when(F.size(f"{r}_candidates") > 0, F.col(f"{r}_candidates")), 1).alias(r) for r in ROLES])).alias("r")).select("path", "r.*")
-    rows = valid.join(roles, "path").withColumn("_m", F.map_from_arrays("names", "cells"))
+    rows = lookup_join(valid, roles, ["path"], "inner", row_size=300).withColumn("_m", F.map_from_arrays("names", "cells"))
     pick = lambda r: F.when(F.col(r).isNotNull(), F.element_at("_m", F.col(r)))
     out = rows.select(F.col("path").alias("source_file"), "line_no", *[normalize_sequence(pick(r)).alias(r) for r in ROLES[:3]], parse_number(pick("label")).alias("raw_label"))
     return out.where("heavy <> '' and raw_label is not null")
