@@ -122,19 +122,17 @@ def macro_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*[F.round(c, 5).alias(c) if c.endswith("spearman") else c for c in out.columns])
 
 
-#: Rounds of the SQL alone, which also folds users by a modulo; the queries take the reference's rounds over users.
-_ROUNDS, _SEED = 20, 11
-_CI_ROUNDS, _PAIRED_ROUNDS = 1_000, 2_000
+_SEED, _CI_ROUNDS, _PAIRED_ROUNDS = 11, 1_000, 2_000
 _DRAWS_SQL = f"""
     c AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM e)),
-    d AS (SELECT r.round, (CAST('0x' || substr(md5('{_SEED}|' || r.round || '|' || c.k), 1, 12) AS BIGINT) % (SELECT count(*) FROM c)) AS k FROM c, (SELECT unnest(range({_ROUNDS})) AS round) r),
+    d AS (SELECT r.round, (CAST('0x' || substr(md5('{_SEED}|' || r.round || '|' || c.k), 1, 12) AS BIGINT) % (SELECT count(*) FROM c)) AS k FROM c, (SELECT unnest(range({{rounds}})) AS round) r),
     t AS (SELECT d.round, c.cluster, count(*) AS times FROM d JOIN c USING (k) GROUP BY 1, 2)"""
 
 
-def _boot_sql(scores: list[str]) -> str:
+def _boot_sql(scores: list[str], rounds: int) -> str:
     rank = lambda c: f"sum(times) OVER (PARTITION BY round ORDER BY {c} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(times) OVER (PARTITION BY round, {c}) + (sum(times) OVER (PARTITION BY round, {c}) + 1) / 2.0"
     rho = lambda s: f"(sum(times * rt * r_{s}) - sum(times * rt) * sum(times * r_{s}) / sum(times)) / sqrt((sum(times * rt * rt) - sum(times * rt) * sum(times * rt) / sum(times)) * (sum(times * r_{s} * r_{s}) - sum(times * r_{s}) * sum(times * r_{s}) / sum(times))) AS rho_{s}"
-    return f"""WITH e AS (SELECT *, user_id % 40 AS cluster FROM ({_EVENTS_SQL})), {_DRAWS_SQL},
+    return f"""WITH e AS (SELECT *, user_id AS cluster FROM ({_EVENTS_SQL}) WHERE user_id IS NOT NULL), {_DRAWS_SQL.format(rounds=rounds)},
         x AS (SELECT t.round, CAST(t.times AS DOUBLE) AS times, e.* FROM e JOIN t USING (cluster)),
         y AS (SELECT *, CAST({rank('truth')} AS DOUBLE) AS rt, {', '.join(f'CAST({rank(s)} AS DOUBLE) AS r_{s}' for s in scores)} FROM x),
         b AS (SELECT round, {', '.join(map(rho, scores))} FROM y GROUP BY round)"""
@@ -144,13 +142,13 @@ def _boot(spark: SparkSession, sf: str, scores: list[str], rounds: int) -> DataF
     return metrics.bootstrap_correlations(_events(spark, sf), "truth", scores, "user_id", rounds, _SEED)
 
 
-@query(_boot_sql(["b"]) + "SELECT count(rho_b) AS rounds_valid, round(quantile_cont(rho_b, 0.025), 6) AS low, round(quantile_cont(rho_b, 0.5), 6) AS median, round(quantile_cont(rho_b, 0.975), 6) AS high FROM b")
+@query(_boot_sql(["b"], _CI_ROUNDS) + "SELECT count(rho_b) AS rounds_valid, round(quantile_cont(rho_b, 0.025), 6) AS low, round(quantile_cont(rho_b, 0.5), 6) AS median, round(quantile_cont(rho_b, 0.975), 6) AS high FROM b")
 def cluster_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     out = metrics.bootstrap_interval(_boot(spark, sf, ["b"], _CI_ROUNDS), "rho_b")
     return out.select("rounds_valid", *[F.round(c, 6).alias(c) for c in ("low", "median", "high")])
 
 
-@query(_boot_sql(["a", "b"]) + """SELECT round(avg(rho_b - rho_a), 6) AS mean_delta, round(stddev_samp(rho_b - rho_a), 6) AS sd_delta, round(quantile_cont(rho_b - rho_a, 0.025), 6) AS low, round(quantile_cont(rho_b - rho_a, 0.975), 6) AS high,
+@query(_boot_sql(["a", "b"], _PAIRED_ROUNDS) + """SELECT round(avg(rho_b - rho_a), 6) AS mean_delta, round(stddev_samp(rho_b - rho_a), 6) AS sd_delta, round(quantile_cont(rho_b - rho_a, 0.025), 6) AS low, round(quantile_cont(rho_b - rho_a, 0.975), 6) AS high,
        avg(CASE WHEN rho_b > rho_a THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_better FROM b""")
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     out = metrics.paired_delta(_boot(spark, sf, ["a", "b"], _PAIRED_ROUNDS), "rho_a", "rho_b")
@@ -549,11 +547,11 @@ def policy_routing(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "label_registry").select("source_file", values.first_match(_RULES, F.col("source_file"), F.col("metric"), "unsupervised").alias("route"))
 
 
-@query("SELECT r.raw_id, coalesce(d.score, r.raw_label) AS label FROM raw_record r LEFT JOIN (SELECT antigen_id, min(score) AS score FROM math_demo WHERE score IS NOT NULL GROUP BY antigen_id) d USING (antigen_id)")
+@query("SELECT r.raw_id, coalesce(d.score, CASE WHEN NOT isnan(r.raw_label) THEN r.raw_label END) AS label FROM raw_record r LEFT JOIN (SELECT antigen_id, min(score) AS score FROM math_demo WHERE score IS NOT NULL GROUP BY antigen_id) d USING (antigen_id)")
 def update_merge(spark: SparkSession, sf: str) -> DataFrame:
     new = read(spark, sf, "math_demo").where("score is not null and antigen_id is not null").groupBy("antigen_id").agg(F.min("score").alias("score"))
     rows = lookup_join(read(spark, sf, "raw_record").select("raw_id", "antigen_id", "raw_label"), new, ["antigen_id"], "left", 64)
-    return rows.select("raw_id", F.coalesce("score", "raw_label").alias("label"))
+    return rows.select("raw_id", F.coalesce("score", values.finite(F.col("raw_label"))).alias("label"))
 
 
 _TRIPLE = f"({_NORM('heavy')}) || chr(31) || ({_NORM('light')}) || chr(31) || ({_NORM('antigen_seq')})"
@@ -599,8 +597,7 @@ def curated_records(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- pairs ----------------------------------------------------------------------------------------------------------
 
-#: Total of the SQL alone; the queries take the operator's default.
-_LIMIT_TOTAL, _PAIR_SEED = 20_000, 42
+_LIMIT_TOTAL, _PAIR_SEED = 1_000_000, 42  # the operator's default
 _COMPARABLE_SQL = """SELECT DISTINCT record_id, score AS label, antigen_id AS comparison_group, lower(trim(split)) AS split, CASE WHEN length(coalesce(light, '')) = 0 THEN 0.65::DOUBLE ELSE 1.0::DOUBLE END AS quality, score < 0.05 AS is_censored, CASE WHEN score > 0.9 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS conflict
     FROM math_demo WHERE score IS NOT NULL AND antigen_id IS NOT NULL AND antigen_id <> '' AND record_id IS NOT NULL"""
 
