@@ -13,6 +13,7 @@ from sievewright.llm.formatting_duplicates import collapse_formatting, formattin
 from sievewright.llm.keep_together import keep_together
 from sievewright.llm.leaked_passages import leaked_spans, without_leaks
 from sievewright.llm.mixing import language, mix_sources
+from sievewright.llm.oracle import SQL
 from sievewright.llm.personal_data import personal_spans, without_personal
 from sievewright.llm.top_in_group import top_in_group
 
@@ -132,20 +133,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_split, p5_found, p5_collapsed, p7_found, p8_found, p8_spans, p8_cleaned, p9_mix, p9_shares, p10_found, p10_replaced)}
 
 
-_P5_KEY = " || chr(31) || ".join(
-    f"regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')" if c == "antigen_id" else f"{c}(regexp_replace(lower(coalesce(heavy, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), regexp_replace(lower(coalesce(light, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
-    for c in ("least", "greatest", "antigen_id")
-)
-
-
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p5_found": f"SELECT min(raw_id) AS first_raw_id, count(*) AS copies FROM raw_record GROUP BY {_P5_KEY} HAVING count(*) > 1",
-        "p5_collapsed": f"SELECT g.raw_id, r.record_id, g.copies FROM (SELECT min(raw_id) AS raw_id, count(*) AS copies FROM raw_record GROUP BY {_P5_KEY}) g JOIN raw_record r ON r.raw_id = g.raw_id",
-        "p7_found": """
-            WITH best AS (SELECT record_id, max(value) AS v FROM score_row WHERE task_name = 'affinity_rank' AND value IS NOT NULL AND NOT isnan(value) GROUP BY record_id),
-                 earlier AS (SELECT record_id, min(value) AS t FROM rank_row GROUP BY record_id),
-                 placed AS (SELECT r.antigen_id, r.record_id, row_number() OVER (PARTITION BY r.antigen_id ORDER BY b.v DESC, e.t ASC NULLS LAST, r.record_id) AS place
-                            FROM raw_record r JOIN best b USING (record_id) LEFT JOIN earlier e USING (record_id) WHERE regexp_matches(r.antigen_id, '\\S'))
-            SELECT antigen_id, record_id, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 10""",
-    }
+    return dict(SQL)
