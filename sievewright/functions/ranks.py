@@ -11,36 +11,45 @@ from sievewright.session import lookup_join, stage
 WINDOW_ROWS = 4_000_000
 
 
-def _largest_group(df: DataFrame, by: list[str]) -> int:
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group; null groups are a group."""
     return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
 
-def _ranged_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Distinct (by, value) with their count, the rows of the group before them and the group's size.
+def ranged_sums(amounts: DataFrame, value: str, amount: str, by: list[str]) -> DataFrame:
+    """amounts, one row a (by, value), with `_before`, the sum of `amount` over smaller values of the group, and `_total`, its whole sum.
 
-    The distinct values are range-partitioned and staged, so that a group of any size is spread over partitions; offsets come
+    Values are range-partitioned and staged, so that a group of any size is spread over partitions; offsets come
     from the totals of (partition, group), of which a group has one a partition at most.
     """
-    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    ranged = stage(counts.repartitionByRange(parts, *by, value).withColumn("_p", F.spark_partition_id()))
-    totals = ranged.groupBy(*by, "_p").agg(F.sum("_c").alias("_t"))
+    parts = max(8, int(amounts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = stage(amounts.repartitionByRange(parts, *by, value).withColumn("_p", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_p").agg(F.sum(amount).alias("_t"))
     order = Window.partitionBy(*by).orderBy("_p")
-    offsets = totals.select(*by, "_p", (F.sum("_t").over(order) - F.col("_t")).alias("_off"), F.sum("_t").over(Window.partitionBy(*by)).alias("_n"))
+    offsets = totals.select(*by, "_p", (F.sum("_t").over(order) - F.col("_t")).alias("_off"), F.sum("_t").over(Window.partitionBy(*by)).alias("_total"))
     within = Window.partitionBy("_p", *by).orderBy(value)
-    running = ranged.withColumn("_run", F.sum("_c").over(within) - F.col("_c"))
-    return running.join(offsets, [*by, "_p"]).select(*by, value, "_c", (F.col("_off") + F.col("_run")).alias("_before"), "_n")
+    running = ranged.withColumn("_run", F.sum(amount).over(within) - F.col(amount))
+    same = [running[b].eqNullSafe(offsets[b]) for b in by]
+    joined = running.join(offsets, [*same, running["_p"] == offsets["_p"]])
+    return joined.select(*[running[c] for c in amounts.columns], (offsets["_off"] + running["_run"]).alias("_before"), offsets["_total"])
+
+
+def _ranged_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Distinct (by, value) with their count, the rows of the group before them and the group's size."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    return ranged_sums(counts, value, "_c", by).withColumnRenamed("_total", "_n")
 
 
-def with_ranks(df: DataFrame, value: Column, by: list[str], rank: str = "_rank", size: str = "_n", window_rows: int = WINDOW_ROWS) -> DataFrame:
+def with_ranks(df: DataFrame, value: Column, by: list[str], rank: str = "_rank", size: str = "_n", window_rows: int = WINDOW_ROWS, largest: int | None = None) -> DataFrame:
     """df with the rank of value within its group, from 1 in rising order with ties at the mean of their places, and the group's size.
 
     Over a unique value this is the row number. While every group fits one task, one window does it; beyond that the
-    distinct values are ranked in ranges and looked up. Null groups are a group; values are not null.
+    distinct values are ranked in ranges and looked up. Null groups are a group; values are not null. `largest`, if the
+    caller has counted the largest group before, saves counting it.
     """
     keys = [f"_by_{i}" for i in range(max(1, len(by)))]
     rows = df.select("*", value.alias("_val"), *([F.coalesce(F.col(b).cast("string"), F.lit("\u0000")).alias(k) for b, k in zip(by, keys, strict=True)] if by else [F.lit(0).alias(keys[0])]))
-    if _largest_group(rows, keys) <= window_rows:
+    if (largest_group(rows, keys) if largest is None else largest) <= window_rows:
         group = Window.partitionBy(*keys)
         out = rows.select("*", F.rank().over(group.orderBy("_val")).alias("_low"), F.count("*").over(Window.partitionBy(*keys, "_val")).alias("_c"), F.count("*").over(group).alias(size))
         return out.withColumn(rank, F.col("_low") + (F.col("_c") - 1) / F.lit(2.0)).drop("_val", "_low", "_c", *keys)
@@ -64,9 +73,9 @@ def with_rank_over_n(df: DataFrame, value: Column, by: list[str], name: str, plu
     return ranked.withColumn(name, F.col("_rk") / (F.col("_sz") + plus)).drop("_rk", "_sz")
 
 
-def with_row_number(df: DataFrame, order: list[Column], by: list[str], name: str) -> DataFrame:
+def with_row_number(df: DataFrame, order: list[Column], by: list[str], name: str, largest: int | None = None) -> DataFrame:
     """Row number from 1 by an order that ends in a unique column."""
-    ranked = with_ranks(df, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]), by, "_rk", "_sz")
+    ranked = with_ranks(df, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]), by, "_rk", "_sz", largest=largest)
     return ranked.withColumn(name, F.col("_rk").cast("long")).drop("_rk", "_sz")
 
 

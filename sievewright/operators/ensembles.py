@@ -82,3 +82,57 @@ def submission_rank(rows: DataFrame, id_col: str, score: str, by: list[str] | No
     """Places 1..n by falling score, then the tie columns, then id; within groups if given."""
     order = [-F.col(score), *[F.col(t) for t in ties or []], F.col(id_col)]
     return with_row_number(rows, order, by or [], "place")
+
+
+def recovered_expert(blend: Column, base: Column, share: float) -> Column:
+    """The expert's score in a blend of which it had `share`, from 0 (not included) to 1."""
+    if not 0 < share <= 1:
+        raise ValueError("share must lie above 0 and at most at 1")
+    return (blend - F.lit(1.0 - share) * base) / F.lit(share)
+
+
+def nested_blend(rows: DataFrame, inner: tuple, outer: tuple[float, str], name: str = "score", plus: int = 1) -> DataFrame:
+    """rows with a blend of ranks over n + plus by fixed weights: of a pair of columns, and of that pair with a third.
+
+    inner is (weight, (weight, column), (weight, column)), outer (weight, column).
+    """
+    for _, c in (*inner[1:], outer):
+        rows = with_rank_over_n(rows, F.col(c), [], f"_q_{c}", plus)
+    q = lambda pair: F.lit(pair[0]) * F.col(f"_q_{pair[1]}")
+    out = F.lit(inner[0]) * (q(inner[1]) + q(inner[2])) + q(outer)
+    return rows.withColumn(name, out).drop(*[f"_q_{c}" for _, c in (*inner[1:], outer)])
+
+
+def staged_sweep(rows: DataFrame, id_col: str, truth: str, base: str, parent: str, expert: str, shares: list[float]) -> DataFrame:
+    """(stage, weight, spearman): the parent's share over ranks, then, with the best of it kept, the expert's.
+
+    The expert speaks for the rows where it is not null: they keep their set of scores and take it in the order of base and
+    expert ranks blended within them, ties by id. All shares of a stage are ranked in one pass.
+    """
+    ranked = rows
+    for c in (base, parent):
+        ranked = with_rank_over_n(ranked, F.col(c), [], f"_r_{c}")
+    ranked = stage(ranked.select(id_col, truth, F.col(f"_r_{base}").alias("_a"), F.col(f"_r_{parent}").alias("_b"), F.col(expert).alias("_x")))
+    first = stage(blend_sweep(ranked, id_col, truth, "_a", "_b", shares).select("weight", F.round("spearman", 6).alias("spearman")))
+    best = best_of_sweep(first).first()
+    weight = float(best["weight"]) if best and best["weight"] is not None else 0.0
+    now = stage(ranked.select(id_col, truth, "_x", (F.lit(1.0 - weight) * F.col("_a") + F.lit(weight) * F.col("_b")).alias("_base")))
+    part = now.where("_x is not null")
+    part = with_rank_over_n(with_rank_over_n(part, F.col("_base"), [], "_p"), F.col("_x"), [], "_q")
+    many = part.select(id_col, "_p", "_q", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("weight")).withColumn("_m", (F.lit(1.0) - F.col("weight")) * F.col("_p") + F.col("weight") * F.col("_q"))
+    placed = with_row_number(many, [F.col("_m"), F.col(id_col)], ["weight"], "_k").select(id_col, "weight", "_k")
+    kept = with_row_number(part.select(id_col, "_base"), [F.col("_base"), F.col(id_col)], [], "_k").select("_k", F.col("_base").alias("_new"))
+    routed = now.select(id_col, truth, "_base", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("weight")).join(placed.join(kept, "_k").drop("_k"), [id_col, "weight"], "left").withColumn("_score", F.coalesce("_new", "_base"))
+    second = regression_metrics(routed, truth, "_score", id_col, ["weight"]).select("weight", F.round("spearman", 6).alias("spearman"))
+    return first.select(F.lit("parent").alias("stage"), "weight", "spearman").union(second.select(F.lit("expert"), "weight", "spearman"))
+
+
+def scheduled_blends(rows: DataFrame, id_col: str, truth: str, base: str, parent: str, distance: Column, schedules: dict[str, float], usual: float = 0.225, far: float = 0.9) -> DataFrame:
+    """Metrics of rank blends by schedule: the parent has `usual` of the weight, and the schedule's where the distance is `far` or more."""
+    ranked = rows.withColumn("_far", F.coalesce(distance >= far, F.lit(False)))
+    for c in (base, parent):
+        ranked = with_rank_over_n(ranked, F.col(c), [], f"_r_{c}")
+    many = ranked.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(n).alias("schedule"), F.lit(float(w)).alias("w")) for n, w in schedules.items()])))
+    w = F.when(F.col("_far"), F.col("_s.w")).otherwise(F.lit(usual))
+    many = many.select(id_col, truth, F.col("_s.schedule").alias("schedule"), ((F.lit(1.0) - w) * F.col(f"_r_{base}") + w * F.col(f"_r_{parent}")).alias("_blend"))
+    return regression_metrics(many, truth, "_blend", id_col, ["schedule"])

@@ -6,10 +6,11 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.ranks import WINDOW_ROWS, with_ranks, with_row_number
+from sievewright.functions.ranks import WINDOW_ROWS, largest_group, ranged_sums, with_ranks, with_row_number
+from sievewright.session import lookup_join, stage
 
 METRICS = ["n", "rmse", "mae", "pearson", "spearman", "top10_enrichment"]
 
@@ -29,10 +30,11 @@ def regression_metrics(df: DataFrame, truth: str, prediction: str, id_col: str,
     """
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     rows = df.where(ok(truth) & ok(prediction)).select(*by, F.col(id_col).alias("_id"), F.col(truth).cast("double").alias("_t"), F.col(prediction).cast("double").alias("_p"))
-    rows = with_ranks(rows, F.col("_t"), by, "_rt", "_n")
-    rows = with_ranks(rows, F.col("_p"), by, "_rp", "_n2")
-    rows = with_row_number(rows, [-F.col("_t"), F.col("_id")], by, "_ot")
-    rows = with_row_number(rows, [-F.col("_p"), F.col("_id")], by, "_op")
+    most = largest_group(rows, by)
+    rows = with_ranks(rows, F.col("_t"), by, "_rt", "_n", largest=most)
+    rows = with_ranks(rows, F.col("_p"), by, "_rp", "_n2", largest=most)
+    rows = with_row_number(rows, [-F.col("_t"), F.col("_id")], by, "_ot", largest=most)
+    rows = with_row_number(rows, [-F.col("_p"), F.col("_id")], by, "_op", largest=most)
     count = F.greatest(F.lit(1.0), F.ceil(F.col("_n") * F.lit(float(share))).cast("double"))
     rows = rows.withColumn("_c", count)
     hit = ((F.col("_ot") <= F.col("_c")) & (F.col("_op") <= F.col("_c"))).cast("double")
@@ -105,8 +107,8 @@ def bootstrap_correlations(df: DataFrame, truth: str, scores: list[str], cluster
     """(round, one correlation a score): Spearman of cluster-resampled rows.
 
     Ranks within a round weigh rows by their cluster's draws: a value's rank is the weight before it plus half its own.
-    While the table fits one task, blocks of rounds are dealt to tasks that each take it whole; beyond that rows meet
-    rounds through their cluster only. Rows without a cluster are left out.
+    While the table fits one task, blocks of rounds are dealt to tasks that each take it whole; beyond that only the
+    distinct values meet the rounds, and their weights are summed in ranges. Rows without a cluster are left out.
     """
     df = df.select(F.col(cluster).alias("cluster"), truth, *scores).where("cluster is not null")
     if df.count() <= task_rows:
@@ -118,8 +120,7 @@ def bootstrap_correlations(df: DataFrame, truth: str, scores: list[str], cluster
     rows = df.join(times, "cluster")
     for c in [truth, *scores]:
         per = rows.groupBy("round", c).agg(F.sum("times").alias("_w"))
-        before = Window.partitionBy("round").orderBy(c)
-        ranks = per.select("round", c, (F.sum("_w").over(before) - F.col("_w") + (F.col("_w") + 1) / 2.0).alias(f"_r_{c}"))
+        ranks = ranged_sums(per, c, "_w", ["round"]).select("round", c, (F.col("_before") + (F.col("_w") + 1) / 2.0).alias(f"_r_{c}"))
         rows = rows.join(ranks, ["round", c])
     return rows.groupBy("round").agg(*[_weighted_correlation(f"_r_{truth}", f"_r_{s}", "times").alias(f"rho_{s}") for s in scores])
 
@@ -150,6 +151,44 @@ def selection_composite(macro: Column, held_out: Column, cold: Column) -> Column
     return F.lit(0.5) * macro + F.lit(0.25) * held_out + F.lit(0.25) * cold
 
 
+def with_regimes(df: DataFrame, split: str, unseen: dict[str, str], rest: str = "in-distribution", train: str = "train") -> DataFrame:
+    """df with `regime`: of rows outside `train` that have a split, the first of `unseen` (regime: column) whose value no training row has, else `rest`.
+
+    Training rows, rows without a split and nulls that nothing can be said of have none, or go on to the next.
+    """
+    rows, out = df, F.lit(rest)
+    for i, (regime, column) in reversed(list(enumerate(unseen.items()))):
+        known = df.where((F.col(split) == train) & F.col(column).isNotNull()).select(column).distinct().withColumn(f"_seen{i}", F.lit(True))
+        rows = lookup_join(rows, known, [column], "left")
+        out = F.when(F.col(column).isNotNull() & F.col(f"_seen{i}").isNull(), regime).otherwise(out)
+    held = F.col(split).isin("validation", "test")
+    return rows.withColumn("regime", F.when(held, out)).select(*df.columns, "regime")
+
+
+def evaluation_report(df: DataFrame, id_col: str, truth: str, prediction: str, views: dict[str, Column], macro: tuple[str, ...], regimes: tuple[str, str]) -> DataFrame:
+    """(view, part, n, rmse, mae, pearson, spearman, top10_enrichment): all figures of a prediction table in long form.
+
+    Each view (name: part column) gives a row a part; null parts are left out, blank ones kept for the first view and those of
+    `macro`. For the latter come the plain and the size-weighted mean of their parts' correlations, n being the parts that
+    have one. The composite is half the macro mean of the first of `macro` and a quarter each of two parts of the view
+    'regime', null unless all are there. One pass ranks all views together.
+    """
+    first = next(iter(views))
+    wanted = F.array(*[F.struct(F.lit(v).alias("view"), p.cast("string").alias("part")) for v, p in views.items()])
+    long = df.select(F.col(id_col).alias("_id"), F.col(truth).alias("_t"), F.col(prediction).alias("_p"), F.explode(wanted).alias("_v")).select("_id", "_t", "_p", "_v.view", "_v.part")
+    long = long.where(F.col("part").isNotNull() & ((F.col("part") != "") | F.col("view").isin(first, *macro)))
+    parts = regression_metrics(long, "_t", "_p", "_id", ["view", "part"])
+    digits = {"rmse": 4, "mae": 4}
+    parts = stage(parts.select("view", "part", "n", *[F.round(c, digits.get(c, 6)).alias(c) for c in METRICS[1:]]))
+    rho, n, none = F.col("spearman"), F.col("n"), F.lit(None).cast("double")
+    means = parts.where(F.col("view").isin(*macro)).groupBy(F.col("view").alias("part")).agg(F.count(rho).alias("n"), F.avg(rho).alias("macro"), F.try_divide(F.sum(rho * n), F.sum(F.when(rho.isNotNull(), n))).alias("weighted"))
+    row = lambda d, view, part, n, x: d.select(F.lit(view).alias("view"), part.alias("part"), n.alias("n"), none.alias("rmse"), none.alias("mae"), none.alias("pearson"), F.round(x, 5).alias("spearman"), none.alias("top10_enrichment"))
+    at = lambda v, p=None: F.avg(F.when((F.col("view") == v) & (F.lit(True) if p is None else F.col("part") == p), rho))
+    one = parts.agg(selection_composite(at(macro[0]), at("regime", regimes[0]), at("regime", regimes[1])).alias("x"))
+    out = parts.union(row(means, "macro", F.col("part"), F.col("n"), F.col("macro"))).union(row(means, "weighted", F.col("part"), F.col("n"), F.col("weighted")))
+    return out.union(row(one, "composite", F.lit(""), F.lit(None).cast("long"), F.col("x")))
+
+
 def pair_accuracy(pairs: DataFrame, scores: DataFrame, id_col: str, score: str) -> DataFrame:
     """Weighted share of preference pairs that the scores order rightly; ties count half."""
     left, right = (scores.select(F.col(id_col).alias(f"{s}_record_id"), F.col(score).alias(f"_{s}")) for s in ("left", "right"))

@@ -90,3 +90,8 @@ def validate_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
     twice = pairs.groupBy("left_record_id", "right_record_id").count().where("count > 1").agg(F.count("*").alias("duplicate_pair"))
     long = one.select(F.explode(F.create_map(*[x for n in checks for x in (F.lit(n), F.col(n))])).alias("check", "violations"))
     return long.union(twice.select(F.lit("duplicate_pair"), F.col("duplicate_pair")))
+
+
+def pair_summary(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs and the range and mean of their weights, by group, reason or any other columns."""
+    return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), F.min("pair_weight").alias("weight_min"), F.avg("pair_weight").alias("weight_mean"), F.max("pair_weight").alias("weight_max"))

@@ -69,6 +69,22 @@ def dispositions(df: DataFrame, by: str, rules: list[tuple[str, Column]], rest:
     return tagged.groupBy(by).agg(*[F.count_if(F.col("_d") == n).alias(n) for n in [*[n for n, _ in rules], rest]])
 
 
+def curation_counters(df: DataFrame, by: str, rules: list[tuple[str, Column]], kept: list[str], key: Column, group: str, order: str, rest: str = "curated") -> DataFrame:
+    """(by, one count a disposition, repeated, cross_group): each row under the first rule that holds.
+
+    Of the rows whose disposition is in `kept`, repeated are those whose key an earlier one (by `order`) has, cross_group
+    those of them whose first one lies in another group. A key's first row is found by a partial minimum, not a window.
+    """
+    chosen = F.lit(rest)
+    for name, test in reversed(rules):
+        chosen = F.when(F.coalesce(test, F.lit(False)), name).otherwise(chosen)
+    rows = df.select(by, chosen.alias("_d"), key.alias("_k"), F.col(group).alias("_g"), F.col(order).alias("_o"))
+    first = rows.where(F.col("_d").isin(kept)).groupBy("_k").agg(F.min("_o").alias("_first"), F.min_by("_g", "_o").alias("_fg"))
+    met = rows.withColumn("_key", F.when(F.col("_d").isin(kept), F.col("_k"))).join(first.withColumnRenamed("_k", "_key"), "_key", "left")
+    again = F.col("_o") > F.col("_first")
+    return met.groupBy(by).agg(*[F.count_if(F.col("_d") == n).alias(n) for n in [n for n, _ in rules] + [rest]], F.count_if(again).alias("repeated"), F.count_if(again & (F.col("_fg") != F.col("_g"))).alias("cross_group"))
+
+
 def duplicate_contents(df: DataFrame, content: Column, id_col: str) -> DataFrame:
     """(digest, copies, first_id) of contents that occur more than once."""
     return df.select(F.sha2(content, 256).alias("digest"), F.col(id_col).alias("_i")).where("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"), F.min("_i").alias("first_id")).where("copies > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 from sievewright.functions.ranks import with_row_number
 from sievewright.functions.values import hashed_split, stable_bucket
 from sievewright.operators.graph import connected_components
-from sievewright.session import stage
+from sievewright.session import lookup_join, stage
 
 #: Splits in the order in which a key's records are kept when it occurs in several.
 PRIORITY = {"test": 0, "validation": 1, "train": 2}
-#: Most groups that the greedy balance may place; it is sequential by nature.
-GREEDY_GROUPS = 1_000_000
+#: Places among groups of one size that a task of the greedy balance deals.
+DEALT = 100_000
 
 
 def group_hash_split(df: DataFrame, group: str, train: float = 0.70, validation: float = 0.15, few: str | None = None) -> DataFrame:
@@ -56,31 +56,89 @@ def source_held_out(df: DataFrame, group: str, percent: int) -> DataFrame:
     return groups.select(group, F.when(test, "test").otherwise("train").alias("split"))
 
 
+def _dealt(load: list[float], target: list[float], size: float, picks: int) -> list[float]:
+    """The loads after `picks` groups of one size went to the split with the least load against its target, ties by place.
+
+    The k-th group of a split is dealt when its ratio is (load + k * size) / target, so the picks are the smallest of these
+    numbers: all but a few are counted at once under the common level they reach, the rest are dealt one by one.
+    """
+    load = list(load)
+    sure = picks - 4 * len(load)
+    if sure > 0:
+        low, high = 0.0, (max(load) + size * picks) / min(target)
+        count = lambda level: [max(0, int((level * t - x) / size) - 1) for x, t in zip(load, target, strict=True)]
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(count(middle)) <= sure else (low, middle)
+        done = count(low)
+        load = [x + n * size for x, n in zip(load, done, strict=True)]
+        picks -= sum(done)
+    for _ in range(picks):
+        load[_least(load, target)] += size
+    return load
+
+
+def _least(load: list[float], target: list[float]) -> int:
+    return min(range(len(load)), key=lambda i: load[i] / target[i])
+
+
 def greedy_balance(df: DataFrame, key: str, shares: dict[str, float], first: str = "train") -> DataFrame:
     """(key, size, split): whole groups by falling size, each to the split with the least load against its target, ties by name.
 
-    The largest goes to `first`. Every step depends on the ones before, so one task walks the sorted sizes and keeps
-    nothing but the loads; more than GREEDY_GROUPS groups raise, since such a number needs no greedy balance: hash splits then are even.
+    The largest goes to `first`. Groups of one size are dealt by their place among them: the driver goes over the distinct
+    sizes, whose number grows with the square root of the rows at most, and tasks deal DEALT places each from the loads before them.
     """
-    sizes = stage(df.groupBy(key).agg(F.count("*").alias("size"))).where(F.col(key).isNotNull())
-    n, total = sizes.agg(F.count("*"), F.sum("size")).first()
-    if n > GREEDY_GROUPS:
-        raise ValueError(f"{n} groups are too many for a greedy balance; use group_hash_split")
+    sizes = stage(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("size")))
     names = sorted(shares)
-    target = {s: max(float(total or 0) * shares[s], 1e-300) for s in names}
-
-    def place(batches):
-        load, to = dict.fromkeys(names, 0.0), first
-        for batch in batches:
-            out = []
-            for size in batch.column("size").to_pylist():
-                out.append(to)
-                load[to] += size
-                to = min(names, key=lambda s: load[s] / target[s])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "split"])
-
+    classes = sizes.groupBy("size").count().orderBy(F.desc("size")).collect()
+    total = sum(r["size"] * r["count"] for r in classes)
+    target = [max(total * shares[s], 1e-300) for s in names]
+    load, state, place = [0.0] * len(names), {}, 1
+    for r in classes:
+        size, n = r["size"], r["count"]
+        state[size] = (place, list(load))
+        if place == 1:
+            load[names.index(first)] += size
+            load = _dealt(load, target, size, n - 1)
+        else:
+            load = _dealt(load, target, size, n)
+        place += n
+    shared = df.sparkSession.sparkContext.broadcast(state)
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_k")
+        size, at = int(rows["size"].iloc[0]), int(rows["_k"].iloc[0])
+        begin, load = shared.value[size]
+        out = []
+        if begin == 1:
+            load = [x + size * (s == first) for x, s in zip(load, names, strict=True)]
+            if at == 1:
+                out.append(first)
+            load = _dealt(load, target, size, max(0, at - 2))
+        else:
+            load = _dealt(load, target, size, at - begin)
+        for _ in range(len(rows) - len(out)):
+            to = _least(load, target)
+            load[to] += size
+            out.append(names[to])
+        return rows[[key, "size"]].assign(split=out)
+
+    placed = with_row_number(sizes, [-F.col("size"), F.col(key)], [], "_k")
     schema = T.StructType([*sizes.schema.fields, T.StructField("split", T.StringType())])
-    return sizes.repartition(1).sortWithinPartitions(F.desc("size"), key).mapInArrow(place, schema)
+    return placed.groupBy("size", F.floor(F.col("_k") / DEALT).alias("_chunk")).applyInPandas(lambda rows: deal(rows), schema)
+
+
+def inner_split(df: DataFrame, family: str, inside: Column, shares: dict[str, float], name: str = "inner_split") -> DataFrame:
+    """df with an inner split: the greedy balance of whole families over the rows that are `inside`, 'excluded' for all others.
+
+    An existing column of that name raises.
+    """
+    if name in df.columns:
+        raise ValueError(f"column {name} exists")
+    rows = df.withColumn("_inside", F.coalesce(inside, F.lit(False)))
+    placed = greedy_balance(rows.where("_inside"), family, shares).select(family, "split").withColumnRenamed("split", name)
+    found = lookup_join(rows, stage(placed), [family], "left")
+    return found.withColumn(name, F.when(F.col("_inside"), F.col(name)).otherwise("excluded")).drop("_inside")
 
 
 def component_split(df: DataFrame, group: str, keys: list[str]) -> DataFrame:
@@ -108,6 +166,38 @@ def purge_leakage(df: DataFrame, key: Column, split: str, by_count: int = 0) ->
     return kept.select(*df.columns)
 
 
+def purge_summary(df: DataFrame, key: Column, split: str, source: str, top: int = 20) -> DataFrame:
+    """(part, name, rows): rows of each split taken in, kept and removed by a purge, its keys and those in several splits, the `top` sources that lose most.
+
+    Splits are those of PRIORITY; null keys are kept. Sources that lose the same come by name.
+    """
+    rank = F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p])[F.col(split)]
+    rows = df.select(F.col(split).alias("s"), F.coalesce(F.col(source), F.lit("")).alias("f"), key.alias("k"), rank.alias("r"))
+    keys = rows.where("k is not null").groupBy("k").agg(F.min("r").alias("best"), F.count_distinct("s").alias("n"))
+    counts = rows.join(keys, "k", "left").groupBy("s", "f").agg(F.count("*").alias("rows"), F.count_if(F.col("r") > F.col("best")).alias("gone"))
+    counts = stage(counts)
+    by_split = counts.groupBy("s").agg(F.sum("rows").alias("input"), F.sum(F.col("rows") - F.col("gone")).alias("kept"), F.sum("gone").alias("removed"))
+    long = by_split.select(F.explode(F.create_map(*[x for p in ("input", "kept", "removed") for x in (F.lit(p), F.col(p))])).alias("part", "rows"), F.col("s").alias("name")).where("rows > 0").select("part", "name", "rows")
+    both = keys.agg(F.count("*").alias("all"), F.count_if(F.col("n") > 1).alias("cross_split")).select(F.explode(F.create_map(*[x for p in ("all", "cross_split") for x in (F.lit(p), F.col(p))])).alias("name", "rows")).select(F.lit("keys").alias("part"), "name", "rows")
+    lost = counts.groupBy("f").agg(F.sum("gone").alias("rows")).where("rows > 0").orderBy(F.desc("rows"), "f").limit(top).select(F.lit("removed_by_source").alias("part"), F.col("f").alias("name"), "rows")
+    return long.union(both).union(lost)
+
+
+def linked_groups(df: DataFrame, group: str, keys: dict[str, list[Column]]) -> DataFrame:
+    """(kind, group, component) for each kind of link: groups that share a value of any of its keys, directly or through others.
+
+    A component is named by its smallest group; null keys link nothing. Edges go through each key value's smallest group.
+    """
+    said = F.array(*[F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(f"{i}|"), c).alias("k")) for kind, cs in keys.items() for i, c in enumerate(cs)])
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.explode(said).alias("x")).where("x.k is not null").select("x.kind", "x.k", "g").distinct()
+    node = lambda g: F.concat("kind", F.lit("\u001f"), F.col(g))
+    low = rows.groupBy("kind", "k").agg(F.min("g").alias("low"))
+    edges = rows.join(low, ["kind", "k"]).select(node("g").alias("u"), node("low").alias("v")).distinct()
+    alone = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.explode(F.array(*map(F.lit, keys))).alias("kind")).distinct().select(node("g").alias("u"), node("g").alias("v"))
+    parts = connected_components(edges.union(alone))
+    return parts.select(F.substring_index("node", "\u001f", 1).alias("kind"), F.substring_index("node", "\u001f", -1).alias("group"), F.substring_index("root", "\u001f", -1).alias("component"))
+
+
 def leaking_keys(df: DataFrame, key: Column, split: str) -> DataFrame:
     """(key, splits): keys that occur in more than one split."""
     return df.select(key.alias("key"), F.col(split).alias("s")).where("key is not null and s is not null").groupBy("key").agg(F.count_distinct("s").alias("splits")).where("splits > 1")

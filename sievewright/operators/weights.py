@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.ranks import over_mean
-from sievewright.session import lookup_join
+from sievewright.functions.ranks import over_mean, ranged_sums
+from sievewright.session import lookup_join, stage
 
 
 def _with_count(df: DataFrame, source: str) -> DataFrame:
@@ -43,19 +43,20 @@ def group_means(df: DataFrame, keys: list[str], score: str, source: str | None =
     return df.groupBy(*keys).agg(F.avg(score).alias("score"), *extra)
 
 
-def weighted_draws(df: DataFrame, id_col: str, weight: Column, size: int, seed: int, most: int = 24) -> DataFrame:
-    """df with `times`, rows drawn with replacement in proportion to their weight, `size` draws expected in all.
+def weighted_draws(df: DataFrame, id_col: str, weight: Column, size: int, seed: int) -> DataFrame:
+    """df with `times`: `size` draws with replacement in proportion to the weight; rows drawn 0 times are left out.
 
-    Each row's count is Poisson by the inverse of its distribution at a hash of seed and id, so rows are drawn on their own
-    and no order or running sum is needed. Rows drawn 0 times are left out; no positive weight gives no rows.
+    The weights of all rows stand in one line in the order of the ids, summed in ranges; draw i falls on the place that the
+    MD5 of seed and i gives. Rows and draws meet in as many cells of the line as there are draws, so no task holds them all.
+    Rows without a positive weight are never drawn; if none has one there are no rows. Ids are unique.
     """
-    rows = df.withColumn("_w", F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)))
-    total = rows.agg(F.sum("_w")).first()[0] or 0.0
-    rate = F.col("_w") * F.lit(size / total if total else 0.0)
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("double") / F.lit(2.0**48)
-    steps = F.sequence(F.lit(1), F.lit(most))
-    start = F.struct(F.exp(-F.col("_m")).alias("p"), F.exp(-F.col("_m")).alias("c"), F.lit(0).alias("n"))
-    walk = lambda acc, k: F.when(acc["c"] > F.col("_u"), acc).otherwise(F.struct((acc["p"] * F.col("_m") / k).alias("p"), (acc["c"] + acc["p"] * F.col("_m") / k).alias("c"), (acc["n"] + 1).alias("n")))
-    rows = rows.withColumn("_m", rate).withColumn("_u", u).withColumn("_base", F.floor(F.col("_m") / 8) * 8)
-    rows = rows.withColumn("_m", F.col("_m") - F.col("_base"))  # a large rate is a fixed part and a small random one
-    return rows.withColumn("times", (F.col("_base") + F.aggregate(steps, start, walk)["n"]).cast("int")).where("times > 0").drop("_w", "_m", "_u", "_base")
+    rows = df.withColumn("_w", F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))).where("_w > 0")
+    line = stage(ranged_sums(rows.select(F.col(id_col).alias("_id"), "_w"), "_id", "_w", []))
+    cell = lambda x: F.least(F.floor(x / F.col("_total") * size), F.lit(size - 1))
+    spread = line.withColumn("_cell", F.explode(F.sequence(cell(F.col("_before")), cell(F.col("_before") + F.col("_w")))))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("double") / F.lit(2.0**48)
+    draws = df.sparkSession.range(size).select(u.alias("_u"), F.least(F.floor(u * size), F.lit(size - 1)).alias("_cell"))
+    place = F.col("_u") * F.col("_total")
+    drawn = spread.join(draws, "_cell").where((place >= F.col("_before")) & (place < F.col("_before") + F.col("_w")))
+    times = drawn.groupBy("_id").agg(F.count("*").alias("times"))
+    return df.join(times, df[id_col] == times["_id"]).drop("_id")

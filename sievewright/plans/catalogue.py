@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievewright.plans import learned, problems, reference
+from sievewright.plans import curation, learned, problems, reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    assert learned  # registers its queries
+    assert curation and learned  # they register their queries
     return reference.QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(reference.SQL)
+    assert curation
+    return reference.SQL | problems.oracle_sql()

@@ -46,3 +46,26 @@ def p6_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_found, p3_found, p3_valid, p6_found, p6_table)}
+
+
+_CELLS = lambda sep: f"regexp_extract_all(line_text || '{sep}', '((?:\"(?:[^\"]|\"\")*\")|[^\"{sep}]*){sep}', 1)"
+_WELL = lambda sep: f"regexp_full_match(line_text, '(?s)(?:\"(?:[^\"]|\"\")*\"|[^\"{sep}\\r\\n]*)(?:{sep}(?:\"(?:[^\"]|\"\")*\"|[^\"{sep}\\r\\n]*))*')"
+_CELL = lambda role: f"trim(CASE WHEN {role} IS NULL THEN NULL WHEN starts_with(c[p_{role}], '\"') THEN replace(c[p_{role}][2:-2], '\"\"', '\"') ELSE c[p_{role}] END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_WORDS = "('', 'na', 'n/a', 'nan', 'none', chr(92))"
+_LABEL = "try_cast(nullif(regexp_extract(replace(label, ',', ''), '[-+]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][-+]?\\d+)?'), '') AS DOUBLE)"
+_RESIDUE = lambda c: f"(coalesce({c}, '') <> '' AND NOT regexp_full_match({c}, '[ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]+'))"
+_ROLES = ("heavy", "light", "antigen", "label")
+_P3 = f"""WITH f AS (SELECT DISTINCT path, lower(format) AS format, header_row, column_count, columns, {', '.join(f"{r}_candidates[1] AS {r}" for r in _ROLES)} FROM inventory_row WHERE lower(format) IN ('csv', 'tsv')),
+    x AS (SELECT l.line_id, coalesce(l.line_text, '') AS line_text, f.*, {', '.join(f"list_position(columns, {r}) AS p_{r}" for r in _ROLES)} FROM raw_line l JOIN f USING (path) WHERE l.line_no > f.header_row),
+    y AS (SELECT *, CASE format WHEN 'csv' THEN {_WELL(',')} ELSE {_WELL(chr(9))} END AS well, CASE format WHEN 'csv' THEN {_CELLS(',')} ELSE {_CELLS(chr(9))} END AS c FROM x),
+    z AS (SELECT line_id, well, line_text <> '' AND len(c) = column_count AS fits, c, {', '.join(f"{_CELL(r)} AS {r}" for r in _ROLES)}, heavy IS NOT NULL AS has_heavy FROM y),
+    w AS (SELECT line_id, c, CASE WHEN NOT well THEN 'quoting' WHEN NOT fits THEN 'width' WHEN (has_heavy AND coalesce(heavy, '') = '') OR {' OR '.join(_RESIDUE(r) for r in _ROLES[:3])} OR (label IS NOT NULL AND lower(label) NOT IN {_WORDS} AND NOT coalesce(abs({_LABEL}) < 'infinity'::DOUBLE, false)) THEN 'value' END AS reason FROM z)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the problems that it can express on whole tables."""
+    plain = "list_transform(c, lambda x: CASE WHEN starts_with(x, '\"') THEN replace(x[2:-2], '\"\"', '\"') ELSE x END)"
+    return {
+        "p3_found": f"{_P3} SELECT line_id, reason FROM w WHERE reason IS NOT NULL",
+        "p3_valid": f"{_P3} SELECT w.line_id, l.path, to_json({plain})::VARCHAR AS cells FROM w JOIN raw_line l USING (line_id) WHERE reason IS NULL",
+    }

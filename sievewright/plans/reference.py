@@ -129,13 +129,19 @@ _DRAWS_SQL = f"""
     t AS (SELECT d.round, c.cluster, count(*) AS times FROM d JOIN c USING (k) GROUP BY 1, 2)"""
 
 
+def _weighted_rank(c: str) -> str:
+    return f"sum(times) OVER (PARTITION BY round ORDER BY {c} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(times) OVER (PARTITION BY round, {c}) + (sum(times) OVER (PARTITION BY round, {c}) + 1) / 2.0"
+
+
+def _weighted_rho(s: str) -> str:
+    return f"(sum(times * rt * r_{s}) - sum(times * rt) * sum(times * r_{s}) / sum(times)) / sqrt((sum(times * rt * rt) - sum(times * rt) * sum(times * rt) / sum(times)) * (sum(times * r_{s} * r_{s}) - sum(times * r_{s}) * sum(times * r_{s}) / sum(times))) AS rho_{s}"
+
+
 def _boot_sql(scores: list[str], rounds: int) -> str:
-    rank = lambda c: f"sum(times) OVER (PARTITION BY round ORDER BY {c} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(times) OVER (PARTITION BY round, {c}) + (sum(times) OVER (PARTITION BY round, {c}) + 1) / 2.0"
-    rho = lambda s: f"(sum(times * rt * r_{s}) - sum(times * rt) * sum(times * r_{s}) / sum(times)) / sqrt((sum(times * rt * rt) - sum(times * rt) * sum(times * rt) / sum(times)) * (sum(times * r_{s} * r_{s}) - sum(times * r_{s}) * sum(times * r_{s}) / sum(times))) AS rho_{s}"
     return f"""WITH e AS (SELECT *, user_id AS cluster FROM ({_EVENTS_SQL}) WHERE user_id IS NOT NULL), {_DRAWS_SQL.format(rounds=rounds)},
         x AS (SELECT t.round, CAST(t.times AS DOUBLE) AS times, e.* FROM e JOIN t USING (cluster)),
-        y AS (SELECT *, CAST({rank('truth')} AS DOUBLE) AS rt, {', '.join(f'CAST({rank(s)} AS DOUBLE) AS r_{s}' for s in scores)} FROM x),
-        b AS (SELECT round, {', '.join(map(rho, scores))} FROM y GROUP BY round)"""
+        y AS (SELECT *, CAST({_weighted_rank('truth')} AS DOUBLE) AS rt, {', '.join(f'CAST({_weighted_rank(s)} AS DOUBLE) AS r_{s}' for s in scores)} FROM x),
+        b AS (SELECT round, {', '.join(map(_weighted_rho, scores))} FROM y GROUP BY round)"""
 
 
 def _boot(spark: SparkSession, sf: str, scores: list[str], rounds: int) -> DataFrame:
@@ -177,19 +183,6 @@ def regime_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(metrics.regression_metrics(rows, "truth", "a", "event_id", ["regime"]), ["regime"])
 
 
-_REPORT = [("all", "''"), ("event_type", "event_type"), ("user", "CAST(user_id AS VARCHAR)"), ("antibody", "CASE WHEN event_id % 3 = 0 THEN 'single' ELSE 'pair' END")]
-_REPORT_SQL = " UNION ALL ".join(f"SELECT '{n}' AS view, {e} AS part, * FROM ({_EVENTS_SQL})" for n, e in _REPORT)
-
-
-@query(metrics_sql(_REPORT_SQL, "truth", "a", "event_id", ["view", "part"]))
-def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf)
-    parts = {"all": F.lit(""), "event_type": F.col("event_type"), "user": F.col("user_id").cast("string"), "antibody": F.when(F.col("event_id") % 3 == 0, "single").otherwise("pair")}
-    views = F.array(*[F.struct(F.lit(v).alias("view"), p.alias("part")) for v, p in parts.items()])
-    long = e.withColumn("_v", F.explode(views)).select("event_id", "truth", "a", "_v.view", "_v.part")
-    return _rounded(metrics.regression_metrics(long, "truth", "a", "event_id", ["view", "part"]), ["view", "part"])
-
-
 # --- alignment and ensembles ----------------------------------------------------------------------------------------
 
 
@@ -302,12 +295,6 @@ def replicate_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return weights.collapse_replicates(rows, ["heavy", "light"], "score", 0.5).select("heavy", "light", r9("score", "score"), "replicates", "copy")
 
 
-@query()
-def weighted_sample(spark: SparkSession, sf: str) -> DataFrame:
-    rows = weights.source_balance(read(spark, sf, "documents").where("source is not null").select("doc_id", "source"), "source", 1.0)
-    return weights.weighted_draws(rows, "doc_id", F.col("weight"), 500, 9).select("doc_id", "source", "times")
-
-
 # --- sequences and numbers ------------------------------------------------------------------------------------------
 
 _SEQ = lambda c: f"upper(regexp_replace(coalesce({c}, ''), '[^A-Za-z]', '', 'g'))"
@@ -472,12 +459,6 @@ def family_split_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return splits.greedy_balance(rows, "family", {"train": 0.7, "validation": 0.15, "test": 0.15})
 
 
-@query()
-def inner_family_split(spark: SparkSession, sf: str) -> DataFrame:
-    demo = read(spark, sf, "math_demo").where(F.lower(F.trim("split")) == "train").where("source_group is not null")
-    return splits.greedy_balance(demo, "source_group", {"train": 0.8, "validation": 0.2})
-
-
 _CHAIN_KEY = "nullif(upper(regexp_replace(coalesce(heavy, ''), '[^A-Za-z]', '', 'g')), '')"
 _PRIO = "CASE lower(trim(split)) WHEN 'test' THEN 0 WHEN 'validation' THEN 1 WHEN 'train' THEN 2 END"
 
@@ -514,11 +495,6 @@ def connected_sets(spark: SparkSession, sf: str) -> DataFrame:
     return connected_components(edges)
 
 
-@query()
-def component_split(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.component_split(read(spark, sf, "math_demo"), "source_group", ["heavy"])
-
-
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('3|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 25")
 def hash_sample_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return splits.hash_sample(read(spark, sf, "documents").select("doc_id", "source"), "doc_id", "source", 25, 3)
@@ -554,27 +530,6 @@ def update_merge(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("raw_id", F.coalesce("score", values.finite(F.col("raw_label"))).alias("label"))
 
 
-_TRIPLE = f"({_NORM('heavy')}) || chr(31) || ({_NORM('light')}) || chr(31) || ({_NORM('antigen_seq')})"
-
-
-@query(f"SELECT raw_id FROM raw_record WHERE {_NORM('heavy')} <> '' AND {_TRIPLE} IN (SELECT {_TRIPLE} FROM math_demo)")
-def domain_semi_join(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.concat_ws("\u001f", *[sequences.normalize_sequence(F.col(c)) for c in ("heavy", "light", "antigen_seq")]).alias("k")
-    ours = read(spark, sf, "raw_record").where(sequences.normalize_sequence(F.col("heavy")) != "").select("raw_id", key)
-    return ours.join(read(spark, sf, "math_demo").select(key).distinct(), "k", "left_semi").select("raw_id")
-
-
-@query("(SELECT source_file, 'left_only' AS side FROM (SELECT source_file FROM label_registry EXCEPT SELECT source_file FROM math_demo)) UNION ALL (SELECT source_file, 'right_only' FROM (SELECT source_file FROM math_demo EXCEPT SELECT source_file FROM label_registry))")
-def coverage_anti_join(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.coverage_gap(read(spark, sf, "label_registry"), read(spark, sf, "math_demo"), "source_file")
-
-
-@query("SELECT r.name, r.nearest FROM (SELECT p.p_name AS name, s.s_name AS nearest, row_number() OVER (PARTITION BY p.p_name ORDER BY levenshtein(p.p_name, s.s_name), s.s_name) AS k FROM (SELECT DISTINCT p_name FROM part) p, (SELECT DISTINCT r_name AS s_name FROM region) s) r WHERE k = 1")
-def fuzzy_name_match(spark: SparkSession, sf: str) -> DataFrame:
-    known = [r[0] for r in read(spark, sf, "region").select("r_name").distinct().orderBy("r_name").collect()]
-    near = F.array_min(F.array(*[F.struct(F.levenshtein("name", F.lit(k)).alias("d"), F.lit(k).alias("name")) for k in known]))
-    return read(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().select("name", near["name"].alias("nearest"))
-
 
 _CURATED_SQL = f"""WITH r AS (SELECT r.raw_id, r.source_file, g.source_group, {_NORM('heavy')} AS h, {_NORM('light')} AS l, {_NORM('antigen_seq')} AS s, r.raw_label * r.direction AS v, coalesce(r.comparison_group, r.source_file) AS grp FROM raw_record r JOIN label_registry g USING (source_file)
         WHERE g.supervised_use = 'yes' AND r.raw_label IS NOT NULL AND NOT isnan(r.raw_label) AND (g.censor_policy NOT IN ('require_positive_finite', 'require_positive_and_below_max') OR r.raw_label > 0)),
@@ -637,12 +592,6 @@ def pair_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pairs", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query()
-def pair_validation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _comparable(spark, sf)
-    return pairs.validate_pairs(pairs.preference_pairs(rows, seed=_PAIR_SEED), rows)
-
-
 @query("""WITH x AS (SELECT DISTINCT record_id, score, antigen_id FROM math_demo WHERE score IS NOT NULL AND antigen_id IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY antigen_id ORDER BY score, record_id) AS i, count(*) OVER (PARTITION BY antigen_id) AS n FROM x)
     SELECT DISTINCT l.antigen_id, h.record_id AS better, l.record_id AS worse FROM p l, (SELECT unnest([0.05, 0.25, 0.5, 1.0]::DOUBLE[]) AS f) o JOIN p h ON h.antigen_id = l.antigen_id AND h.i = least(l.n, l.i + greatest(1, round_even((l.n - 1) * o.f, 0)::BIGINT)) WHERE l.i < l.n AND h.score - l.score >= 0.1""")
 def rank_offset_pairs(spark: SparkSession, sf: str) -> DataFrame:
