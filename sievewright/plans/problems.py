@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievewright.operators.drift import consistent_table, schema_changes
 from sievewright.operators.structural import classify_lines
 from sievewright.operators.units import harmonise
+from sievewright.sources import delivered
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -44,8 +45,13 @@ def p6_table(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("extras", F.to_json("extras"))
 
 
+def structure_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The failing lines of every file by reason."""
+    return delivered.structure_audit(_read(spark, sf, "raw_line"), _read(spark, sf, "inventory_row"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_valid, p6_found, p6_table)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_valid, p6_found, p6_table, structure_audit)}
 
 
 _CELLS = lambda sep: f"regexp_extract_all(line_text || '{sep}', '((?:\"(?:[^\"]|\"\")*\")|[^\"{sep}]*){sep}', 1)"
@@ -58,14 +64,17 @@ _ROLES = ("heavy", "light", "antigen", "label")
 _P3 = f"""WITH f AS (SELECT DISTINCT path, lower(format) AS format, header_row, column_count, columns, {', '.join(f"{r}_candidates[1] AS {r}" for r in _ROLES)} FROM inventory_row WHERE lower(format) IN ('csv', 'tsv')),
     x AS (SELECT l.line_id, coalesce(l.line_text, '') AS line_text, f.*, {', '.join(f"list_position(columns, {r}) AS p_{r}" for r in _ROLES)} FROM raw_line l JOIN f USING (path) WHERE l.line_no > f.header_row),
     y AS (SELECT *, CASE format WHEN 'csv' THEN {_WELL(',')} ELSE {_WELL(chr(9))} END AS well, CASE format WHEN 'csv' THEN {_CELLS(',')} ELSE {_CELLS(chr(9))} END AS c FROM x),
-    z AS (SELECT line_id, well, line_text <> '' AND len(c) = column_count AS fits, c, {', '.join(f"{_CELL(r)} AS {r}" for r in _ROLES)}, heavy IS NOT NULL AS has_heavy FROM y),
+    z AS (SELECT line_id, path, p_light, well, line_text <> '' AND len(c) = column_count AS fits, c, {', '.join(f"{_CELL(r)} AS {r}" for r in _ROLES)}, heavy IS NOT NULL AS has_heavy FROM y),
     w AS (SELECT line_id, c, CASE WHEN NOT well THEN 'quoting' WHEN NOT fits THEN 'width' WHEN (has_heavy AND coalesce(heavy, '') = '') OR {' OR '.join(_RESIDUE(r) for r in _ROLES[:3])} OR (label IS NOT NULL AND lower(label) NOT IN {_WORDS} AND NOT coalesce(abs({_LABEL}) < 'infinity'::DOUBLE, false)) THEN 'value' END AS reason FROM z)"""
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the problems that it can express on whole tables."""
     plain = "list_transform(c, lambda x: CASE WHEN starts_with(x, '\"') THEN replace(x[2:-2], '\"\"', '\"') ELSE x END)"
+    counts = ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in ("quoting", "width", "value"))
+    gap = "z.p_light IS NULL OR lower(z.light) IN " + _WORDS
     return {
+        "structure_audit": f"{_P3} SELECT z.path, count(*) AS rows, {counts}, count(*) FILTER (reason IS NULL) AS valid, count(*) FILTER (reason IS NULL AND ({gap})) AS missing_light FROM w JOIN z USING (line_id) GROUP BY 1",
         "p3_found": f"{_P3} SELECT line_id, reason FROM w WHERE reason IS NOT NULL",
         "p3_valid": f"{_P3} SELECT w.line_id, l.path, to_json({plain})::VARCHAR AS cells FROM w JOIN raw_line l USING (line_id) WHERE reason IS NULL",
     }

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.sequences import normalize_sequence
 from sievewright.functions.values import parse_number
-from sievewright.operators.structural import ROLES, SEPARATORS, classify_lines
+from sievewright.operators.structural import MISSING, ROLES, SEPARATORS, classify_lines
 from sievewright.session import lookup_join, stage
 
-#: Header names of each role, first match wins.
+#: Header names of each role, first match wins.
 ALIASES = {
     "heavy": ["heavy", "HC", "Ab_heavy_chain_seq", "Ab/Nano H_Chain AA", "sequence", "heavy_chain", "H_seq"],
     "light": ["light", "LC", "Ab_light_chain_seq", "Ab/Nano L_Chain AA", "light_chain", "L_seq"],
@@ -175,3 +175,54 @@ def raw_records(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     pick = lambda r: F.when(F.col(r).isNotNull(), F.element_at("_m", F.col(r)))
     out = rows.select(F.col("path").alias("source_file"), "line_no", *[normalize_sequence(pick(r)).alias(r) for r in ROLES[:3]], parse_number(pick("label")).alias("raw_label"))
     return out.where("heavy <> '' and raw_label is not null")
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """(path, size_bytes, sha256, problem): each file read once in pieces of CHUNK bytes; the members of zips are checked against their sums."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import zipfile
+
+        for batch in batches:
+            rows = []
+            for file, path in zip(batch["file"], batch["path"], strict=True):
+                digest, size, problem = hashlib.sha256(), 0, None
+                with _open(file) as source:
+                    while piece := source.read(CHUNK):
+                        digest.update(piece)
+                        size += len(piece)
+                    if path.lower().endswith((".zip", ".xlsx", ".docx")):
+                        source.seek(0)
+                        try:
+                            with zipfile.ZipFile(source) as z:
+                                bad = z.testzip()
+                                problem = f"damaged member {bad}" if bad else None
+                        except zipfile.BadZipFile:
+                            problem = "no zip file"
+                rows.append((path, size, digest.hexdigest(), problem))
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "sha256", "problem"])
+
+    parts = max(8, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return files.select("file", "path").repartition(parts, "path").mapInPandas(run, "path string, size_bytes long, sha256 string, problem string")
+
+
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    """Targets or inventories in JSON, one object or an array a file, over any number of lines."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+def first_rows(lines: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` lines of every file: the sample that a profile reads."""
+    return lines.where(F.col("line_no") <= limit)
+
+
+def structure_audit(lines: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(path, rows, quoting, width, value, valid, missing_light): how many lines of every file fail by reason, and valid ones without a light chain.
+
+    Lines before and at the header do not count; files without lines are left out.
+    """
+    rows = classify_lines(lines, inventory, with_cells=True, with_roles=True)
+    light = F.lower(F.trim(F.get("cells", F.col("light"))))
+    gap = F.col("reason").isNull() & ((F.col("light") < 0) | light.isin(*MISSING))
+    return rows.groupBy("path").agg(F.count("*").alias("rows"), *[F.count_if(F.col("reason") == r).alias(r) for r in ("quoting", "width", "value")], F.count_if(F.col("reason").isNull()).alias("valid"), F.count_if(gap).alias("missing_light"))
