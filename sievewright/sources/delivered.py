@@ -13,13 +13,18 @@ from sievewright.functions.values import parse_number
 from sievewright.operators.structural import MISSING, ROLES, SEPARATORS, classify_lines
 from sievewright.session import lookup_join, stage
 
-#: Header names of each role, first match wins.
-ALIASES = {
-    "heavy": ["heavy", "HC", "Ab_heavy_chain_seq", "Ab/Nano H_Chain AA", "sequence", "heavy_chain", "H_seq"],
-    "light": ["light", "LC", "Ab_light_chain_seq", "Ab/Nano L_Chain AA", "light_chain", "L_seq"],
-    "antigen": ["antigen_seq", "Ag_seq", "target_seq"],
-    "label": ["fitness", "Pred_affinity", "KD [bind/no bind]", "Kd [M]", "KD (nM)", "IC50", "binding_affinity", "log_aff"],
+# Header names of each role in delivered files, first match wins.
+KNOWN_NAMES = {
+    "heavy": ["heavy", "HC", "Ab_heavy_chain_seq", "Ab/Nano H_Chain AA", "sequence"],
+    "light": ["light", "LC", "Ab_light_chain_seq", "Ab/Nano L_Chain AA"],
+    "antigen": ["antigen_seq", "Ag_seq", "Ag_Seq"],
+    "antigen_id": ["Antigen", "Target", "Ag_name", "Ag_Name", "name"],
+    "cdrh3": ["CDRH3", "HCDR3", "Ab/Nano_CDR H3"],
+    "label": ["fitness", "Pred_affinity", "KD [bind/no bind]", "Kd [M]"],
 }
+#: Further names of some roles, tried after the known ones.
+MORE_NAMES = {"heavy": ["heavy_chain", "H_seq"], "light": ["light_chain", "L_seq"], "antigen": ["target_seq"], "label": ["KD (nM)", "IC50", "binding_affinity", "log_aff"]}
+ALIASES = {role: names + MORE_NAMES.get(role, []) for role, names in KNOWN_NAMES.items()}
 HEADER_ROWS = 80
 CHUNK = 1 << 23
 #: Bytes of a file that one task reads, and of a record that stays open before its first line counts as broken.
@@ -164,16 +169,21 @@ def inventory_of(lines: DataFrame, files: DataFrame) -> DataFrame:
 
     role = lambda r: F.array_distinct(F.array_compact(F.array(*[named(a) for a in ALIASES[r]]))).alias(f"{r}_candidates")
     out = first.join(counts, "path").select("path", "h.format", "h.size_bytes", F.col("h.line_no").alias("header_row"), (F.col("last") - F.col("h.line_no")).cast("bigint").alias("row_count"), F.col("h.columns").alias("columns"))
-    return out.select("*", F.size("columns").alias("column_count"), *[role(r) for r in ROLES])
+    return out.select("*", F.size("columns").alias("column_count"), *[role(r) for r in ALIASES])
 
 
 def raw_records(lines: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(source_file, line_no, heavy, light, antigen, raw_label): valid lines with a residue heavy chain and a number for label."""
+    """(source_file, line_no, antigen_id, heavy, light, antigen, cdrh3, raw_label): valid lines with a residue heavy chain and a number for label.
+
+    A role takes the first of its candidates; one that a file lacks, or that the inventory has no column for, is blank.
+    """
     valid = classify_lines(lines, inventory, with_cells=True).where("reason is null")
-    roles = inventory.groupBy("path").agg(F.min(F.struct(*[F.element_at(F.when(F.size(f"{r}_candidates") > 0, F.col(f"{r}_candidates")), 1).alias(r) for r in ROLES])).alias("r")).select("path", "r.*")
-    rows = lookup_join(valid, roles, ["path"], "inner", row_size=300).withColumn("_m", F.map_from_arrays("names", "cells"))
-    pick = lambda r: F.when(F.col(r).isNotNull(), F.element_at("_m", F.col(r)))
-    out = rows.select(F.col("path").alias("source_file"), "line_no", *[normalize_sequence(pick(r)).alias(r) for r in ROLES[:3]], parse_number(pick("label")).alias("raw_label"))
+    roles = [r for r in ALIASES if f"{r}_candidates" in inventory.columns]
+    named = inventory.groupBy("path").agg(F.min(F.struct(*[F.get(f"{r}_candidates", 0).alias(r) for r in roles])).alias("r")).select("path", "r.*")
+    rows = lookup_join(valid, named, ["path"], "inner", row_size=400).withColumn("_m", F.map_from_arrays("names", "cells"))
+    pick = lambda r: F.when(F.col(r).isNotNull(), F.element_at("_m", F.col(r))) if r in roles else F.lit(None).cast("string")
+    chains = [normalize_sequence(pick(r)).alias(r) for r in ("heavy", "light", "antigen", "cdrh3")]
+    out = rows.select(F.col("path").alias("source_file"), "line_no", F.trim(F.coalesce(pick("antigen_id"), F.lit(""))).alias("antigen_id"), *chains, parse_number(pick("label")).alias("raw_label"))
     return out.where("heavy <> '' and raw_label is not null")
 
 
