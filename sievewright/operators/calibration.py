@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.session import drop_staged, stage
+from sievewright.session import drop_staged, lookup_join, stage
 
 #: Powers of ten between units of amount or mass per volume that an offset may snap to.
 CONVERSIONS = tuple(float(x) for x in range(-15, 16, 3))
@@ -35,15 +37,16 @@ def snapped(offsets: DataFrame, most: float = 0.5) -> DataFrame:
     return offsets.withColumn("_b", best).where(F.col("_b.gap") <= most).select("a", "b", F.col("_b.to").alias("offset"), "links")
 
 
-def propagate(offsets: DataFrame, known: DataFrame, rounds: int = 30) -> DataFrame:
+def propagate(offsets: DataFrame, known: DataFrame) -> DataFrame:
     """(source, shift, hops): what to add to each source's log values, from sources whose shift is known.
 
     known holds (source, shift). Each round reaches the neighbours of reached sources, by the link with most entities;
-    a shift once set stays, so conflicts further on do not move it. Sources that no link reaches are left out.
+    a shift once set stays, so conflicts further on do not move it. It ends when a round reaches no source, after as many
+    rounds as the longest shortest chain has links. Sources that no link reaches are left out.
     """
     both = stage(offsets.select("a", "b", "offset", "links").union(offsets.select(F.col("b"), F.col("a"), -F.col("offset"), "links")))
     done = stage(known.select("source", F.col("shift").cast("double").alias("shift"), F.lit(0).alias("hops")))
-    for n in range(1, rounds + 1):
+    for n in count(1):
         step = both.join(done.select(F.col("source").alias("a"), "shift"), "a").join(done.select(F.col("source").alias("b")), "b", "left_anti")
         new = step.groupBy("b").agg(F.max_by(F.col("shift") - F.col("offset"), F.struct("links", "a")).alias("shift"))
         grown = stage(done.union(new.select(F.col("b").alias("source"), "shift", F.lit(n))))
@@ -51,11 +54,10 @@ def propagate(offsets: DataFrame, known: DataFrame, rounds: int = 30) -> DataFra
         drop_staged(done)
         done = grown
         if not more:
-            break
-    return done
+            return done
 
 
 def calibrate(rows: DataFrame, entity: str, source: str, log_value: str, known: DataFrame, least: int = 5) -> DataFrame:
     """rows with `common`, their log value on the scale of the known sources; null where no chain of shared entities leads there."""
     shifts = propagate(snapped(pairwise_offsets(rows, entity, source, log_value, least)), known)
-    return rows.join(shifts.select(F.col("source").alias(source), "shift"), source, "left").withColumn("common", F.col(log_value) + F.col("shift")).drop("shift")
+    return lookup_join(rows, shifts.select(F.col("source").alias(source), "shift"), [source], "left", row_size=96).withColumn("common", F.col(log_value) + F.col("shift")).drop("shift")

@@ -19,6 +19,18 @@ def alignment_report(truth: DataFrame, prediction: DataFrame, id_col: str) -> Da
     return rows.agg(F.count_if(F.col("_t").isNotNull() & F.col("_p").isNotNull()).alias("matched"), F.count_if(F.col("_p").isNull()).alias("missing"), F.count_if(F.col("_t").isNull()).alias("extra"), F.count_if((F.col("_t") > 1) | (F.col("_p") > 1)).alias("repeated"))
 
 
+def strictly_joined(truth: DataFrame, prediction: DataFrame, id_col: str) -> DataFrame:
+    """truth with the prediction's columns, one row an id; ids that one side lacks or that repeat raise when they are read.
+
+    Columns that both have keep the truth's.
+    """
+    own = prediction.select(id_col, *[c for c in prediction.columns if c not in truth.columns])
+    rows = truth.withColumn("_t", F.lit(1)).join(own.withColumn("_p", F.lit(1)), id_col, "full_outer")
+    copies = truth.select(id_col).union(own.select(id_col)).groupBy(id_col).agg(F.count("*").alias("_n"))
+    fine = (F.coalesce("_t", F.lit(0)) + F.coalesce("_p", F.lit(0)) == 2) & (F.col("_n") == 2)
+    return rows.join(copies, id_col).where(F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("id not on both sides once: "), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).cast("boolean"))).drop("_t", "_p", "_n")
+
+
 def strict_align(tables: dict[str, DataFrame], id_col: str, score: str) -> DataFrame:
     """(id, one score column a table): all tables must hold the same unique ids, else it raises."""
     parts = [d.select(id_col, F.lit(m).alias("_m"), F.col(score).cast("double").alias("_v")) for m, d in tables.items()]

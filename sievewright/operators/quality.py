@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.functions.ranks import with_ranks
 from sievewright.functions.sequences import RESIDUES, sequence_state
 from sievewright.functions.values import finite
 from sievewright.operators.metrics import safe_correlation
@@ -36,23 +37,33 @@ def label_profile(df: DataFrame, by: list[str], text: str, number: Column, censo
 
 
 def label_agreement(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Correlation of two label columns by group, null under three pairs."""
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by).agg(F.count("*").alias("pairs"), safe_correlation(a, b).alias("pearson"))
+    """Rank correlation of two label columns by group, null under three pairs; rows that lack one of them are left out."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    for c, name in ((a, "_ra"), (b, "_rb")):
+        rows = with_ranks(rows, F.col(c), by, name, f"{name}_n")
+    return rows.groupBy(*by).agg(F.count("*").alias("pairs"), safe_correlation("_ra", "_rb").alias("spearman"))
 
 
-def validation_report(df: DataFrame, id_col: str, sequences: list[str], score: str, direction: str, split: str, key: Column) -> DataFrame:
-    """(check, violations): repeated ids, bad residues, scores off 0..1, directions off -1/0/1, blank splits, keys in several splits."""
+def validation_report(df: DataFrame, id_col: str, sequences: list[str], score: str, direction: str, split: list[str], keys: dict[str, Column]) -> DataFrame:
+    """(check, violations): repeated ids, bad residues, scores off 0..1, directions off -1/0/1, and of each split column its blanks and the keys in several splits.
+
+    Null keys and null splits tell nothing. Each key is aggregated by itself, so one that a third of all rows share is no burden.
+    """
     one = df.agg(
-        *[F.count_if((F.coalesce(F.col(c), F.lit("")) != "") & ~F.col(c).rlike(f"^[{RESIDUES}]+$")).alias(f"bad_{c}") for c in sequences],
+        *[F.count_if((F.coalesce(F.col(c), F.lit("")) != "") & ~F.col(c).rlike(rf"^[{RESIDUES}]+\z")).alias(f"bad_{c}") for c in sequences],
         F.count_if(F.col(score).isNotNull() & ~F.col(score).between(0.0, 1.0)).alias("score_range"),
         F.count_if(~F.col(direction).isin(-1, 0, 1)).alias("direction_domain"),
-        F.count_if(F.coalesce(F.trim(split), F.lit("")) == "").alias("blank_split"),
+        *[F.count_if(F.coalesce(F.trim(s), F.lit("")) == "").alias(f"blank_{s}") for s in split],
     )
     names = one.columns
-    long = one.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("check", "violations"))
-    twice = df.groupBy(id_col).count().where("count > 1").agg(F.count("*").alias("v")).select(F.lit("repeated_id"), "v")
-    shared = df.select(key.alias("k"), F.col(split).alias("s")).where("k is not null").groupBy("k").agg(F.count_distinct("s").alias("n")).where("n > 1").agg(F.count("*").alias("v")).select(F.lit("key_in_splits"), "v")
-    return long.union(twice).union(shared)
+    out = one.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("check", "violations"))
+    out = out.union(df.groupBy(id_col).count().where("count > 1").agg(F.count("*").alias("v")).select(F.lit("repeated_id"), "v"))
+    for s in split:
+        told = F.explode(F.array(*[F.struct(F.lit(f"{n}_in_{s}s").alias("check"), c.cast("string").alias("k")) for n, c in keys.items()]))
+        long = df.where(F.col(s).isNotNull()).select(told.alias("x"), F.col(s).alias("s")).where("x.k is not null").select("x.check", "x.k", "s")
+        bad = long.groupBy("check", "k").agg((F.min("s") < F.max("s")).cast("long").alias("v")).groupBy("check").agg(F.sum("v").alias("v"))
+        out = out.union(bad)
+    return out
 
 
 def key_stats(df: DataFrame, key: str, group: str, order: str) -> DataFrame:

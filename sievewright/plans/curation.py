@@ -437,3 +437,99 @@ def weight_schedules(spark: SparkSession, sf: str) -> DataFrame:
     """A second model's weight fixed, lowered or raised where rows are far from training."""
     rows = ref._ood(spark, sf).select("vec_id", "percentile", F.col("label").cast("double").alias("truth"), F.col("distance").alias("a"), (F.col("vec_id") % 13).cast("double").alias("b"))
     return ref._rounded(ensembles.scheduled_blends(rows, "vec_id", "truth", "a", "b", F.col("percentile"), {"fixed": 0.225, "less_when_far": 0.075, "more_when_far": 0.3}), ["schedule"]).select("schedule", "n", "spearman")
+
+
+# --- further fields and exports --------------------------------------------------------------------------------------
+
+_BEST_SQL = "SELECT record_id, max(value) AS value FROM score_row WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1"
+_FINITE = lambda c: f"CASE WHEN NOT isnan({c}) AND abs({c}) < 'infinity'::DOUBLE THEN {c} END"
+
+
+@query(f"SELECT r.raw_id, coalesce(s.value, {_FINITE('r.raw_label')} * CASE WHEN r.direction IN (-1, 1) THEN r.direction ELSE 1 END) AS label FROM raw_record r LEFT JOIN ({_BEST_SQL}) s USING (record_id)")
+def oriented_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The first label that a record has: a score, else its raw label in its direction."""
+    best = read(spark, sf, "score_row").where("value is not null and not isnan(value)").groupBy("record_id").agg(F.max("value").alias("value"))
+    rows = read(spark, sf, "raw_record").select("raw_id", "record_id", "raw_label", "direction").join(best, "record_id", "left")
+    return rows.select("raw_id", values.oriented_label([F.col("value")], F.col("raw_label"), F.col("direction")).alias("label"))
+
+
+@query("SELECT source_file, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(try_cast(valid_max AS DOUBLE), 0.5::DOUBLE))) AS bounded, lower(trim(coalesce(supervised_use, ''))) IN ('1', 'true', 'yes', 'y', 'censored') AS used FROM label_registry")
+def cleaned_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "label_registry").select("source_file", values.bounded(F.col("valid_max"), 0.5).alias("bounded"), values.truthy(F.col("supervised_use")).alias("used"))
+
+
+@query(f"SELECT family, count(*) AS size FROM (SELECT {_FAMILY_V2} AS family FROM ({ref._HEAVY}) WHERE h <> '') GROUP BY 1")
+def family_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ref._chains(spark, sf).where("h <> ''").select(sequences.family_key(F.col("h"), F.col("l")).alias("family"))
+    return rows.groupBy("family").agg(F.count("*").alias("size"))
+
+
+@query(f"""WITH x AS (SELECT r.source_file, {_FINITE('r.raw_label')} AS a, s.value AS b FROM raw_record r JOIN ({_BEST_SQL}) s USING (record_id)), y AS (SELECT *, rank() OVER (PARTITION BY source_file ORDER BY a) + (count(*) OVER (PARTITION BY source_file, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY source_file ORDER BY b) + (count(*) OVER (PARTITION BY source_file, b) - 1) / 2.0 AS rb FROM x WHERE a IS NOT NULL AND b IS NOT NULL)
+    SELECT source_file, count(*) AS pairs, round(CASE WHEN count(*) >= 3 AND stddev_pop(ra) * stddev_pop(rb) > 0 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END, 6) AS spearman FROM y GROUP BY 1""")
+def label_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How alike two labels order the records of each file."""
+    best = read(spark, sf, "score_row").where("value is not null and not isnan(value)").groupBy("record_id").agg(F.max("value").alias("b"))
+    rows = read(spark, sf, "raw_record").select("source_file", "record_id", values.finite(F.col("raw_label")).alias("a")).join(best, "record_id")
+    out = quality.label_agreement(rows, ["source_file"], "a", "b")
+    return out.select("source_file", "pairs", F.round("spearman", 6).alias("spearman"))
+
+
+@query("SELECT DISTINCT 'AB-' || substr(sha256(heavy || chr(31) || light), 1, 20) AS sequence_id, heavy, light FROM math_demo WHERE trim(coalesce(heavy, '')) <> '' AND trim(coalesce(light, '')) <> ''")
+def sequence_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two-chain antibody once under its id, as it is handed on."""
+    rows = read(spark, sf, "math_demo").where(registry.paired(F.col("heavy"), F.col("light")))
+    return rows.select(values.stable_id([F.col("heavy"), F.col("light")], 20, "AB-").alias("sequence_id"), "heavy", "light").distinct()
+
+
+@query("SELECT e.vec_id, round(e.embedding[1]::DOUBLE, 6) AS heavy_first, round(coalesce(o.embedding[1]::DOUBLE, 0.0::DOUBLE), 6) AS light_first FROM embeddings e LEFT JOIN embeddings o ON e.vec_id % 3 = 0 AND o.vec_id = e.vec_id + 1")
+def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Both chains' embeddings of a record; a missing light chain is the zero vector."""
+    e = read(spark, sf, "embeddings").withColumn("sequence", F.col("vec_id").cast("string"))
+    rows = e.select("vec_id", "sequence", F.when(F.col("vec_id") % 3 == 0, (F.col("vec_id") + 1).cast("string")).otherwise("").alias("other"))
+    both = vectors.chain_embeddings(rows, e.select("sequence", "embedding"), "sequence", "other", 64)
+    return both.select("vec_id", F.round(F.col("heavy_vector")[0], 6).alias("heavy_first"), F.round(F.col("light_vector")[0], 6).alias("light_first"))
+
+
+@query(f"SELECT event_id, round(truth, 9) AS truth, round(p, 9) AS prediction FROM (SELECT event_id, truth, a AS p FROM ({_EV}))")
+def strict_align_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Truth and prediction joined one to one; any id without its partner would raise."""
+    rows = ref._events(spark, sf)
+    joined = ensembles.strictly_joined(rows.select("event_id", "truth"), rows.select("event_id", F.col("a").alias("prediction")), "event_id")
+    return joined.select("event_id", r9("truth", "truth"), r9("prediction", "prediction"))
+
+
+_PARENTS_SQL = f"WITH h AS (SELECT raw_id, antigen_id, {_NORM('heavy')} AS h FROM raw_record WHERE antigen_id IS NOT NULL), p AS (SELECT antigen_id, length(h) AS n, min(h) AS parent FROM h WHERE h <> '' GROUP BY 1, 2), x AS (SELECT h.raw_id, h.h AS candidate, p.parent FROM h JOIN p ON p.antigen_id = h.antigen_id AND p.n = length(h.h) WHERE h.h <> '')"
+_AT = lambda s, i: f"substr({s}, {i}, 1)"
+_CODE_SQL = lambda c: f"strpos('{sequences.RESIDUES}', {c})"
+
+
+def _with_parents(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "raw_record").where("antigen_id is not null").select("raw_id", "antigen_id", sequences.normalize_sequence(F.col("heavy")).alias("candidate")).where("candidate <> ''").withColumn("n", F.length("candidate"))
+    return lookup_join(rows, rows.groupBy("antigen_id", "n").agg(F.min("candidate").alias("parent")), ["antigen_id", "n"], "inner", 200)
+
+
+@query(f"""{_PARENTS_SQL} SELECT raw_id, array_to_string(list_filter(list_transform(range(1, length(parent) + 1), lambda i: CASE WHEN {_AT('parent', 'i')} <> {_AT('candidate', 'i')} THEN {_AT('parent', 'i')} || i || {_AT('candidate', 'i')} END), lambda s: s IS NOT NULL), ';') AS mutations,
+    len(list_filter(range(1, length(parent) + 1), lambda i: {_AT('parent', 'i')} <> {_AT('candidate', 'i')}))::INTEGER AS mutation_count FROM x""")
+def parent_mutations(spark: SparkSession, sf: str) -> DataFrame:
+    """How every heavy chain differs from the first of its antigen and length."""
+    return _with_parents(spark, sf).select("raw_id", *sequences.mutation_notation(F.col("parent"), F.col("candidate")))
+
+
+@query(f"""{_PARENTS_SQL} SELECT raw_id, array_to_string(list_transform(range(1, 131), lambda i: {_CODE_SQL(_AT('candidate', 'i'))} * (i <= length(candidate))::INTEGER), ' ') AS tokens,
+    array_to_string(list_transform(range(1, 131), lambda i: CASE WHEN i > length(parent) OR {_AT('parent', 'i')} = {_AT('candidate', 'i')} THEN 0 ELSE 1 + 21 * {_CODE_SQL(_AT('parent', 'i'))} + {_CODE_SQL(_AT('candidate', 'i'))} END), ' ') AS deltas FROM x""")
+def parent_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Residue tokens of every heavy chain and its deltas from its parent's."""
+    own, parent = (sequences.sequence_tokens(F.col(c), 130) for c in ("candidate", "parent"))
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
+    return _with_parents(spark, sf).select("raw_id", text(own).alias("tokens"), text(sequences.delta_tokens(parent, own)).alias("deltas"))
+
+
+@query(f"""WITH e AS MATERIALIZED (SELECT p.truth, p.prediction AS b, 0.5::DOUBLE * p.prediction + 0.2::DOUBLE * (length(p.record_id) % 3) AS a, m.cluster FROM ({_PREDICTED_SQL}) p JOIN (SELECT DISTINCT record_id, coalesce(heavy, '') || chr(31) || coalesce(light, '') AS cluster FROM math_demo) m USING (record_id)), {ref._DRAWS_SQL.format(rounds=100)},
+    x AS (SELECT t.round, CAST(t.times AS DOUBLE) AS times, e.* FROM e JOIN t USING (cluster)), y AS (SELECT *, {', '.join(f"CAST({ref._weighted_rank(c)} AS DOUBLE) AS {n}" for c, n in (('truth', 'rt'), ('a', 'r_a'), ('b', 'r_b')))} FROM x), r AS (SELECT round, {ref._weighted_rho('a')}, {ref._weighted_rho('b')} FROM y GROUP BY round)
+    SELECT round(avg(rho_b - rho_a), 6) AS mean_delta, avg(CASE WHEN rho_b > rho_a THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_better FROM r""")
+def paired_bootstrap_by_antibody(spark: SparkSession, sf: str) -> DataFrame:
+    """Two predictions compared over a hundred resamples of whole antibodies."""
+    pair = read(spark, sf, "math_demo").select("record_id", sequences.pair_key(F.col("heavy"), F.col("light")).alias("pair")).distinct()
+    rows = _predicted(spark, sf).drop("cluster").join(pair, "record_id").select("truth", F.col("prediction").alias("b"), (F.lit(0.5) * F.col("prediction") + F.lit(0.2) * (F.length("record_id") % 3)).alias("a"), "pair")
+    out = metrics.paired_delta(metrics.bootstrap_correlations(rows, "truth", ["a", "b"], "pair", 100, ref._SEED), "rho_a", "rho_b")
+    return out.select(F.round("mean_delta", 6).alias("mean_delta"), "p_better")

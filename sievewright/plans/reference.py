@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import ranks, sequences, values
@@ -218,7 +218,7 @@ def ensemble_global_rank(spark: SparkSession, sf: str) -> DataFrame:
     return ensembles.global_rank_blend(_events(spark, sf), {"a": 0.65, "b": 0.35}).select("event_id", r9("score", "score"))
 
 
-_SHARES = [0.0, 0.25, 0.5, 0.75, 1.0]
+_SHARES = [round(0.025 * i, 3) for i in range(21)]
 _SWEEP_SQL = f"SELECT e.*, w.weight, (1.0::DOUBLE - w.weight) * e.a + w.weight * e.b AS blend FROM ({_EVENTS_SQL}) e, (SELECT unnest([{', '.join(map(str, _SHARES))}]::DOUBLE[]) AS weight) w"
 
 
@@ -283,9 +283,14 @@ def temperature_weights(spark: SparkSession, sf: str) -> DataFrame:
     return weights.temperature(rows, "source_file", F.coalesce(tier, F.lit(0.0)), 0.4, 200).select("value_id", r9("weight", "weight"))
 
 
-@query("SELECT source_file, least(1.0::DOUBLE, greatest(0.05::DOUBLE, coalesce(try_cast(trim(valid_min) AS DOUBLE), 1.0::DOUBLE))) AS weight FROM label_registry")
+_TIER_TEXT = "CASE tier WHEN 'Gold' THEN '1.0' WHEN 'Silver' THEN ' 0.65' WHEN 'Weak' THEN '0.01' ELSE '' END"
+
+
+@query(f"SELECT source_file, least(1.0::DOUBLE, greatest(0.05::DOUBLE, coalesce(try_cast(nullif(trim(q), '') AS DOUBLE), 1.0::DOUBLE))) AS weight FROM (SELECT source_file, {_TIER_TEXT} AS q FROM label_registry)")
 def quality_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "label_registry").select("source_file", values.quality_weight(F.col("valid_min")).alias("weight"))
+    """Weights from a quality given as text: clamped, 1 where it is blank."""
+    text = F.when(F.col("tier") == "Gold", "1.0").when(F.col("tier") == "Silver", " 0.65").when(F.col("tier") == "Weak", "0.01").otherwise("")
+    return read(spark, sf, "label_registry").select("source_file", values.quality_weight(text).alias("weight"))
 
 
 @query("""WITH g AS (SELECT coalesce(heavy, '') AS heavy, coalesce(light, '') AS light, avg(score) AS score, count(*) AS replicates FROM math_demo WHERE score IS NOT NULL GROUP BY 1, 2)
@@ -407,10 +412,14 @@ def label_validity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("value_id", values.label_is_valid(values.parse_number(F.col("value_text")), F.col("censor_policy"), F.col("valid_min"), F.col("valid_max"), F.col("metric")).alias("valid"))
 
 
-@query("SELECT split_name, round(100.0::DOUBLE * (3 - place) / 2, 9) AS points FROM (SELECT split_name, row_number() OVER (ORDER BY share DESC, split_name) AS place FROM split_share)")
+@query("""WITH m AS (SELECT source_file, avg(score) AS s, count(score)::DOUBLE / count(*) AS q FROM math_demo WHERE source_file IS NOT NULL GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY round(s, 9) DESC NULLS LAST, source_file) AS place, count(*) OVER () AS n FROM m)
+    SELECT source_file, place, round(100.0::DOUBLE * (n - place) / (n - 1), 9) AS points, round(0.7::DOUBLE * (100.0::DOUBLE * (n - place) / (n - 1)) + 0.2::DOUBLE * (100 * q) + 0.1::DOUBLE * 50, 6) AS final FROM r""")
 def place_points(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ranks.with_row_number(read(spark, sf, "split_share"), [-F.col("share"), F.col("split_name")], [], "place")
-    return rows.select("split_name", r9(F.lit(100.0) * (F.lit(3) - F.col("place")) / 2, "points"))
+    """Points by place and the weighted final score of every source."""
+    mean = read(spark, sf, "math_demo").where("source_file is not null").groupBy("source_file").agg(F.coalesce(F.round(F.avg("score"), 9), F.lit(-1.0)).alias("s"), (F.count("score") / F.count("*")).alias("q"))
+    rows = ranks.with_row_number(mean, [-F.col("s"), F.col("source_file")], [], "place")
+    points = F.lit(100.0) * (F.count("*").over(Window.partitionBy()) - F.col("place")) / (F.count("*").over(Window.partitionBy()) - 1)
+    return rows.withColumn("p", points).select("source_file", "place", r9("p", "points"), F.round(values.final_score(F.col("p"), F.lit(100) * F.col("q"), F.lit(50)), 6).alias("final"))
 
 
 # --- splits and leakage ---------------------------------------------------------------------------------------------
@@ -664,11 +673,25 @@ def key_occurrence_stats(spark: SparkSession, sf: str) -> DataFrame:
     return quality.key_stats(rows, "record_id", "task_name", "o")
 
 
-@query(f"""SELECT 'bad_heavy' AS "check", count(*) FILTER (coalesce(heavy, '') <> '' AND NOT regexp_full_match(heavy, '[{RES}]+')) AS violations FROM math_demo UNION ALL SELECT 'bad_light', count(*) FILTER (coalesce(light, '') <> '' AND NOT regexp_full_match(light, '[{RES}]+')) FROM math_demo
-    UNION ALL SELECT 'score_range', count(*) FILTER (score IS NOT NULL AND NOT score BETWEEN 0 AND 1) FROM math_demo UNION ALL SELECT 'direction_domain', 0 UNION ALL SELECT 'blank_split', count(*) FILTER (coalesce(trim(split), '') = '') FROM math_demo
-    UNION ALL SELECT 'repeated_id', count(*) FROM (SELECT record_id FROM math_demo GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'key_in_splits', count(*) FROM (SELECT heavy FROM math_demo WHERE heavy IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1)""")
+_KEYS_IN = {"antibody": "heavy || chr(31) || coalesce(light, '')", "antigen": "antigen_seq", "group": "source_group"}
+
+
+def _validation_sql() -> str:
+    bad = lambda c: f"SELECT 'bad_{c}', count(*) FILTER (coalesce({c}, '') <> '' AND NOT regexp_full_match({c}, '[{RES}]+')) FROM x"
+    shared = lambda n, k, s: f"SELECT '{n}_in_{s}s', count(*) FILTER (c > 1) FROM (SELECT {k} AS k, count(DISTINCT {s}) AS c FROM x WHERE {s} IS NOT NULL AND ({k}) IS NOT NULL GROUP BY 1)"
+    parts = [bad("heavy"), bad("light"), "SELECT 'score_range', count(*) FILTER (score IS NOT NULL AND NOT score BETWEEN 0 AND 1) FROM x", "SELECT 'direction_domain', count(*) FILTER (direction NOT IN (-1, 0, 1)) FROM x"]
+    parts += [f"SELECT 'blank_{s}', count(*) FILTER (coalesce(trim({s}), '') = '') FROM x" for s in ("split", "tier_split")]
+    parts += ["SELECT 'repeated_id', count(*) FROM (SELECT record_id FROM x GROUP BY 1 HAVING count(*) > 1)"] + [shared(n, k, s) for s in ("split", "tier_split") for n, k in _KEYS_IN.items()]
+    return "WITH x AS (SELECT m.*, CASE WHEN r.tier = 'Weak' THEN 2 ELSE r.direction END AS direction, CASE WHEN r.tier = 'Gold' THEN 'train' WHEN r.tier = 'Auxiliary' THEN '' ELSE 'test' END AS tier_split FROM math_demo m LEFT JOIN label_registry r USING (source_file)) SELECT * FROM (" + " UNION ALL ".join(parts) + ') t("check", violations)'
+
+
+@query(_validation_sql())
 def dataset_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.validation_report(read(spark, sf, "math_demo").withColumn("direction", F.lit(1)), "record_id", ["heavy", "light"], "score", "direction", "split", F.col("heavy"))
+    """What is wrong with a table under two split columns, a direction off its domain among it."""
+    tier = read(spark, sf, "label_registry").select("source_file", F.when(F.col("tier") == "Weak", 2).otherwise(F.col("direction")).alias("direction"), F.when(F.col("tier") == "Gold", "train").when(F.col("tier") == "Auxiliary", "").otherwise("test").alias("tier_split"))
+    rows = lookup_join(read(spark, sf, "math_demo"), tier, ["source_file"], "left").fillna("test", ["tier_split"])
+    keys = {"antibody": F.concat("heavy", F.lit("\u001f"), F.coalesce("light", F.lit(""))), "antigen": F.col("antigen_seq"), "group": F.col("source_group")}
+    return quality.validation_report(rows, "record_id", ["heavy", "light"], "score", "direction", ["split", "tier_split"], keys)
 
 
 # --- vectors --------------------------------------------------------------------------------------------------------
