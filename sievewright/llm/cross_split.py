@@ -25,7 +25,7 @@ _BUCKETS = 21
 
 def letters(text: Column) -> Column:
     """Upper-cased letters of a text; null gives ''."""
-    return F.when(text.rlike("^[A-Z]+$"), text).otherwise(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", "")))
+    return F.when(text.rlike(r"^[A-Z]+\z"), text).otherwise(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", "")))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -89,10 +89,10 @@ def test_report_counts_the_pairs(spark):
 def test_edges(spark):
     long = "ACDEFGHIKLMNPQRSTVWY" * 500
     rows = [
-        ("a", "AC-d e", None, "train"), ("b", "acde", "", "TEST "), ("c", "", "ACDE", "train"), ("d", None, "ACDE", "test"), ("e", "ACDE", "", None), ("f", "ACDE", "", " "), (None, "ACDE", "", "test"),
+        ("a\n", "ACDE\n", None, "train"), ("a", "AC-d e", None, "train"), ("b", "acde", "", "TEST "), ("c", "", "ACDE", "train"), ("d", None, "ACDE", "test"), ("e", "ACDE", "", None), ("f", "ACDE", "", " "), (None, "ACDE", "", "test"),
         ("g", long, "AC", "train"), ("h", long[:-2] + "A", "AC", "test"), ("i", long[3:], "", "validation"), ("j", "ACDE", "AAAA", "test"), ("k", "ACDE", "AAA", "test"),
     ]
-    assert set(found(spark, rows)) == {("a", "b"), ("a", "k"), ("g", "h")} == brute(rows)
+    assert set(found(spark, rows)) == {("a", "b"), ("a", "k"), ("a\n", "b"), ("a\n", "k"), ("g", "h")} == brute(rows)
     assert found(spark, []) == []
 
 
