@@ -128,12 +128,13 @@ def file_layout(inventory: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.min(F.struct(*[c for c in rows.columns if c != "path"])).alias("x")).select("path", "x.*")
 
 
-def classify_lines(lines: DataFrame, inventory: DataFrame, with_cells: bool = False, with_roles: bool = False) -> DataFrame:
+def classify_lines(lines: DataFrame, inventory: DataFrame, with_cells: bool = False, with_roles: bool = False, uneven_cells: bool = False) -> DataFrame:
     """(line_id, path, line_no[, names][, roles], reason[, cells]) of every line after its file's header line.
 
     reason is null for a valid row, else the first that holds of 'quoting' (not RFC 4180), 'width' (cells differ from
     column_count; an empty or null line has too few) and 'value' (heavy blank, a chain or antigen with anything but the
-    20 residues, a label without a finite number). cells are the unquoted cells of valid rows, the roles the places of their columns. Lines of paths that the
+    20 residues, a label without a finite number). cells are the unquoted cells of valid rows
+    (with `uneven_cells` of all well-formed ones), the roles the places of their columns. Lines of paths that the
     inventory does not list, or without a path or number, are left out; repeated lines stay. An empty table gives no rows.
 
     The layout of the files is broadcast while small, else joined by path with hot paths salted; the lines themselves go
@@ -153,8 +154,9 @@ def classify_lines(lines: DataFrame, inventory: DataFrame, with_cells: bool = Fa
             why = reasons(index, ints("width"), {r: ints(r) for r in ROLES})
             columns = [batch.column(c) for c in kept] + [pa.array([x or None for x in why], pa.string())]
             if with_cells:
-                good = np.flatnonzero(why == "")
-                counts = np.where(why == "", index.width, 0)
+                read = (~index.faulty & (index.ends > index.starts)) if uneven_cells else why == ""
+                good = np.flatnonzero(read)
+                counts = np.where(read, index.width, 0)
                 which = np.repeat(good, counts[good])
                 nth = np.arange(len(which)) - np.repeat(np.cumsum(counts[good]) - counts[good], counts[good])
                 flat = _cells(index, which, nth)

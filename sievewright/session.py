@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 #: Largest estimated size in bytes of a table that may be broadcast; anything above is shuffled.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+#: Fewest rows of a key that a shuffled lookup salts.
+HOT_ROWS = 10_000
+
 _STAGED: dict[str, tuple[SparkSession, str]] = {}
 
 
@@ -119,7 +122,7 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "lef
         return facts.join(F.broadcast(dim), on, how)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = facts.count()
-    hot = facts.groupBy(*on).count().where(F.col("count") > max(10_000, total // (4 * parts))).select(*on, F.lit(parts).alias("_n"))  # at most 4 * parts keys
+    hot = facts.groupBy(*on).count().where(F.col("count") > max(HOT_ROWS, total // (4 * parts))).select(*on, F.lit(parts).alias("_n"))  # at most 4 * parts keys
     plain = [f.name for f in facts.schema if "map<" not in f.dataType.simpleString()]
     void = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     copies = F.when(void, parts).otherwise(F.coalesce("_n", F.lit(1)))

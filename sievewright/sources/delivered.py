@@ -172,15 +172,18 @@ def inventory_of(lines: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("*", F.size("columns").alias("column_count"), *[role(r) for r in ALIASES])
 
 
-def raw_records(lines: DataFrame, inventory: DataFrame) -> DataFrame:
+def raw_records(lines: DataFrame, inventory: DataFrame, lenient: bool = False) -> DataFrame:
     """(source_file, line_no, antigen_id, heavy, light, antigen, cdrh3, raw_label): valid lines with a residue heavy chain and a number for label.
 
-    A role takes the first of its candidates; one that a file lacks, or that the inventory has no column for, is blank.
+    A role takes the first of its candidates; one that a file lacks, or that the inventory has no column for, is blank. A
+    `lenient` reader also takes well-formed lines that fail: missing cells are blank, cells beyond the header are dropped, chains
+    keep their letters if all of them are residues.
     """
-    valid = classify_lines(lines, inventory, with_cells=True).where("reason is null")
+    read = classify_lines(lines, inventory, with_cells=True, uneven_cells=lenient)
+    valid = read.where("reason is null or reason <> 'quoting'" if lenient else "reason is null")
     roles = [r for r in ALIASES if f"{r}_candidates" in inventory.columns]
     named = inventory.groupBy("path").agg(F.min(F.struct(*[F.get(f"{r}_candidates", 0).alias(r) for r in roles])).alias("r")).select("path", "r.*")
-    rows = lookup_join(valid, named, ["path"], "inner", row_size=400).withColumn("_m", F.map_from_arrays("names", "cells"))
+    rows = lookup_join(valid, named, ["path"], "inner", row_size=400).withColumn("_m", F.map_from_arrays("names", F.transform("names", lambda _, i: F.coalesce(F.get("cells", i), F.lit("")))))
     pick = lambda r: F.when(F.col(r).isNotNull(), F.element_at("_m", F.col(r))) if r in roles else F.lit(None).cast("string")
     chains = [normalize_sequence(pick(r)).alias(r) for r in ("heavy", "light", "antigen", "cdrh3")]
     out = rows.select(F.col("path").alias("source_file"), "line_no", F.trim(F.coalesce(pick("antigen_id"), F.lit(""))).alias("antigen_id"), *chains, parse_number(pick("label")).alias("raw_label"))

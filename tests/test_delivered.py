@@ -41,3 +41,13 @@ def test_ranges_give_what_one_reader_gives(spark, tmp_path, size):
     (tmp_path / "a.csv").write_text(text)
     (tmp_path / "b.csv").write_text(HEADER + "\n1,ACD,2")
     assert lines_of(spark, tmp_path, range_bytes=size) == lines_of(spark, tmp_path)
+
+
+def test_a_lenient_reader_fills_and_drops_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("heavy,fitness,LC,CDRH3,Target\nACD,1,ACE,CC,t1\nACD,2\nACE,3,ACD,C,t2,more\nAC1,4,,,\nACD,5,A1,,\n,6,,,\n")
+    files = delivered.delivered_files(spark, f"file://{tmp_path}")
+    lines = delivered.delivered_lines(files)
+    inv = delivered.inventory_of(lines, files)
+    rows = lambda **k: {r["raw_label"]: (r["heavy"], r["light"], r["cdrh3"], r["antigen_id"]) for r in delivered.raw_records(lines, inv, **k).collect()}
+    assert rows() == {1.0: ("ACD", "ACE", "CC", "t1")}
+    assert rows(lenient=True) == {1.0: ("ACD", "ACE", "CC", "t1"), 2.0: ("ACD", "", "", ""), 3.0: ("ACE", "ACD", "C", "t2"), 4.0: ("AC", "", "", ""), 5.0: ("ACD", "A", "", "")}
