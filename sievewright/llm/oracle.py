@@ -16,7 +16,7 @@ _P4 = f"""WITH RECURSIVE r AS (SELECT DISTINCT record_id, nullif(lower(trim(spli
     b AS (SELECT u, v FROM e UNION SELECT v, u FROM e UNION SELECT record_id, record_id FROM r),
     c(node, root) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION SELECT b.v, min(c.root) FROM c JOIN b ON b.u = c.node JOIN recurring.c AS x ON x.node = b.v WHERE c.root < x.root GROUP BY b.v)"""
 
-_RUNS = lambda table, key, text: f"SELECT {key}, w[i : i + 11] AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower(regexp_replace({text}, '[^A-Za-z0-9]', ' ', 'g')), '[a-z0-9]+') AS w FROM {table} WHERE {text} IS NOT NULL AND {key} IS NOT NULL) WHERE len(w) >= 12)"
+_RUNS = lambda table, key, text: f"SELECT {key}, i, w[i : i + 11] AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower(regexp_replace({text}, '[^A-Za-z0-9]', ' ', 'g')), '[a-z0-9]+') AS w FROM {table} WHERE {text} IS NOT NULL AND {key} IS NOT NULL) WHERE len(w) >= 12)"
 
 SQL = {
     "p1_found": f"{_P1_PAIRS} SELECT DISTINCT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM p",
@@ -30,5 +30,8 @@ SQL = {
              placed AS (SELECT r.antigen_id, r.record_id, row_number() OVER (PARTITION BY r.antigen_id ORDER BY b.v DESC, e.t ASC NULLS LAST, r.record_id) AS place
                         FROM raw_record r JOIN best b USING (record_id) LEFT JOIN earlier e USING (record_id) WHERE regexp_matches(r.antigen_id, '\\S'))
         SELECT antigen_id, record_id, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 10""",
+    "p8_spans": f"""WITH m AS (SELECT DISTINCT i.item_id, d.doc_id, d.i AS place, d.i - i.i AS line FROM ({_RUNS('documents', 'doc_id', 'text')}) d JOIN ({_RUNS('heldout_item', 'item_id', 'item_text')}) i USING (run)),
+        g AS (SELECT *, place - row_number() OVER (PARTITION BY item_id, doc_id, line ORDER BY place) AS island FROM m), r AS (SELECT item_id, doc_id, count(*) + 11 AS longest, max(place) + 10 AS last_word FROM g GROUP BY item_id, doc_id, line, island)
+        SELECT item_id, doc_id, max(longest)::INTEGER AS longest, arg_min(last_word, {{'a': -longest, 'b': last_word}})::INTEGER AS last_word FROM r GROUP BY 1, 2""",
     "p8_found": f"SELECT DISTINCT i.item_id, d.doc_id FROM ({_RUNS('documents', 'doc_id', 'text')}) d JOIN ({_RUNS('heldout_item', 'item_id', 'item_text')}) i USING (run)",
 }
