@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievewright.functions.sequences import RESIDUES, filled, interaction_tokens, mutation_notation, numeric_features, sequence_text
 from sievewright.operators.graph import connected_components
+from sievewright.session import drop_staged, stage
 
 
 def ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
@@ -59,28 +64,42 @@ def predict(model, rows: DataFrame, name: str = "prediction") -> DataFrame:
     return model.transform(rows).withColumn(name, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))))
 
 
-def _entries(v) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(v, SparseVector):
-        return v.indices, v.values
-    at = np.flatnonzero(v.array)
-    return at, v.array[at]
-
-
-@F.udf(VectorUDT())
-def _difference(a, b, sign):
-    """sign * (a - b), sparse."""
-    (i, x), (j, y) = _entries(a), _entries(b)
-    at, where = np.unique(np.concatenate([i, j]), return_inverse=True)
-    return SparseVector(len(a), at, sign * np.bincount(where, np.concatenate([x, -y]), len(at)))
+def _entries(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of all entries of a column of vectors, dense ones without their zeros."""
+    kind, places, values = vectors.field("type").to_numpy(zero_copy_only=False), vectors.field("indices"), vectors.field("values")
+    size = np.asarray(pc.fill_null(pc.list_value_length(values), 0))
+    row, value = np.repeat(np.arange(len(size)), size), values.flatten().to_numpy(zero_copy_only=False)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)  # of a dense vector
+    sparse = (kind == 0)[row]
+    place[sparse] = places.flatten().to_numpy(zero_copy_only=False)
+    kept = sparse | (value != 0)
+    return row[kept], place[kept].astype(np.int64), value[kept]
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse left minus right vectors of whole batches, each in both directions, with weight and label."""
+    for batch in batches:
+        n = len(batch)
+        left, right = batch.column("_left"), batch.column("_right")
+        size = pc.max(pc.fill_null(left.field("size"), pc.list_value_length(left.field("values")))).as_py() or 0
+        (i, p, x), (j, q, y) = _entries(left), _entries(right)
+        key, where = np.unique(np.concatenate([i * size + p, j * size + q]), return_inverse=True)
+        value = np.bincount(where, np.concatenate([x, -y]), len(key))
+        offsets = np.searchsorted(key, np.arange(n + 1) * size).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array((key % max(size, 1)).astype(np.int32)))
+        better = batch.column("preference").to_numpy() == 1
+        for sign in (1.0, -1.0):
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sign * value))
+            made = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), places, values], names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([made, batch.column("pair_weight"), pa.array((better == (sign > 0)).astype(float))], names=["features", "pair_weight", "label"])
 
 
 def fit_pairwise(pairs: DataFrame, features: DataFrame, id_col: str, strength: float = 0.01):
     """Logistic regression without intercept on sparse feature differences, each pair in both directions."""
     side = lambda s: features.select(F.col(id_col).alias(f"{s}_record_id"), F.col("features").alias(f"_{s}"))
     met = pairs.join(side("left"), "left_record_id").join(side("right"), "right_record_id")
-    both = met.withColumn("_sign", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
-    label = ((F.col("preference") == 1) == (F.col("_sign") > 0)).cast("double")
-    rows = both.select(_difference("_left", "_right", "_sign").alias("features"), "pair_weight", label.alias("label"))
+    schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("pair_weight", T.DoubleType()), T.StructField("label", T.DoubleType())])
+    rows = stage(met.select("_left", "_right", "pair_weight", F.col("preference").cast("int").alias("preference")).mapInArrow(_differences, schema))
     return LogisticRegression(fitIntercept=False, regParam=strength, elasticNetParam=0.05, weightCol="pair_weight", maxIter=20).fit(rows)
 
 
@@ -107,8 +126,6 @@ def _settled(rows: pd.DataFrame, rounds: int | None, tolerance: float) -> pd.Dat
 
 def _settled_apart(both: DataFrame, rounds: int | None, tolerance: float) -> DataFrame:
     """The same with items and pairs distributed: one round is two joins and two aggregations over the pair table."""
-    from sievewright.session import drop_staged, stage
-
     wins = both.groupBy("a").agg(F.sum("w").alias("won"))
     met = stage(both.select("a", "b", "w").union(both.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("n")))
     now = stage(met.select("a").distinct().join(wins, "a", "left").select(F.col("a").alias("item"), F.coalesce("won", F.lit(0.0)).alias("won"), F.lit(1.0).alias("p")))
@@ -132,8 +149,6 @@ def bradley_terry(pairs: DataFrame, rounds: int | None = None, tolerance: float
     by `tolerance`, or after `rounds` if they are given. Components do not touch each other: those of up to `task_pairs`
     pairs are dealt to tasks whole, larger ones iterate over distributed tables.
     """
-    from sievewright.session import stage
-
     both = stage(pairs.groupBy(F.col("left_record_id").alias("a"), F.col("right_record_id").alias("b")).agg(F.sum("pair_weight").alias("w")))
     roots = stage(connected_components(both, "a", "b").select(F.col("node").alias("a"), "root"))
     rooted = stage(both.join(roots, "a"))

@@ -74,3 +74,16 @@ def test_learners_rank_held_out_rows(spark):
     for fitted in (rankers.fit_factors(df.where("split = 'train'"), "score"), models.fit_linear(df.where("split = 'train'"), "score", strength=0.05, huber=True)):
         out = fitted.transform(df.where("split = 'validation'"))
         assert metrics.regression_metrics(out, "score", "prediction", "id", []).first()["spearman"] > 0.5
+
+
+def test_differences_of_sparse_and_dense_vectors(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
+
+    rows = [(Vectors.sparse(6, [1, 3], [1.0, 2.0]), Vectors.sparse(6, [3, 5], [2.0, 4.0]), 0.5, 1), (Vectors.dense([1.0, 0, 0, 0, 0, 3.0]), Vectors.sparse(6, [], []), 1.0, -1), (Vectors.sparse(6, [], []), Vectors.sparse(6, [], []), 1.0, 1)]
+    fields = [T.StructField("_left", VectorUDT()), T.StructField("_right", VectorUDT()), T.StructField("pair_weight", T.DoubleType()), T.StructField("preference", T.IntegerType())]
+    df = spark.createDataFrame(rows, T.StructType(fields))
+    schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("pair_weight", T.DoubleType()), T.StructField("label", T.DoubleType())])
+    got = [(r["features"].toArray().tolist(), r["pair_weight"], r["label"]) for r in df.repartition(1).mapInArrow(models._differences, schema).collect()]
+    want = [([0, 1, 0, 0, 0, -4.0], 0.5, 1.0), ([1, 0, 0, 0, 0, 3.0], 1.0, 0.0), ([0] * 6, 1.0, 1.0), ([0, -1, 0, 0, 0, 4.0], 0.5, 0.0), ([-1, 0, 0, 0, 0, -3.0], 1.0, 1.0), ([0] * 6, 1.0, 0.0)]
+    assert sorted(got) == sorted(want)
