@@ -293,12 +293,13 @@ def curation_counters(spark: SparkSession, sf: str) -> DataFrame:
     return quality.curation_counters(rows, "source_file", rules, ["curated", "ambiguous_light"], F.concat_ws("\u001f", "h.sequence", "l.sequence"), "source_group", "raw_id")
 
 
-@query(ref._PAIRS_SQL + " SELECT comparison_group, reason, count(*) AS pairs, round(min(pair_weight), 9) AS weight_min, round(avg(pair_weight), 9) AS weight_mean, round(max(pair_weight), 9) AS weight_max FROM pairs GROUP BY 1, 2")
+@query(ref._PAIRS_SQL + " SELECT comparison_group, reason, count(*) AS pairs, round(min(pair_weight), 9) AS weight_min, round(avg(pair_weight) + 1e-12, 9) AS weight_mean, round(max(pair_weight), 9) AS weight_max FROM pairs GROUP BY 1, 2")
 def pair_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Preference pairs and their weights by comparison group and reason."""
     made = ref.pairs.preference_pairs(ref._comparable(spark, sf), seed=ref._PAIR_SEED)
     out = ref.pairs.pair_summary(made, ["comparison_group", "reason"])
-    return out.select("comparison_group", "reason", "pairs", *[r9(c, c) for c in ("weight_min", "weight_mean", "weight_max")])
+    mean = F.col("weight_mean") + F.lit(1e-12)  # both engines then round a tie the same way
+    return out.select("comparison_group", "reason", "pairs", r9("weight_min", "weight_min"), r9(mean, "weight_mean"), r9("weight_max", "weight_max"))
 
 
 @query("SELECT k AS \"check\", 0::BIGINT AS violations FROM (SELECT unnest(['unknown_id', 'bad_preference', 'bad_weight', 'cross_group', 'cross_split', 'wrong_direction', 'both_censored', 'duplicate_pair']) AS k)")
@@ -321,7 +322,7 @@ def weighted_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
-_PREDICTED_SQL = """SELECT DISTINCT record_id, source_file, antigen_id, coalesce(nullif(trim(source_group), ''), source_file) AS cluster, lower(trim(split)) AS split, coalesce(nullif(trim(light), ''), '') AS light, score AS truth, 0.6::DOUBLE * score + (length(coalesce(heavy, '')) % 7)::DOUBLE * 0.0371::DOUBLE AS prediction FROM math_demo WHERE score IS NOT NULL AND record_id IS NOT NULL"""
+_PREDICTED_SQL = """SELECT DISTINCT record_id, source_file, antigen_id, coalesce(nullif(trim(source_group), ''), source_file) AS cluster, lower(trim(split)) AS split, coalesce(nullif(trim(light), ''), '') AS light, score AS truth, 0.6123457::DOUBLE * score + (length(coalesce(heavy, '')) % 7)::DOUBLE * 0.0371893::DOUBLE AS prediction FROM math_demo WHERE score IS NOT NULL AND record_id IS NOT NULL"""
 _REGIMES_SQL = f"""p AS ({_PREDICTED_SQL}), q AS (SELECT p.*, CASE WHEN split IN ('validation', 'test') THEN CASE WHEN antigen_id NOT IN (SELECT antigen_id FROM p WHERE split = 'train' AND antigen_id IS NOT NULL) THEN 'antigen-cold' WHEN source_file NOT IN (SELECT source_file FROM p WHERE split = 'train' AND source_file IS NOT NULL) THEN 'source-held-out' ELSE 'in-distribution' END END AS regime FROM p)"""
 _VIEWS = {"all": "''", "source": "coalesce(source_file, '')", "target": "coalesce(antigen_id, '')", "split": "split", "regime": "regime", "antibody": "CASE WHEN light = '' THEN 'VHH' ELSE 'Fv' END", "censoring": "CASE WHEN truth < 0.05 THEN 'censored' ELSE 'uncensored' END"}
 _VIEWS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS view, {e} AS part, record_id, truth, prediction FROM q" for n, e in _VIEWS.items())
@@ -330,7 +331,7 @@ _VIEWS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS view, {e} AS part, record_id,
 def _predicted(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     rows = read(spark, sf, "math_demo").where("score is not null and record_id is not null")
-    prediction = F.lit(0.6) * F.col("score") + (F.length(F.coalesce("heavy", F.lit(""))) % 7).cast("double") * F.lit(0.0371)
+    prediction = F.lit(0.6123457) * F.col("score") + (F.length(F.coalesce("heavy", F.lit(""))) % 7).cast("double") * F.lit(0.0371893)
     return rows.select("record_id", "source_file", "antigen_id", F.coalesce(text("source_group"), "source_file").alias("cluster"), F.lower(F.trim("split")).alias("split"), F.coalesce(text("light"), F.lit("")).alias("light"), F.col("score").alias("truth"), prediction.alias("prediction"), (F.col("score") < 0.05).alias("censored")).distinct()
 
 
