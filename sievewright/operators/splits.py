@@ -88,7 +88,7 @@ def greedy_balance(df: DataFrame, key: str, shares: dict[str, float], first: str
     The largest goes to `first`. Groups of one size are dealt by their place among them: the driver goes over the distinct
     sizes, whose number grows with the square root of the rows at most, and tasks deal DEALT places each from the loads before them.
     """
-    sizes = stage(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("size")))
+    sizes = stage(df.groupBy(key).agg(F.count("*").alias("size"))).where(F.col(key).isNotNull())  # before it the key would be computed twice
     names = sorted(shares)
     classes = sizes.groupBy("size").count().orderBy(F.desc("size")).collect()
     total = sum(r["size"] * r["count"] for r in classes)
