@@ -210,7 +210,7 @@ def _held_in_tasks(postings: DataFrame, hot: DataFrame, probe: DataFrame, k: int
             for row, key, at, size in probe_keys(block, own["base"], k):
                 a, b = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
                 hits = np.flatnonzero(b > a)
-                for part in np.array_split(hits, max(1, int((b - a)[hits].sum()) // CHUNK)) if len(hits) else []:
+                for part in np.split(hits, np.flatnonzero(np.diff(np.cumsum((b - a)[hits]) // CHUNK)) + 1) if len(hits) else []:
                     n = (b - a)[part]
                     at_i = np.repeat(a[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     mine = np.repeat(row[part], n)
