@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 HYDROPHOBIC, POSITIVE, NEGATIVE = "AVILMFWY", "KRH", "DE"
 UNIT_SEPARATOR = "\u001f"
+# Motifs of liabilities, what each adds to the penalty, and what is free of it.
+MOTIFS = {"glycosylation": "N[^P][ST]", "deamidation": "N[GSHT]", "isomerization": "D[GST]"}
+PENALTY = {"glycosylation": 0.08, "cysteine": 0.04, "hydrophobic": 0.3, "deamidation": 0.01, "isomerization": 0.01}
+FREE_CYSTEINES, FREE_HYDROPHOBIC = 4, 0.45
 
 
 def let(value: Column, body) -> Column:
@@ -55,10 +61,10 @@ def liabilities(seq: Column) -> list[Column]:
     """Motif counts that do not overlap, residue counts and the penalty they add up to."""
     seq = filled(seq)
     n = F.greatest(F.length(seq), F.lit(1))
-    motif = lambda rx: F.regexp_count(seq, F.lit(rx))
-    glyco, deamid, isomer = motif("N[^P][ST]"), motif("N[GSHT]"), motif("D[GST]")
+    glyco, deamid, isomer = (F.regexp_count(seq, F.lit(rx)) for rx in MOTIFS.values())
     hydro, cysteine = count_of(seq, HYDROPHOBIC) / n, count_of(seq, "C")
-    penalty = F.lit(0.08) * glyco + F.lit(0.04) * F.greatest(cysteine - 4, F.lit(0)) + F.lit(0.3) * F.greatest(hydro - F.lit(0.45), F.lit(0.0)) + F.lit(0.01) * deamid + F.lit(0.01) * isomer
+    over = {"glycosylation": glyco, "cysteine": F.greatest(cysteine - FREE_CYSTEINES, F.lit(0)), "hydrophobic": F.greatest(hydro - F.lit(FREE_HYDROPHOBIC), F.lit(0.0)), "deamidation": deamid, "isomerization": isomer}
+    penalty = reduce(lambda a, b: a + b, [F.lit(PENALTY[k]) * x for k, x in over.items()])
     return [
         glyco.alias("glycosylation_motifs"), hydro.alias("hydrophobic_fraction"), ((count_of(seq, POSITIVE) - count_of(seq, NEGATIVE)) / n).alias("charge_density"), cysteine.alias("cysteine_count"),
         deamid.alias("deamidation_motifs"), isomer.alias("isomerization_motifs"), count_of(seq, "MW").alias("oxidation_residues"), penalty.alias("liability_penalty"),

@@ -11,7 +11,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.sequences import HYDROPHOBIC, RESIDUES, mutation_notation
+from sievewright.functions.sequences import FREE_CYSTEINES, FREE_HYDROPHOBIC, HYDROPHOBIC, PENALTY, RESIDUES, mutation_notation
 from sievewright.operators import models
 
 _CODES = np.frombuffer(RESIDUES.encode(), np.uint8)
@@ -64,7 +64,8 @@ def chain_penalties(chains: np.ndarray, start: int, loops: np.ndarray) -> np.nda
     made = np.repeat(part[None], len(loops), 0)
     made[:, start - low : start - low + loops.shape[1]] = loops
     glyco, deamid, isomer, cysteine, water = (whole + new - old for whole, new, old in zip(_motifs(chains[None]), _motifs(made), _motifs(part[None])))
-    return 0.08 * glyco + 0.04 * np.maximum(cysteine - 4, 0) + 0.3 * np.maximum(water / len(chains) - 0.45, 0.0) + 0.01 * deamid + 0.01 * isomer
+    over = {"glycosylation": glyco, "cysteine": np.maximum(cysteine - FREE_CYSTEINES, 0), "hydrophobic": np.maximum(water / len(chains) - FREE_HYDROPHOBIC, 0.0), "deamidation": deamid, "isomerization": isomer}
+    return sum(PENALTY[k] * x for k, x in over.items())
 
 
 def ranked_candidates(targets: DataFrame, model, size: int, count: int = 1000, max_mutations: int = 3, best: int = 10, seed: int = 20260722) -> DataFrame:
