@@ -113,3 +113,37 @@ def test_trained_neighbours(spark):
     got = {r["query"]: r["neighbour"] for r in vectors.nearest_trained(rows, "id", "v", "c", "split").collect()}
     assert got == {1: 2, 2: 1, 3: 2, 4: 2}
     assert vectors.nearest_trained(rows.limit(0), "id", "v", "c", "split").count() == 0
+
+
+def test_bootstrap_routes_agree(spark):
+    """Whole tables in tasks and distinct values in ranges give the same correlations."""
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, 3, 4, 5, None]), float(rng.randrange(6)), rng.random(), float(rng.randrange(3))) for _ in range(120)]
+    df = spark.createDataFrame(rows, "c int, t double, a double, b double")
+    out = [sorted((r["round"], round(r["rho_a"], 9), round(r["rho_b"], 9)) for r in metrics.bootstrap_correlations(df, "t", ["a", "b"], "c", 6, 3, task_rows=n).collect()) for n in (10**6, 0)]
+    assert out[0] == out[1] and len(out[0]) == 6
+
+
+def test_report_of_a_prediction_table(spark):
+    rows = [(i, "train" if i % 2 else "test", f"s{i % 3}", i / 40, (i * 7 % 40) / 40, ["x", "y", None][i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, split string, source string, t double, p double, regime string")
+    views = {"all": F.lit(""), "source": F.col("source"), "regime": F.col("regime")}
+    got = {(r["view"], r["part"]): r for r in metrics.evaluation_report(df, "id", "t", "p", views, ("source",), ("x", "y")).collect()}
+    assert set(got) == {("all", ""), ("source", "s0"), ("source", "s1"), ("source", "s2"), ("regime", "x"), ("regime", "y"), ("macro", "source"), ("weighted", "source"), ("composite", "")}
+    macro = sum(got["source", f"s{k}"]["spearman"] for k in range(3)) / 3
+    assert got["macro", "source"]["spearman"] == pytest.approx(macro, abs=1e-5)
+    assert got["composite", ""]["spearman"] == pytest.approx(0.5 * macro + 0.25 * got["regime", "x"]["spearman"] + 0.25 * got["regime", "y"]["spearman"], abs=1e-5)
+    assert metrics.evaluation_report(df.limit(0), "id", "t", "p", views, ("source",), ("x", "y")).where("view = 'composite'").first()["spearman"] is None
+
+
+def test_strict_join_and_staged_sweep(spark):
+    a = spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.3)], "id int, t double")
+    b = spark.createDataFrame([(1, 0.1, 9.0), (2, 0.2, 8.0), (3, 0.3, 7.0)], "id int, t double, p double")
+    assert sorted(map(tuple, ensembles.strictly_joined(a, b, "id").collect())) == [(1, 0.1, 9.0), (2, 0.2, 8.0), (3, 0.3, 7.0)]
+    for x, y in ((a, b.limit(2)), (a.limit(2), b), (a.union(a), b), (a, b.union(b))):
+        with pytest.raises(Exception, match="id not on both sides once"):
+            ensembles.strictly_joined(x, y, "id").collect()
+    rows = spark.createDataFrame([(i, float(i), float(-i), float(i), float(i) if i % 2 else None) for i in range(20)], "id int, t double, a double, b double, x double")
+    out = ensembles.staged_sweep(rows, "id", "t", "a", "b", "x", [0.0, 0.25, 1.0]).collect()
+    best = {s: max((r for r in out if r["stage"] == s), key=lambda r: r["spearman"]) for s in ("parent", "expert")}
+    assert best["parent"]["weight"] == 1.0 and best["parent"]["spearman"] == 1.0 and best["expert"]["spearman"] == 1.0
