@@ -157,32 +157,40 @@ def file_key(path: Column) -> Column:
     return F.regexp_replace(F.lower(F.substring_index(clean_path(path), "/", -1)), "[^a-z0-9]", "")
 
 
-def _grams(text: Column, n: int = 3) -> Column:
-    """The distinct runs of n letters of a text; a shorter text is one run."""
-    found = F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array(text))
-    return F.array_distinct(found)
-
-
-def near_names(asked: DataFrame, known: DataFrame, least: float = 0.88, anchors: int = 3) -> DataFrame:
+def near_names(asked: DataFrame, known: DataFrame, least: float = 0.88) -> DataFrame:
     """(name, match, ratio): the known name nearest to each asked one, if their ratio is `least` or more.
 
-    The ratio is 1 - edits / length of the longer name; equal names have 1. Names meet only on shared runs of letters, never
-    all with all: of each asked name on more runs than `least` lets differ, the rarest first, so none that is near enough is missed.
-    Ties go to the smaller name. asked and known hold a column `name` each; nulls and blanks match nothing.
+    The ratio is 1 - edits / length of the longer name; equal names have 1. It allows a name of n letters so many edits k; the
+    name is cut into k + 1 even parts, of which one must stand unchanged in any name that near, at a place the edits allow.
+    Names meet on such parts only, never all with all, and none that is near enough is missed. Ties go to the smaller name. asked
+    and known hold a column `name` each; nulls and blanks match nothing.
     """
     a, b = (d.where(present(F.col("name"))).select("name").distinct() for d in (asked, known))
-    grams = b.select(F.col("name").alias("match"), F.explode(_grams(F.col("name"))).alias("_g"))
-    counts = grams.groupBy("_g").agg(F.count("*").alias("_n"))
-    # an edit touches 3 runs at most, so of a name of n letters 3 * floor((1 - least) * n / least) + 1 runs cannot all be lost
-    edits = F.floor(F.lit(1.0 - least) * F.length("name") / F.lit(least) + 1e-9)
-    own = a.select("name", F.explode(_grams(F.col("name"))).alias("_g")).join(counts, "_g", "left")
-    ranked = own.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g"))).alias("_gs"))
-    probes = ranked.select("name", F.explode(F.slice("_gs", F.lit(1), (edits * anchors + 1).cast("int"))).alias("_x")).select("name", F.col("_x._g").alias("_g"))
-    met = probes.join(grams, "_g").select("name", "match").union(a.join(b.withColumn("match", F.col("name")), "name").select("name", "match")).distinct()
-    longer = F.greatest(F.length("name"), F.length("match"))
-    scored = met.withColumn("ratio", F.lit(1.0) - F.levenshtein("name", "match") / longer).where(F.col("ratio") >= least)
+    edits = lambda n: F.floor(F.lit(1.0 - least) * n / F.lit(least) + 1e-9).cast("int")
+
+    def part(n: Column, k: Column, i: Column) -> tuple[Column, Column]:
+        base, late = F.floor(n / (k + 1)).cast("int"), i - (k + 1 - n % (k + 1))
+        return i * base + F.greatest(late, F.lit(0)), base + (late >= 0).cast("int")
+
+    n, k, i, m = (F.col(c) for c in ("n", "k", "i", "m"))
+    same = a.join(b.select("name"), "name", "left_semi").select("name", F.col("name").alias("match"), F.lit(1.0).alias("ratio"))
+    mine = a.join(b.select("name"), "name", "left_anti").withColumn("n", F.length("name")).withColumn("k", edits(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    start, size = part(n, k, i)
+    mine = mine.select("name", "n", "k", "i", F.substring("name", start + 1, size).alias("_s"))
+    theirs = b.withColumnRenamed("name", "match").withColumn("m", F.length("match"))
+    theirs = theirs.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.floor(m * least).cast("int")), F.ceil(m / least).cast("int")))).withColumn("k", edits(n)).where(F.abs(m - n) <= k)
+    theirs = theirs.withColumn("i", F.explode(F.sequence(F.lit(0), k)))
+    low = F.greatest(F.lit(0), start - i, start + (m - n) - (k - i))
+    high = F.least(m - size, start + i, start + (m - n) + (k - i))
+    theirs = theirs.withColumn("_low", low).withColumn("_high", high).where("_low <= _high").withColumn("_at", F.explode(F.sequence("_low", "_high")))
+    theirs = theirs.select("match", "n", "i", F.substring("match", F.col("_at") + 1, size).alias("_s")).distinct()
+    # few bytes meet in many pairs, so the parts are spread by number and not by size
+    parts = max(8, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = lambda d: d.repartition(parts, "n", "i", "_s")
+    met = spread(mine).join(spread(theirs), ["n", "i", "_s"]).withColumn("_d", F.expr("levenshtein(name, match, k)")).where("_d >= 0")
+    scored = met.withColumn("ratio", F.lit(1.0) - F.col("_d") / F.greatest(F.length("name"), F.length("match"))).where(F.col("ratio") >= least)
     best = scored.groupBy("name").agg(F.min_by(F.struct("match", "ratio"), F.struct(-F.col("ratio"), "match")).alias("b"))
-    return best.select("name", "b.match", "b.ratio")
+    return same.union(best.select("name", "b.match", "b.ratio"))
 
 
 def reconciled(documents: DataFrame, registry: DataFrame, records: DataFrame, least: float = 0.88) -> DataFrame:
