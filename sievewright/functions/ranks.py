@@ -10,6 +10,9 @@ from sievewright.session import lookup_join, stage
 #: Largest group that one task may rank by a window; larger ones take ranged prefix sums.
 WINDOW_ROWS = 4_000_000
 
+#: Most offsets of ranged sums that are broadcast; more are joined by a shuffle.
+OFFSET_ROWS = 100_000
+
 
 def largest_group(df: DataFrame, by: list[str]) -> int:
     """Rows of the largest group; null groups are a group."""
@@ -23,14 +26,16 @@ def ranged_sums(amounts: DataFrame, value: str, amount: str, by: list[str]) -> D
     from the totals of (partition, group), of which a group has one a partition at most.
     """
     parts = max(8, int(amounts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = stage(amounts.repartitionByRange(parts, *by, value).withColumn("_p", F.spark_partition_id()))
-    totals = ranged.groupBy(*by, "_p").agg(F.sum(amount).alias("_t"))
-    order = Window.partitionBy(*by).orderBy("_p")
-    offsets = totals.select(*by, "_p", (F.sum("_t").over(order) - F.col("_t")).alias("_off"), F.sum("_t").over(Window.partitionBy(*by)).alias("_total"))
-    within = Window.partitionBy("_p", *by).orderBy(value)
+    ranged = stage(amounts.repartitionByRange(parts, *by, value).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_range_sum"))
+    order = Window.partitionBy(*by).orderBy("_range")
+    offsets = totals.select(*by, "_range", (F.sum("_range_sum").over(order) - F.col("_range_sum")).alias("_off"), F.sum("_range_sum").over(Window.partitionBy(*by)).alias("_total"))
+    if totals.limit(OFFSET_ROWS + 1).count() <= OFFSET_ROWS:
+        offsets = F.broadcast(offsets)
+    within = Window.partitionBy("_range", *by).orderBy(value)
     running = ranged.withColumn("_run", F.sum(amount).over(within) - F.col(amount))
     same = [running[b].eqNullSafe(offsets[b]) for b in by]
-    joined = running.join(offsets, [*same, running["_p"] == offsets["_p"]])
+    joined = running.join(offsets, [*same, running["_range"] == offsets["_range"]])
     return joined.select(*[running[c] for c in amounts.columns], (offsets["_off"] + running["_run"]).alias("_before"), offsets["_total"])
 
 
@@ -73,10 +78,18 @@ def with_rank_over_n(df: DataFrame, value: Column, by: list[str], name: str, plu
     return ranked.withColumn(name, F.col("_rk") / (F.col("_sz") + plus)).drop("_rk", "_sz")
 
 
-def with_row_number(df: DataFrame, order: list[Column], by: list[str], name: str, largest: int | None = None) -> DataFrame:
-    """Row number from 1 by an order that ends in a unique column."""
-    ranked = with_ranks(df, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]), by, "_rk", "_sz", largest=largest)
-    return ranked.withColumn(name, F.col("_rk").cast("long")).drop("_rk", "_sz")
+def with_row_number(df: DataFrame, order: list[Column], by: list[str], name: str, largest: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Row number from 1 by an order that ends in a unique column.
+
+    Groups that no window holds are numbered where their rows lie once these are range-partitioned, without a lookup.
+    """
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    largest = largest_group(df, by) if largest is None else largest
+    if largest <= window_rows:
+        ranked = with_ranks(df, place, by, "_rk", "_sz", largest=largest, window_rows=window_rows)
+        return ranked.withColumn(name, F.col("_rk").cast("long")).drop("_rk", "_sz")
+    rows = df.select("*", place.alias("_place"), F.lit(1).alias("_one"))
+    return ranged_sums(rows, "_place", "_one", by).withColumn(name, F.col("_before") + 1).drop("_place", "_one", "_before", "_total")
 
 
 def over_mean(df: DataFrame, weight: Column, name: str) -> DataFrame:

@@ -21,22 +21,80 @@ def safe_correlation(x: str, y: str) -> Column:
     return F.when(F.count("*") >= 3, F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread)))
 
 
-def regression_metrics(df: DataFrame, truth: str, prediction: str, id_col: str, by: list[str], share: float = 0.1) -> DataFrame:
+def known(c: str) -> Column:
+    """Whether a column has a value that is not NaN."""
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+
+
+def top_places(n: Column, share: float) -> Column:
+    return F.greatest(F.lit(1.0), F.ceil(n * F.lit(float(share))).cast("double"))
+
+
+def _ranged_values(counts: DataFrame, value: str, keys: list[str], share: float) -> DataFrame:
+    """counts, one row a (keys, value) with its rows `_c`, staged with the group's size `_n` and `_r`, the value's mean rank less the group's.
+
+    `_sure` says that all its rows are in the top, `_left` how many places the top has for it where that are some of them only.
+    """
+    d = ranged_sums(counts, value, "_c", keys).withColumnRenamed("_total", "_n")
+    above, places = F.col("_n") - F.col("_before") - F.col("_c"), top_places(F.col("_n"), share)
+    centred = F.col("_before") + (F.col("_c") - F.col("_n")) / F.lit(2.0)
+    return stage(d.select(*counts.columns, "_n", centred.alias("_r"), (above + F.col("_c") <= places).alias("_sure"), F.when((above < places) & (above + F.col("_c") > places), places - above).alias("_left")))
+
+
+def with_truth_ranks(rows: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
+    """rows (keys, _id, _t and others) of groups of any size, staged with `_rt`, the truth's rank less the mean rank, and `_top`. Keys are not null."""
+    dim = _ranged_values(rows.groupBy(*keys, "_t").agg(F.count("*").alias("_c")), "_t", keys, share)
+    edge = dim.where("_left is not null").select(*keys, "_t", "_left")  # one value a group at most
+    tied = lookup_join(rows.select(*keys, "_id", "_t"), edge, [*keys, "_t"], "inner")
+    last = stage(with_row_number(tied, [F.col("_id")], keys, "_k").where("_k = _left").select(*keys, F.col("_id").alias("_last")))
+    dim = stage(lookup_join(dim, last, keys).select(*keys, "_t", F.col("_r").alias("_rt"), "_sure", F.when(F.col("_left").isNotNull(), F.col("_last")).alias("_last")))
+    found = lookup_join(rows, dim, [*keys, "_t"])
+    return stage(found.withColumn("_top", F.col("_sure") | F.coalesce(F.col("_id") <= F.col("_last"), F.lit(False))).drop("_sure", "_last"))
+
+
+def _ranged_metrics(rows: DataFrame, by: list[str], share: float) -> DataFrame:
+    """regression_metrics of groups that no task holds: truth ranks are looked up once, predictions are summed by value before they are ranked.
+
+    Only the rows whose prediction stands at the edge of the top are numbered by id.
+    """
+    keys = [f"_key_{i}" for i in range(max(1, len(by)))]
+    rows = rows.select("*", *([F.coalesce(F.col(b).cast("string"), F.lit("\u0000")).alias(k) for b, k in zip(by, keys, strict=True)] if by else [F.lit(0).alias(keys[0])]))
+    rows = with_truth_ranks(rows, keys, share)
+    per = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_c"), F.sum("_rt").alias("_s"), F.sum(F.col("_rt") * F.col("_rt")).alias("_q"), F.count_if("_top").alias("_h"))
+    dim = _ranged_values(per, "_p", keys, share)
+    tied = lookup_join(rows.select(*keys, "_id", "_p", "_top"), dim.where("_left is not null").select(*keys, "_p", "_left"), [*keys, "_p"], "inner")
+    edge = with_row_number(tied, [F.col("_id")], keys, "_k").where("_k <= _left").groupBy(*keys).agg(F.count_if("_top").alias("_edge"))
+    sums = dim.groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_s")).alias("_cov"), F.sum("_q").alias("_vt"), F.sum(F.col("_c") * F.col("_r") * F.col("_r")).alias("_vp"), F.sum(F.when(F.col("_sure"), F.col("_h")).otherwise(0)).alias("_h"))
+    errors = rows.groupBy(*by, *keys).agg(
+        F.count("*").alias("n"),
+        F.sqrt(F.avg((F.col("_t") - F.col("_p")) * (F.col("_t") - F.col("_p")))).alias("rmse"),
+        F.avg(F.abs(F.col("_t") - F.col("_p"))).alias("mae"),
+        safe_correlation("_t", "_p").alias("pearson"),
+    )
+    spread, places = F.sqrt("_vt") * F.sqrt("_vp"), top_places(F.col("n"), share)
+    return errors.join(sums, keys).join(edge, keys, "left").select(
+        *by, "n", "rmse", "mae", "pearson",
+        F.when(F.col("n") >= 3, F.try_divide(F.col("_cov"), F.when(spread > 0, spread))).alias("spearman"),
+        ((F.col("_h") + F.coalesce("_edge", F.lit(0))) / (places * places / F.col("n"))).alias("top10_enrichment"),
+    )
+
+
+def regression_metrics(df: DataFrame, truth: str, prediction: str, id_col: str, by: list[str], share: float = 0.1, task_rows: int = WINDOW_ROWS) -> DataFrame:
     """n, rmse, mae, pearson, spearman and top10_enrichment of each group, null groups kept; no grouping gives one row.
 
     Spearman is Pearson's correlation of tie-averaged ranks. The top holds ceil(share * n) rows, one at least, by value
     descending and then id; enrichment is the overlap of both tops over the one expected by chance. Undefined values are null.
-    Rows without a finite truth or prediction are left out.
+    Rows whose truth or prediction is null or NaN are left out. Groups of more than `task_rows` rows are ranked in ranges.
     """
-    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    rows = df.where(ok(truth) & ok(prediction)).select(*by, F.col(id_col).alias("_id"), F.col(truth).cast("double").alias("_t"), F.col(prediction).cast("double").alias("_p"))
+    rows = df.where(known(truth) & known(prediction)).select(*by, F.col(id_col).alias("_id"), F.col(truth).cast("double").alias("_t"), F.col(prediction).cast("double").alias("_p"))
     most = largest_group(rows, by)
+    if most > task_rows:
+        return _ranged_metrics(rows, by, share)
     rows = with_ranks(rows, F.col("_t"), by, "_rt", "_n", largest=most)
     rows = with_ranks(rows, F.col("_p"), by, "_rp", "_n2", largest=most)
     rows = with_row_number(rows, [-F.col("_t"), F.col("_id")], by, "_ot", largest=most)
     rows = with_row_number(rows, [-F.col("_p"), F.col("_id")], by, "_op", largest=most)
-    count = F.greatest(F.lit(1.0), F.ceil(F.col("_n") * F.lit(float(share))).cast("double"))
-    rows = rows.withColumn("_c", count)
+    rows = rows.withColumn("_c", top_places(F.col("_n"), share))
     hit = ((F.col("_ot") <= F.col("_c")) & (F.col("_op") <= F.col("_c"))).cast("double")
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"),

@@ -36,6 +36,34 @@ def test_ranged_ranks_match_windows(spark):
     assert ranks.with_ranks(df.limit(0), F.col("v"), ["g"]).count() == 0
 
 
+def test_lookup_join_keeps_columns_of_its_own_names(spark):
+    facts = spark.createDataFrame([(i, i % 7, i * 2, i * 3) for i in range(50)], "id int, k int, _n int, _s int")
+    dim = spark.createDataFrame([(k, k * 10) for k in range(7)], "k int, v int")
+    rows = [sorted(map(tuple, lookup_join(facts, dim, ["k"], limit=n).select("id", "_n", "_s", "v").collect())) for n in (10**6, 0)]
+    assert rows[0] == rows[1] and len(rows[0]) == 50 and rows[0][9] == (9, 18, 27, 20)
+
+
+def test_large_groups_have_the_metrics_of_small_ones(spark):
+    """Twice the rows of a window are ranked in ranges, with ties, null groups and a constant one."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), float(rng.randrange(30)), rng.choice([-0.0, 0.0, rng.random(), float(rng.randrange(9))])) for i in range(900)]
+    rows += [(900 + i, "c", 1.0, float(i % 3)) for i in range(40)] + [(950, "d", 1.0, 2.0), (951, "a", None, 1.0), (952, "a", 1.0, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, g string, t double, p double")
+    for by in ([], ["g"]):
+        got = [{tuple(r[b] for b in by): [r[m] for m in metrics.METRICS] for r in metrics.regression_metrics(df, "t", "p", "id", by, task_rows=n).collect()} for n in (10**6, 0)]
+        assert got[0].keys() == got[1].keys()
+        for k, want in got[0].items():
+            assert got[1][k] == pytest.approx(want, abs=1e-9), k
+
+
+def test_row_numbers_in_ranges_match_windows(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, rng.choice(["a", None]), float(rng.randrange(9)), i) for i in range(500)], "id int, g string, _p double, _n int")
+    for by in (["g"], []):
+        got = [sorted(map(tuple, ranks.with_row_number(df, [-F.col("_p"), F.col("id")], by, "k", window_rows=n).select("id", "_p", "_n", "k").collect())) for n in (10**6, 0)]
+        assert got[0] == got[1]
+
+
 def test_lookup_join_routes_agree(spark):
     facts = spark.createDataFrame([(i, i % 7 if i % 3 else 0) for i in range(60_000)], "id int, k int")
     dim = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k int, v string")
