@@ -196,11 +196,11 @@ def paired_delta(values: DataFrame, baseline: str, candidate: str) -> DataFrame:
     return d.agg(F.avg("d").alias("mean_delta"), F.stddev_samp("d").alias("sd_delta"), p(0.025).alias("low"), p(0.975).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("p_better"))
 
 
-def permuted_truth(df: DataFrame, truth: str, id_col: str, seed: int) -> DataFrame:
+def permuted_truth(df: DataFrame, truth: str, id_col: str, seed: int, task_rows: int = WINDOW_ROWS) -> DataFrame:
     """df with `permuted`, the truth column dealt out again in the order of a keyed hash of the ids; ids are unique."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
-    here = with_row_number(df, [F.col(id_col)], [], "_k")
-    there = with_row_number(df.select(id_col, truth), [h, F.col(id_col)], [], "_k").select("_k", F.col(truth).alias("permuted"))
+    here = with_row_number(df, [F.col(id_col)], [], "_k", window_rows=task_rows)
+    there = with_row_number(df.select(id_col, truth), [h, F.col(id_col)], [], "_k", window_rows=task_rows).select("_k", F.col(truth).alias("permuted"))
     return here.join(there, "_k").drop("_k")
 
 

@@ -64,6 +64,15 @@ def test_row_numbers_in_ranges_match_windows(spark):
         assert got[0] == got[1]
 
 
+def test_permuted_truth_of_many_rows(spark):
+    df = spark.createDataFrame([(i, i / 7, float(i * 13 % 50)) for i in range(200)], "id int, t double, _p double")
+    runs = [metrics.permuted_truth(df, "t", "id", 5, task_rows=n) for n in (10**6, 0)]
+    rows = [sorted(map(tuple, r.select("id", "t", "_p", "permuted").collect())) for r in runs]
+    assert rows[0] == rows[1] and sorted(r[3] for r in rows[0]) == [r[1] for r in rows[0]]
+    found = [metrics.regression_metrics(r, "permuted", "_p", "id", [], task_rows=n).first()["spearman"] for r, n in zip(runs, (10**6, 0), strict=True)]
+    assert found[0] == pytest.approx(found[1], abs=1e-12)
+
+
 def test_lookup_join_routes_agree(spark):
     facts = spark.createDataFrame([(i, i % 7 if i % 3 else 0) for i in range(60_000)], "id int, k int")
     dim = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k int, v string")
