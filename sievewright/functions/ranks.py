@@ -88,8 +88,8 @@ def with_row_number(df: DataFrame, order: list[Column], by: list[str], name: str
     if largest <= window_rows:
         ranked = with_ranks(df, place, by, "_rk", "_sz", largest=largest, window_rows=window_rows)
         return ranked.withColumn(name, F.col("_rk").cast("long")).drop("_rk", "_sz")
-    rows = df.select("*", place.alias("_place"), F.lit(1).alias("_one"))
-    return ranged_sums(rows, "_place", "_one", by).withColumn(name, F.col("_before") + 1).drop("_place", "_one", "_before", "_total")
+    rows = df.select("*", place.alias("_row_place"), F.lit(1).alias("_row_one"))
+    return ranged_sums(rows, "_row_place", "_row_one", by).withColumn(name, F.col("_before") + 1).drop("_row_place", "_row_one", "_before", "_total")
 
 
 def over_mean(df: DataFrame, weight: Column, name: str) -> DataFrame:

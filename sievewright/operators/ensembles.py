@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.ranks import with_percentile, with_rank_over_n, with_row_number
-from sievewright.operators.metrics import regression_metrics
+from sievewright.functions.ranks import WINDOW_ROWS, with_percentile, with_rank_over_n, with_ranks, with_row_number
+from sievewright.operators.metrics import known, regression_metrics, with_truth_ranks
 from sievewright.session import stage
 
+#: Rows that a task of a sweep sorts at once, and the most such parts of a share; each part reads the table, so one of more parts is shuffled.
+SWEEP_ROWS, SWEEP_PARTS = 2_000_000, 32
+
 
 def alignment_report(truth: DataFrame, prediction: DataFrame, id_col: str) -> DataFrame:
     """One row: ids in both, missing from the prediction, extra in it, and repeated on either side."""
@@ -65,11 +72,103 @@ def global_rank_blend(aligned: DataFrame, weights: dict[str, float], name: str =
     return rows.withColumn(name, reduce(lambda a, b: a + b, [F.col(f"_q_{m}") * (w / total) for m, w in weights.items()])).drop(*[f"_q_{m}" for m in weights])
 
 
-def blend_sweep(rows: DataFrame, id_col: str, truth: str, a: str, b: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """Metrics of (1 - w) * a + w * b for each share w, optionally by group; the shares are a short stated list."""
-    many = rows.select(id_col, truth, *(by or []), a, b, F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("weight"))
+def _by_score(p: np.ndarray, *sums: np.ndarray) -> list[np.ndarray]:
+    """Distinct scores in rising order and the sums of other columns over each."""
+    order = np.argsort(p, kind="stable")
+    p = p[order]
+    start = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.empty(0, int)
+    return [p[start], *[np.add.reduceat(x[order], start) if len(p) else x for x in sums]]
+
+
+def _sweep_part(files: list[str], w: float, low: float, high: float, n: int, places: float, mean_t: float, mean_p: float, most: int) -> dict[str, float | None]:
+    """Sums over the rows whose blend lies from low up to below high, ranked among all n; more than `most` rows are held as distinct scores."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    below, rows, sums, held, full = 0, 0, np.zeros(7), [[np.empty(0)] * 4], 2 * most
+    for path in files:
+        system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+        for batch in pq.ParquetFile(at, filesystem=system).iter_batches(1 << 18, columns=["_a", "_b", "_t", "_rt", "_top"]):
+            a, b, t, rt, top = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            p = (1.0 - w) * a + w * b
+            below += int((p < low).sum())
+            at_home = (p >= low) & (p < high) if high < math.inf else p >= low
+            p, t, rt, top = p[at_home], t[at_home], rt[at_home], top[at_home].astype(float)
+            e, dt, dp = t - p, t - mean_t, p - mean_p
+            sums += [(e * e).sum(), np.abs(e).sum(), dt.sum(), dp.sum(), (dt * dt).sum(), (dp * dp).sum(), (dt * dp).sum()]
+            held.append([p, np.ones(len(p)), rt, top])
+            rows += len(p)
+            if rows > full:
+                held = [_by_score(*map(np.concatenate, zip(*held, strict=True)))]
+                rows = len(held[0][0])
+                full = 2 * max(most, rows)
+    p, c, s, h = _by_score(*map(np.concatenate, zip(*held, strict=True)))
+    before = below + np.cumsum(c) - c
+    r, above = before + (c - n) / 2.0, n - before - c
+    edge = np.flatnonzero((above < places) & (above + c > places))  # one score at most
+    out = dict(zip(["ee", "ae", "dt", "dp", "tt", "pp", "tp"], map(float, sums), strict=True))
+    out |= {"cov": float((r * s).sum()), "var": float((c * r * r).sum()), "hits": float(h[above + c <= places].sum())}
+    return out | {"edge": float(p[edge[0]]) if len(edge) else None, "left": float(places - above[edge[0]]) if len(edge) else None}
+
+
+def _sweep_in_parts(rows: DataFrame, n: int, shares: list[float], part_rows: int) -> DataFrame:
+    """blend_sweep of rows (_id, _t, _a, _b) without a shuffle of every share's rows.
+
+    Truth ranks are looked up once. A task takes a share and a range of its blends from the staged table, which it reads whole
+    to rank that range among all rows. Some rows place the bounds of the ranges, which decide on nothing but the tasks' sizes.
+    """
+    spark, share = rows.sparkSession, 0.1
+    ranked = with_truth_ranks(rows.withColumn("_key_0", F.lit(0)), ["_key_0"], share)
+    files, parts, places = ranked.inputFiles(), math.ceil(n / part_rows), max(1.0, math.ceil(n * share))
+    m = ranked.agg(F.avg("_t"), F.avg("_a"), F.avg("_b"), F.sum(F.col("_rt") * F.col("_rt"))).first()
+    some = ranked.where(F.pmod(F.xxhash64("_id"), F.lit(max(1, n // 20_000))) == 0).select("_a", "_b").toPandas() if parts > 1 else pd.DataFrame({"_a": [], "_b": []})
+    jobs = []
+    for i, w in enumerate(shares):
+        p = (1.0 - w) * some["_a"].to_numpy(float) + w * some["_b"].to_numpy(float)
+        inner = np.unique(np.quantile(p, np.arange(1, parts) / parts)).tolist() if len(p) else []
+        bounds = [-math.inf, *inner, math.inf]
+        jobs += [(i, w, low, high, n, places, m[0], (1.0 - w) * m[1] + w * m[2], part_rows) for low, high in zip(bounds, bounds[1:], strict=False)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in batch["id"]:
+                yield pd.DataFrame([{"i": jobs[k][0]} | _sweep_part(files, *jobs[k][1:])]).astype({"edge": float, "left": float})
+
+    names = ["ee", "ae", "dt", "dp", "tt", "pp", "tp", "cov", "var", "hits", "edge", "left"]
+    found = spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, ", ".join(["i int", *[f"{c} double" for c in names]])).toPandas()  # a row a task
+    tied = found[found["edge"].notna()]
+    hits = {}
+    if len(tied):
+        asked = F.array(*[F.struct(F.lit(int(i)).alias("i"), F.lit(shares[int(i)]).alias("w"), F.lit(float(v)).alias("v"), F.lit(float(k)).alias("k")) for i, v, k in zip(tied["i"], tied["edge"], tied["left"], strict=True)])
+        at = ranked.select("_id", "_top", "_a", "_b", F.explode(asked).alias("_e")).where((F.lit(1.0) - F.col("_e.w")) * F.col("_a") + F.col("_e.w") * F.col("_b") == F.col("_e.v"))
+        at = with_row_number(at.select("_id", "_top", F.col("_e.i").alias("i"), F.col("_e.k").alias("k")), [F.col("_id")], ["i"], "_k").where("_k <= k")
+        hits = {r["i"]: r["h"] for r in at.groupBy("i").agg(F.count_if("_top").alias("h")).collect()}
+    out = []
+    for i, x in found.groupby("i")[names[:10]].sum().iterrows():
+        tt, pp, tp = x["tt"] - x["dt"] ** 2 / n, x["pp"] - x["dp"] ** 2 / n, x["tp"] - x["dt"] * x["dp"] / n
+        ratio = lambda c, v, u: float(c / (math.sqrt(v) * math.sqrt(u))) if n >= 3 and v > 0 and u > 0 else None
+        flat = x["var"] == 0 or m[3] == 0  # one side is constant
+        top = (x["hits"] + hits.get(i, 0)) / (places * places / n)
+        out.append((shares[i], n, math.sqrt(x["ee"] / n), x["ae"] / n, None if flat else ratio(tp, tt, pp), ratio(x["cov"], m[3], x["var"]), top))
+    return spark.createDataFrame([tuple(None if v is None else int(v) if k == 1 else float(v) for k, v in enumerate(r)) for r in out], "weight double, n bigint, rmse double, mae double, pearson double, spearman double, top10_enrichment double")
+
+
+def blend_sweep(rows: DataFrame, id_col: str, truth: str, a: str, b: str, shares: list[float], by: list[str] | None = None, task_rows: int = WINDOW_ROWS, part_rows: int = SWEEP_ROWS) -> DataFrame:
+    """Metrics of (1 - w) * a + w * b for each share w, optionally by group; the shares are a short stated list.
+
+    Ungrouped rows that no window holds are taken in parts by tasks, as long as all shares have the same rows: an infinite
+    score has no blend by some.
+    """
+    shares = [float(s) for s in shares]
+    if not by and len(set(shares)) == len(shares) and all(0 <= s <= 1 for s in shares):
+        usable = rows.where(known(truth) & known(a) & known(b)).select(F.col(id_col).alias("_id"), F.col(truth).cast("double").alias("_t"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+        endless = reduce(lambda x, y: x | y, [F.abs(F.col(c)) == math.inf for c in ("_t", "_a", "_b")])
+        n, wild = usable.agg(F.count("*"), F.count_if(endless)).first()
+        if n > task_rows and not wild and n <= part_rows * SWEEP_PARTS:
+            return _sweep_in_parts(usable, n, shares, part_rows)
+    many = rows.select(id_col, truth, *(by or []), a, b, F.explode(F.array(*[F.lit(s) for s in shares])).alias("weight"))
     many = many.withColumn("_blend", (F.lit(1.0) - F.col("weight")) * F.col(a) + F.col("weight") * F.col(b))
-    return regression_metrics(many, truth, "_blend", id_col, ["weight", *(by or [])])
+    return regression_metrics(many, truth, "_blend", id_col, ["weight", *(by or [])], task_rows=task_rows)
 
 
 def best_of_sweep(metrics: DataFrame, metric: str = "spearman") -> DataFrame:

@@ -64,6 +64,22 @@ def test_row_numbers_in_ranges_match_windows(spark):
         assert got[0] == got[1]
 
 
+def test_sweep_of_many_rows_has_the_metrics_of_few(spark):
+    """In a window, in parts of a task and shuffled; with ties at the top's edge, missing scores and an infinite one."""
+    rng = random.Random(8)
+    rows = [(i, float(rng.randrange(12)), float(rng.randrange(5)), rng.choice([0.0, -0.0, float(rng.randrange(40)), rng.random()])) for i in range(400)]
+    rows += [(500, None, 1.0, 1.0), (501, 1.0, float("nan"), 1.0), (502, 1.0, 1.0, None)]
+    shares, schema = [0.0, 0.25, 1.0], "id int, t double, a double, b double"
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([*rows, (600, 2.0, float("inf"), 1.0)], schema)):
+        runs = [ensembles.blend_sweep(df, "id", "t", "a", "b", shares, **kw).collect() for kw in ({}, {"task_rows": 0, "part_rows": 90}, {"task_rows": 0, "part_rows": 1})]
+        want = {r["weight"]: [r[m] for m in metrics.METRICS] for r in runs[0]}
+        for run in runs[1:]:
+            got = {r["weight"]: [r[m] for m in metrics.METRICS] for r in run}
+            assert got.keys() == want.keys() == set(shares)
+            for w in shares:
+                assert got[w] == pytest.approx(want[w], abs=1e-9, nan_ok=True), w
+
+
 def test_permuted_truth_of_many_rows(spark):
     df = spark.createDataFrame([(i, i / 7, float(i * 13 % 50)) for i in range(200)], "id int, t double, _p double")
     runs = [metrics.permuted_truth(df, "t", "id", 5, task_rows=n) for n in (10**6, 0)]
