@@ -80,6 +80,12 @@ def test_sweep_of_many_rows_has_the_metrics_of_few(spark):
                 assert got[w] == pytest.approx(want[w], abs=1e-9, nan_ok=True), w
 
 
+def test_best_share_of_many_rows_is_the_smallest_of_equals(spark):
+    df = spark.createDataFrame([(i, float(i), float(i), float(i * i)) for i in range(60)], "id int, t double, a double, b double")
+    best = ensembles.best_of_sweep(ensembles.blend_sweep(df, "id", "t", "a", "b", [1.0, 0.5, 0.25], task_rows=0, part_rows=25)).first()
+    assert best["weight"] == 0.25 and best["spearman"] == pytest.approx(1.0)
+
+
 def test_permuted_truth_of_many_rows(spark):
     df = spark.createDataFrame([(i, i / 7, float(i * 13 % 50)) for i in range(200)], "id int, t double, _p double")
     runs = [metrics.permuted_truth(df, "t", "id", 5, task_rows=n) for n in (10**6, 0)]
