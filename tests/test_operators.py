@@ -86,6 +86,15 @@ def test_best_share_of_many_rows_is_the_smallest_of_equals(spark):
     assert best["weight"] == 0.25 and best["spearman"] == pytest.approx(1.0)
 
 
+def test_sweep_of_a_recovered_expert_over_many_rows(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, rng.random(), rng.random(), rng.random()) for i in range(150)], "id int, t double, g double, p double")
+    df = df.withColumn("x", ensembles.recovered_expert(F.col("p"), F.col("g"), 0.4))
+    runs = [{r["weight"]: [r[m] for m in metrics.METRICS] for r in ensembles.blend_sweep(df, "id", "t", "g", "x", [0.0, 0.3], **kw).collect()} for kw in ({}, {"task_rows": 0, "part_rows": 40})]
+    for w in (0.0, 0.3):
+        assert runs[0][w] == pytest.approx(runs[1][w], abs=1e-9)
+
+
 def test_permuted_truth_of_many_rows(spark):
     df = spark.createDataFrame([(i, i / 7, float(i * 13 % 50)) for i in range(200)], "id int, t double, _p double")
     runs = [metrics.permuted_truth(df, "t", "id", 5, task_rows=n) for n in (10**6, 0)]
