@@ -83,11 +83,9 @@ def with_row_number(df: DataFrame, order: list[Column], by: list[str], name: str
 
     Groups that no window holds are numbered where their rows lie once these are range-partitioned, without a lookup.
     """
+    if (largest_group(df, by) if largest is None else largest) <= window_rows:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)).cast("long"))
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    largest = largest_group(df, by) if largest is None else largest
-    if largest <= window_rows:
-        ranked = with_ranks(df, place, by, "_rk", "_sz", largest=largest, window_rows=window_rows)
-        return ranked.withColumn(name, F.col("_rk").cast("long")).drop("_rk", "_sz")
     rows = df.select("*", place.alias("_row_place"), F.lit(1).alias("_row_one"))
     return ranged_sums(rows, "_row_place", "_row_one", by).withColumn(name, F.col("_before") + 1).drop("_row_place", "_row_one", "_before", "_total")
 

@@ -214,7 +214,26 @@ def nested_blend(rows: DataFrame, inner: tuple, outer: tuple[float, str], name:
     return rows.withColumn(name, out).drop(*[f"_q_{c}" for _, c in (*inner[1:], outer)])
 
 
-def staged_sweep(rows: DataFrame, id_col: str, truth: str, base: str, parent: str, expert: str, shares: list[float]) -> DataFrame:
+def _routed_correlations(now: DataFrame, id_col: str, truth: str, placed: DataFrame, kept: DataFrame, shares: list[float]) -> DataFrame:
+    """(weight, spearman) of scores dealt out anew, for any rows: every share's whole table is ranked."""
+    routed = now.select(id_col, truth, "_base", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("weight")).join(placed.join(kept, "_k").drop("_k"), [id_col, "weight"], "left").withColumn("_score", F.coalesce("_new", "_base"))
+    return regression_metrics(routed, truth, "_score", id_col, ["weight"]).select("weight", "spearman")
+
+
+def _dealt_correlations(now: DataFrame, placed: DataFrame, kept: DataFrame, shares: list[float]) -> DataFrame:
+    """The same where every row has a truth and a score: the set of scores, and with it every score's rank, is then the same for all shares.
+
+    now has ranks less their mean, _rt of the truth and _rb of the score; only the products of the rows dealt to differ by share.
+    """
+    whole = now.agg(F.count("*").alias("n"), (F.sqrt(F.sum(F.col("_rt") * F.col("_rt"))) * F.sqrt(F.sum(F.col("_rb") * F.col("_rb")))).alias("spread"), F.coalesce(F.sum(F.when(F.col("_x").isNull(), F.col("_rt") * F.col("_rb"))), F.lit(0.0)).alias("rest")).first()
+    dealt = placed.join(kept.withColumnRenamed("_rb", "_new_rb"), "_k").groupBy("weight").agg(F.sum(F.col("_rt") * F.col("_new_rb")).alias("cov"))
+    weights = now.sparkSession.createDataFrame([(float(s),) for s in shares], "weight double")
+    defined = whole["n"] >= 3 and whole["spread"] > 0
+    rho = (F.coalesce("cov", F.lit(0.0)) + F.lit(whole["rest"])) / F.lit(whole["spread"]) if defined else F.lit(None).cast("double")
+    return weights.join(dealt, "weight", "left").select("weight", rho.alias("spearman"))
+
+
+def staged_sweep(rows: DataFrame, id_col: str, truth: str, base: str, parent: str, expert: str, shares: list[float], task_rows: int = WINDOW_ROWS) -> DataFrame:
     """(stage, weight, spearman): the parent's share over ranks, then, with the best of it kept, the expert's.
 
     The expert speaks for the rows where it is not null: they keep their set of scores and take it in the order of base and
@@ -224,17 +243,29 @@ def staged_sweep(rows: DataFrame, id_col: str, truth: str, base: str, parent: st
     for c in (base, parent):
         ranked = with_rank_over_n(ranked, F.col(c), [], f"_r_{c}")
     ranked = stage(ranked.select(id_col, truth, F.col(f"_r_{base}").alias("_a"), F.col(f"_r_{parent}").alias("_b"), F.col(expert).alias("_x")))
-    first = stage(blend_sweep(ranked, id_col, truth, "_a", "_b", shares).select("weight", F.round("spearman", 6).alias("spearman")))
+    first = stage(blend_sweep(ranked, id_col, truth, "_a", "_b", shares, task_rows=task_rows).select("weight", F.round("spearman", 6).alias("spearman")))
     best = best_of_sweep(first).first()
     weight = float(best["weight"]) if best and best["weight"] is not None else 0.0
-    now = stage(ranked.select(id_col, truth, "_x", (F.lit(1.0 - weight) * F.col("_a") + F.lit(weight) * F.col("_b")).alias("_base")))
+    now = ranked.select(id_col, truth, "_x", (F.lit(1.0 - weight) * F.col("_a") + F.lit(weight) * F.col("_b")).alias("_base"))
+    n, whole = now.agg(F.count("*"), F.count_if(known(truth) & known("_base"))).first()
+    dealt = n == whole and n > task_rows and len(set(shares)) == len(shares)
+    if dealt:  # ranks come before the rows are multiplied
+        for value, name in ((F.col(truth).cast("double"), "_rt"), (F.col("_base"), "_rb")):
+            now = with_ranks(now, value, [], name, "_all", largest=n, window_rows=task_rows).withColumn(name, F.col(name) - (F.col("_all") + 1) / 2.0).drop("_all")
+    now = stage(now)
+    own = ["_rt"] if dealt else []
     part = now.where("_x is not null")
     part = with_rank_over_n(with_rank_over_n(part, F.col("_base"), [], "_p"), F.col("_x"), [], "_q")
-    many = part.select(id_col, "_p", "_q", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("weight")).withColumn("_m", (F.lit(1.0) - F.col("weight")) * F.col("_p") + F.col("weight") * F.col("_q"))
-    placed = with_row_number(many, [F.col("_m"), F.col(id_col)], ["weight"], "_k").select(id_col, "weight", "_k")
-    kept = with_row_number(part.select(id_col, "_base"), [F.col("_base"), F.col(id_col)], [], "_k").select("_k", F.col("_base").alias("_new"))
-    routed = now.select(id_col, truth, "_base", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("weight")).join(placed.join(kept, "_k").drop("_k"), [id_col, "weight"], "left").withColumn("_score", F.coalesce("_new", "_base"))
-    second = regression_metrics(routed, truth, "_score", id_col, ["weight"]).select("weight", F.round("spearman", 6).alias("spearman"))
+    part = stage(part)
+    many = part.select(id_col, *own, "_p", "_q", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("weight"))
+    many = many.select(id_col, *own, "weight", ((F.lit(1.0) - F.col("weight")) * F.col("_p") + F.col("weight") * F.col("_q")).alias("_m"))
+    placed = with_row_number(many, [F.col("_m"), F.col(id_col)], ["weight"], "_k").select(id_col, *own, "weight", "_k")
+    kept = with_row_number(part, [F.col("_base"), F.col(id_col)], [], "_k")
+    if dealt:
+        second = _dealt_correlations(now, placed, kept.select("_k", "_rb"), shares)
+    else:
+        second = _routed_correlations(now, id_col, truth, placed, kept.select("_k", F.col("_base").alias("_new")), shares)
+    second = second.select("weight", F.round("spearman", 6).alias("spearman"))
     return first.select(F.lit("parent").alias("stage"), "weight", "spearman").union(second.select(F.lit("expert"), "weight", "spearman"))
 
 

@@ -95,6 +95,14 @@ def test_sweep_of_a_recovered_expert_over_many_rows(spark):
         assert runs[0][w] == pytest.approx(runs[1][w], abs=1e-9)
 
 
+def test_staged_sweep_of_many_rows_has_the_figures_of_few(spark):
+    rng = random.Random(9)
+    rows = [(i, float(rng.randrange(20)), float(rng.randrange(30)), rng.random(), float(rng.randrange(9)) if i % 3 == 0 else None) for i in range(300)]
+    full = spark.createDataFrame(rows, "id int, t double, a double, b double, x double")
+    runs = [sorted(map(tuple, ensembles.staged_sweep(full, "id", "t", "a", "b", "x", [0.0, 0.3, 1.0], task_rows=n).collect())) for n in (10**6, 0)]
+    assert runs[0] == runs[1] and len(runs[0]) == 6 and len({r[2] for r in runs[0]}) > 3
+
+
 def test_permuted_truth_of_many_rows(spark):
     df = spark.createDataFrame([(i, i / 7, float(i * 13 % 50)) for i in range(200)], "id int, t double, _p double")
     runs = [metrics.permuted_truth(df, "t", "id", 5, task_rows=n) for n in (10**6, 0)]
