@@ -51,3 +51,7 @@ def same_beyond_limits(spark, con, monkeypatch, name):
 
 def test_expert_blend_sweep_beyond_limits(spark, con, monkeypatch):
     same_beyond_limits(spark, con, monkeypatch, "expert_blend_sweep")
+
+
+def test_sweep_argmax_beyond_limits(spark, con, monkeypatch):
+    same_beyond_limits(spark, con, monkeypatch, "sweep_argmax")
